@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,7 +29,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores before iterative work; does nothing to a table that already does."""
+MAX_TASKS = 10_000
+
+
+def by_group(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """Place groups for a Python function on enough tasks.
+
+    Such groups are small in bytes but long in computing time, so the adaptive
+    merging of small partitions must not put them together.
+    """
+    return df.repartition(max(1, min(groups, MAX_TASKS)), *keys)
+
+
+def cached_for_iteration(df: DataFrame) -> DataFrame:
+    """Keep ``df`` for repeated passes, on at least as many partitions as cores.
+
+    Only a table with fewer partitions than cores, hence a small one, is
+    redistributed. The caller unpersists the result.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    wide = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    wide.count()
+    kept.unpersist()
+    return wide

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import col
 from ..functions.ordering import running_totals_desc
+from ..functions.runtime import checkpointed
 
 # Histogram bins and the number of listed importances.
 MIN_BINS, MAX_BINS = 5, 30
@@ -68,9 +69,12 @@ def binary_metrics(
 
 
 def _score_groups(df: DataFrame, label: str, score: str, positive) -> DataFrame:
-    """(score, pos, neg): rows merged by score, so ties count once."""
+    """(score, pos, neg): rows merged by score, so ties count once.
+
+    Several passes follow, so the merged scores are written once.
+    """
     hit = col(label) == F.lit(positive)
-    return (
+    return checkpointed(
         df.filter(col(score).isNotNull() & col(label).isNotNull())
         .groupBy((col(score).cast("double") + F.lit(0.0)).alias("score"))
         .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.runtime import by_group
+
 # Repeats and seed of the permutation importance.
 REPEATS = 10
 SEED = 42
@@ -68,8 +72,8 @@ def permutation_importance(
         raise ValueError("permutation importance needs at least 1 row")
     width = len(first["features"])
     n = df.count()
-    # A task holds one block of one feature, repeated: keep that bounded.
-    block_rows = max(MIN_BLOCK_ROWS, min(block_rows, BLOCK_CELLS // (width * repeats)))
+    # A task holds one block and one shuffled copy of it.
+    block_rows = max(MIN_BLOCK_ROWS, min(block_rows, BLOCK_CELLS // width))
     blocks = max(1, math.ceil(n / block_rows))
     identity = F.struct(*keys) if keys else F.monotonically_increasing_id()
     dealt = df.select(
@@ -77,31 +81,26 @@ def permutation_importance(
         F.xxhash64(F.lit(seed + 1), identity).alias("place"),
         vector_to_array(F.col(features)).alias("x"),
         F.col(label).cast("double").alias("label"),
-    ).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    )
 
-    def shuffle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, feature = int(key[0]), int(key[1])
-        pdf = pdf.sort_values("place")
-        x = np.stack(pdf["x"].to_numpy()).astype(float)
-        parts = []
-        for repeat in range(repeats):
-            rng = np.random.default_rng([seed, block, feature, repeat])
-            changed = x.copy()
-            changed[:, feature] = x[rng.permutation(len(x)), feature]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "feature": feature,
-                        "repeat": repeat,
-                        "x": list(changed),
-                        "label": pdf["label"].to_numpy(),
-                    }
+    def shuffle(
+        key: tuple[Any, ...], batches: Iterator[pd.DataFrame]
+    ) -> Iterator[pd.DataFrame]:
+        block = int(key[0])
+        rows = pd.concat(list(batches)).sort_values("place")
+        x = np.stack(rows["x"].to_numpy()).astype(float)
+        known = rows["label"].to_numpy()
+        for feature in range(width):
+            for repeat in range(repeats):
+                rng = np.random.default_rng([seed, block, feature, repeat])
+                changed = x.copy()
+                changed[:, feature] = x[rng.permutation(len(x)), feature]
+                yield pd.DataFrame(
+                    {"feature": feature, "repeat": repeat, "x": list(changed), "label": known}
                 )
-            )
-        return pd.concat(parts, ignore_index=True)
 
     shuffled = (
-        dealt.groupBy("block", "feature")
+        by_group(dealt, blocks, "block").groupBy("block")
         .applyInPandas(shuffle, "feature int, repeat int, x array<double>, label double")
         .withColumn("features", array_to_vector("x")).drop("x")
     )

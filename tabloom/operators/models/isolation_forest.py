@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.quantiles import exact_quantiles
+from ...functions.runtime import by_group
 from ..persistence import FittedStage
 from .common import anomaly_columns
 
@@ -150,7 +151,8 @@ class IsolationForest(Estimator):
             tree = grow_tree(x, rng, limit)
             return pd.DataFrame([{"tree": int(key[0]), **tree}])
 
-        return drawn.groupBy("tree").applyInPandas(build, TREE_SCHEMA)
+        placed = by_group(drawn, self.n_estimators, "tree")
+        return placed.groupBy("tree").applyInPandas(build, TREE_SCHEMA)
 
 
 class IsolationForestModel(FittedStage):

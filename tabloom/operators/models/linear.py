@@ -18,7 +18,7 @@ NORMAL_SOLVER_FEATURES = 4096
 
 
 def train_logistic(
-    train: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-8
+    train: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-9
 ):
     """L2-penalised logistic regression; uses the ``weight`` column when present."""
     weighted = WEIGHT in train.columns

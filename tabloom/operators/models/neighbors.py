@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.runtime import by_group
+
 QUERY_BLOCK = 1_024
 POINT_BLOCK = 8_192
 POINTS_PER_CELL = 20_000
@@ -53,9 +55,11 @@ def nearest_neighbors(
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _block_neighbors(left, right, k, same)
 
+    pair = ("cell", "a", "b")
+    pairs = sum(blocks * p_blocks.get(cell, 0) for cell, blocks in q_blocks.items())
     candidates = (
-        q.groupBy("cell", "a", "b")
-        .cogroup(p.groupBy("cell", "a", "b"))
+        by_group(q, pairs, *pair).groupBy(*pair)
+        .cogroup(by_group(p, pairs, *pair).groupBy(*pair))
         .applyInPandas(best, "qid string, pid string, dist double")
     )
     order = Window.partitionBy("qid").orderBy("dist", "pid")

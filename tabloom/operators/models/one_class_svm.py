@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.quantiles import exact_quantiles
-from ...functions.runtime import spread
+from ...functions.runtime import cached_for_iteration
 from ..persistence import FittedStage
 from .common import anomaly_columns
 
@@ -71,8 +71,7 @@ class OneClassSVM(Estimator):
         self.n_components, self.max_iter, self.seed = n_components, max_iter, seed
 
     def _fit(self, dataset: DataFrame) -> "OneClassSVMModel":
-        rows = spread(dataset.select(vector_to_array("features").alias("x")))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = cached_for_iteration(dataset.select(vector_to_array("features").alias("x")))
         try:
             n = rows.count()
             if n == 0:

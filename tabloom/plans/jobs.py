@@ -20,7 +20,7 @@ from ..functions.expressions import (
     is_categorical,
     nan_to_null,
 )
-from ..functions.runtime import checkpointed, ensure_checkpoint_dir, spread
+from ..functions.runtime import cached_for_iteration, checkpointed, ensure_checkpoint_dir
 from ..operators.class_weights import add_balanced_weights, check_target
 from ..operators.evaluate import binary_metrics, regression_metrics, roc_auc
 from ..operators.fixes import FixResult, apply_quick_fixes
@@ -181,8 +181,9 @@ def prepare(
         whole = fitted.transform_training(parts)
         train, test = (whole.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     columns = list(dict.fromkeys(["features", "label", *keys]))
-    train = spread(train.withColumn("label", label).select(*[col(c) for c in columns]))
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = cached_for_iteration(
+        train.withColumn("label", label).select(*[col(c) for c in columns])
+    )
     test = test.withColumn("label", label)
     return PreparedData(
         train, test, fitted, task, target, dtype, labels, counts, keys, random_state, df

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.importance import permutation_importance
+from ..operators.importance import model_importances, permutation_importance
 from ..operators.models.isolation_forest import IsolationForest
 from ..operators.models.linear import (
     train_elasticnet,
@@ -140,32 +140,34 @@ def regress_forest(spark, folder):
     return done.metrics_df(spark)
 
 
-@query(
-    "logistic_gradient",
-    """SELECT 'stationary' AS fact, TRUE AS holds
-       UNION ALL SELECT 'uses every row', count(*) > 0 FROM lineitem""",
-)
-def logistic_gradient(spark, folder):
-    """At the fitted point the gradient of the penalised loss is zero, summed over all rows."""
+NEWTON_SQL = """WITH RECURSIVE d AS (SELECT l_quantity / 50.0::DOUBLE AS x,
+    count(*)::DOUBLE AS n, sum((l_quantity * l_quantity > l_extendedprice / 100)::INT)::DOUBLE AS k
+    FROM lineitem GROUP BY l_quantity),
+  it AS (SELECT 0 AS step, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b
+    UNION ALL
+    SELECT step + 1, w - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12),
+      b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+    FROM (SELECT step, w, b, w / 0.5 + sum(n * p * x - k * x) AS g1, sum(n * p - k) AS g2,
+        1 / 0.5 + sum(n * p * (1 - p) * x * x) AS h11, sum(n * p * (1 - p) * x) AS h12,
+        sum(n * p * (1 - p)) AS h22
+      FROM (SELECT step, w, b, x, n, k, 1 / (1 + exp(-(w * x + b))) AS p FROM it, d)
+      GROUP BY step, w, b) WHERE step < 25)
+  SELECT round(w, 3) AS slope, round(b, 3) AS intercept FROM it WHERE step = 25"""
+
+
+@query("logistic_regression", NEWTON_SQL)
+def logistic_regression(spark, folder):
+    """Penalised logistic regression; the SQL twin runs Newton's method."""
     lineitem = table(spark, folder, "lineitem").select(
-        (F.col("l_quantity") / 50).alias("q"), "l_discount",
-        (F.col("l_returnflag") == "R").cast("double").alias("label"),
-    )
-    df = VectorAssembler(inputCols=["q", "l_discount"], outputCol="features").transform(lineitem)
-    model = train_logistic(df, C=0.01)
-    w = [float(v) for v in model.coefficients]
-    z = F.lit(w[0]) * F.col("q") + F.lit(w[1]) * F.col("l_discount") + F.lit(model.intercept)
-    miss = 1.0 / (1.0 + F.exp(-z)) - F.col("label")
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(miss).alias("g"),
-        F.sum(miss * F.col("q")).alias("g0"), F.sum(miss * F.col("l_discount")).alias("g1"),
-    ).first()
-    slack = 1e-3 * row["n"] ** 0.5
-    flat = all(
-        abs(v) < slack for v in (row["g"], row["g0"] + w[0] / 0.01, row["g1"] + w[1] / 0.01)
+        (F.col("l_quantity") / 50).alias("x"),
+        (F.col("l_quantity") * F.col("l_quantity") > F.col("l_extendedprice") / 100)
+        .cast("double").alias("label"),
     )
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(lineitem)
+    model = train_logistic(df, C=0.5)
     return spark.createDataFrame(
-        [("stationary", flat), ("uses every row", row["n"] > 0)], "fact string, holds boolean"
+        [(round(float(model.coefficients[0]), 3), round(float(model.intercept), 3))],
+        "slope double, intercept double",
     )
 
 
@@ -258,8 +260,6 @@ def one_class_svm_query(spark, folder):
           round(abs(sxy / sxx), 3) AS importance, 'coefficient' AS importance_type FROM m""",
 )
 def coefficient_importance(spark, folder):
-    from ..operators.importance import model_importances
-
     df = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(
         table(spark, folder, "lineitem").select(
             "l_quantity", F.col("l_extendedprice").alias("label")
