@@ -27,10 +27,11 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def multiplicities(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n): one row per column and distinct non-null value, without the value.
+    """(column, x, n): one row per column and distinct non-null value.
 
-    Columns are stacked by kind (long, double, text), so numbers are counted as
-    numbers, and texts longer than a digest travel as their SHA-256.
+    ``x`` is the value as a double, NULL for texts. Columns are stacked by kind
+    (long, double, text), so numbers are counted as numbers, and texts longer
+    than a digest travel as their SHA-256.
     """
     types = field_types(df)
     kinds: dict[str, list] = {}
@@ -40,14 +41,15 @@ def multiplicities(df: DataFrame, columns: list[str]) -> DataFrame:
             key = F.when(F.length(key) > LONG_TEXT, F.sha2(key, 256)).otherwise(key)
         kinds.setdefault(kind, []).append((c, key))
     parts = []
-    for members in kinds.values():
+    for kind, members in kinds.items():
+        x = F.lit(None) if kind == "text" else F.col("value")
         stacked = df.select(*[key.alias(c) for c, key in members]).unpivot(
             [], [quoted(c) for c, _ in members], "column", "value"
         )
         parts.append(
             stacked.filter(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-            .select("column", "n")
+            .select("column", x.cast("double").alias("x"), "n")
         )
     return reduce(DataFrame.unionAll, parts)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .expressions import as_double, col, field_types
 
-DIRECT_CELLS = 4_000_000
+DIRECT_CELLS = 5_000_000
 COLLECT_ROWS = 100_000
 SKETCH_K = 20_000
 SKETCH_MARGIN = 0.001

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.quantiles import exact_quantiles
-from ...functions.runtime import by_group
+from ...functions.runtime import by_group, cached_for_iteration
 from ..persistence import FittedStage
 from .common import anomaly_columns
 
 SAMPLE_ROWS = 256
 POOL_ROWS = 60_000
+WALK_ROWS = 512
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, "
     "left array<int>, right array<int>, depth array<double>"
@@ -40,6 +41,10 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def depth_limit(n: int) -> int:
+    return math.ceil(math.log2(max(n, 2)))
+
+
 def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
     """Random cuts until a row is alone, all rows are equal, or the depth limit."""
     nodes = {"feature": [], "threshold": [], "left": [], "right": [], "depth": []}
@@ -69,22 +74,39 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str,
     return nodes
 
 
-def path_lengths(x: np.ndarray, trees: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """Mean depth over all trees, one value per row."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
+def flatten_trees(trees: list) -> dict[str, np.ndarray]:
+    """All trees in one set of arrays; a leaf is its own child, so walks may overrun."""
+    parts = {"feature": [], "threshold": [], "children": [], "depth": []}
+    roots, start = [], 0
     for t in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            feature = t["feature"][node]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            below = x[rows, np.where(inner, feature, 0)] <= t["threshold"][node]
-            step = np.where(below, t["left"][node], t["right"][node])
-            node = np.where(inner, step, node)
-        total += t["depth"][node]
-    return total / len(trees)
+        feature = np.array(t["feature"], dtype=np.intp)
+        own = np.arange(len(feature))
+        leaf = feature < 0
+        roots.append(start)
+        parts["feature"].append(np.where(leaf, 0, feature))
+        parts["threshold"].append(np.array(t["threshold"]))
+        left, right = np.where(leaf, own, t["left"]), np.where(leaf, own, t["right"])
+        parts["children"].append(np.stack([left, right], axis=1).ravel() + start)
+        parts["depth"].append(np.array(t["depth"]))
+        start += len(feature)
+    flat = {k: np.concatenate(v) for k, v in parts.items()}
+    flat["roots"] = np.array(roots, dtype=np.intp)
+    return flat
+
+
+def path_lengths(x: np.ndarray, forest: dict[str, np.ndarray], steps: int) -> np.ndarray:
+    """Mean depth over all trees, one value per row; ``steps`` is the depth limit."""
+    out = np.empty(len(x))
+    for start in range(0, len(x), WALK_ROWS):
+        part = np.ascontiguousarray(x[start:start + WALK_ROWS])
+        flat = part.ravel()
+        base = (np.arange(len(part)) * part.shape[1])[:, None]
+        node = np.broadcast_to(forest["roots"], (len(part), len(forest["roots"])))
+        for _ in range(steps):
+            right = flat.take(base + forest["feature"].take(node)) > forest["threshold"].take(node)
+            node = forest["children"].take(2 * node + right)
+        out[start:start + WALK_ROWS] = forest["depth"].take(node).mean(axis=1)
+    return out
 
 
 class IsolationForest(Estimator):
@@ -104,6 +126,14 @@ class IsolationForest(Estimator):
         self.keys = keys
 
     def _fit(self, dataset: DataFrame) -> "IsolationForestModel":
+        columns = ["features", *(self.keys or [])]
+        rows = cached_for_iteration(dataset.select(*columns))
+        try:
+            return self._fit_cached(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit_cached(self, dataset: DataFrame) -> "IsolationForestModel":
         n = dataset.count()
         if n < 2:
             raise ValueError("an isolation forest needs at least 2 rows")
@@ -126,7 +156,7 @@ class IsolationForest(Estimator):
         return model
 
     def _grow(self, dataset: DataFrame, n: int, psi: int) -> DataFrame:
-        seed, limit = self.seed, math.ceil(math.log2(max(psi, 2)))
+        seed, limit = self.seed, depth_limit(psi)
         identity = F.struct(*self.keys) if self.keys else F.monotonically_increasing_id()
         rows = dataset.select(
             F.xxhash64(F.lit(seed), identity).alias("id"),
@@ -159,24 +189,16 @@ class IsolationForestModel(FittedStage):
     def score(self, dataset: DataFrame) -> DataFrame:
         """Add ``raw_score`` in (0, 1): the greater, the easier a row is isolated."""
         spark = dataset.sparkSession
-        trees = [
-            {
-                "feature": np.array(r["feature"], dtype=np.int64),
-                "threshold": np.array(r["threshold"]),
-                "left": np.array(r["left"], dtype=np.int64),
-                "right": np.array(r["right"], dtype=np.int64),
-                "depth": np.array(r["depth"]),
-            }
-            for r in self.tables["trees"].orderBy("tree").collect()
-        ]
-        shared = spark.sparkContext.broadcast(trees)
+        trees = self.tables["trees"].orderBy("tree").collect()
+        forest = spark.sparkContext.broadcast(flatten_trees(trees))
         scale = average_path(self.state["psi"])
+        steps = depth_limit(self.state["psi"])
 
         @F.pandas_udf("double")
         def isolation(x: pd.Series) -> pd.Series:
             if len(x) == 0:
                 return pd.Series([], dtype=float)
-            depth = path_lengths(np.stack(x.to_numpy()), shared.value)
+            depth = path_lengths(np.stack(x.to_numpy()), forest.value, steps)
             return pd.Series(np.exp2(-depth / scale))
 
         return dataset.withColumn("raw_score", isolation(vector_to_array("features")))

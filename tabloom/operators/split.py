@@ -2,8 +2,8 @@
 
 Rows are ordered by a seeded MD5 of their key. The rows below a threshold are
 the test set, so the split itself is a narrow projection. The threshold is the
-k-th smallest key; it is found digit by digit from counts per key prefix (at
-most 65,536 rows per class and round), never by sorting or collecting rows.
+k-th smallest key; it is found from counts per key prefix (at most 16^5 rows per
+class and round), never by sorting or collecting the table.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.expressions import canonical_text, col, field_types, split_key
 from ..functions.runtime import checkpointed
 
-PREFIX_STEP = 4
 KEY_LENGTH = 32
+# Key digits looked at per round. The first round counts every row and stays
+# coarse; later rounds only see the rows of one boundary bucket per class.
+ROUNDS = (3, 8, 13, 18, 23, 28, KEY_LENGTH)
 MAX_CLASSES = 1_000
 
 
@@ -106,7 +108,7 @@ def _find_cuts(
     keyed: DataFrame, sizes: dict[str, int], quotas: dict[str, int]
 ) -> dict[str, _Cut]:
     cuts = {g: _Cut("", quotas[g], sizes[g]) for g in sizes}
-    for length in range(PREFIX_STEP, KEY_LENGTH + 1, PREFIX_STEP):
+    for length in ROUNDS:
         open_cuts = {g: c for g, c in cuts.items() if not c.settled}
         if not open_cuts:
             break
@@ -120,7 +122,7 @@ def _find_cuts(
             .groupBy("g", F.substring("k", 1, length).alias("p"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        # At most 16^4 rows per class.
+        # At most 16^5 rows per class.
         running = Window.partitionBy("g").orderBy("p")
         take = F.element_at(
             F.create_map(*[F.lit(x) for g, c in open_cuts.items() for x in (g, c.take)]),
