@@ -35,9 +35,9 @@ def _distinct(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"))
 
 
-def _with_vectors(dataset: DataFrame) -> DataFrame:
+def _vector_rows(dataset: DataFrame) -> DataFrame:
     x = vector_to_array("features")
-    return dataset.withColumn("x", x).withColumn("id", vector_id(F.col("x")))
+    return dataset.select(vector_id(x).alias("id"), x.alias("x"))
 
 
 class LocalOutlierFactor(Estimator):
@@ -47,7 +47,7 @@ class LocalOutlierFactor(Estimator):
         self.contamination = contamination
 
     def _fit(self, dataset: DataFrame) -> "LocalOutlierFactorModel":
-        rows = _with_vectors(dataset).select("id", "x")
+        rows = _vector_rows(dataset)
         points = checkpointed(_distinct(rows))
         n = int(points.agg(F.sum("copies")).first()[0] or 0)
         if n < 2:
@@ -86,15 +86,15 @@ class LocalOutlierFactorModel(FittedStage):
     def score(self, dataset: DataFrame) -> DataFrame:
         """Add ``raw_score``: about 1 inside a cluster, greater for outliers."""
         k, points = self.state["k"], self.tables["points"]
-        rows = _with_vectors(dataset)
-        queries = checkpointed(_distinct(rows.select("id", "x")))
+        queries = checkpointed(_distinct(_vector_rows(dataset)))
         near = nearest_neighbors(queries, points, k)
         taken = checkpointed(_take(_attach(near, points.select("id", "copies")), k))
         scores = _factors(taken, points, k).join(
-            queries.select(F.col("id").alias("qid"), "copies"), "qid"
+            queries.select(F.col("id").alias("qid"), F.col("copies").alias("__copies")), "qid"
         )
-        scored = lookup_join(rows.drop("x"), scores, "id", "qid", weight="copies")
-        return scored.drop("id", "copies")
+        keyed = dataset.withColumn("__vector", vector_id(vector_to_array("features")))
+        scored = lookup_join(keyed, scores, "__vector", "qid", weight="__copies")
+        return scored.drop("__vector", "__copies")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return anomaly_columns(self.score(dataset), self.state["threshold"])

@@ -58,7 +58,7 @@ class OneClassSVM(Estimator):
         nu: float = 0.05,
         kernel: str = "rbf",
         gamma: float | str = "auto",
-        n_components: int = 512,
+        n_components: int = 1024,
         max_iter: int = 60,
         seed: int = 42,
     ):
