@@ -1,14 +1,15 @@
-"""One-class SVM in the primal, on random Fourier features.
+"""One-class SVM in the primal, on a set of landmark rows.
 
-The exact kernel solution needs all pairs of rows. Here the RBF kernel is
-replaced by random cosine features (Rahimi, Recht 2007), and the resulting
-linear problem
+The exact kernel solution needs all pairs of rows. Here the decision function
+is a combination of kernel values to at most ``n_landmarks`` rows (Nystroem
+approximation, Williams and Seeger 2001), found by solving
 
-    min  |w|^2 / 2 - rho + sum_i max(0, rho - w.z_i) / (nu * n)
+    min  |w|^2 / 2 - rho + sum_i max(0, rho - f(x_i)) / (nu * n)
 
-is solved by L-BFGS on a slightly smoothed hinge. Each evaluation is one pass
-that returns a single summed vector. At the end ``rho`` is the exact
-nu-quantile of the training scores, so a share ``nu`` of them is flagged.
+over all rows with L-BFGS on a slightly smoothed hinge. Each evaluation is one
+pass that returns a single summed vector. With no more rows than landmarks this
+is the exact kernel solution. At the end ``rho`` is the exact nu-quantile of the
+training scores, so a share ``nu`` of them is flagged.
 """
 
 from __future__ import annotations
@@ -27,27 +28,38 @@ from ...functions.runtime import cached_for_iteration
 from ..persistence import FittedStage
 from .common import anomaly_columns
 
-KERNELS = ("rbf", "linear")
-SMOOTHING = 0.02
+# Degree of the polynomial kernel; its offset and that of the
+# sigmoid kernel are 0.
+POLY_DEGREE = 3
+KERNELS = ("rbf", "linear", "poly", "sigmoid")
+LANDMARKS = 1_000
+SMOOTHING = (0.1, 0.005)
 HISTORY = 10
+# Eigenvalues below this share of the greatest one carry no information.
+RANK_TOLERANCE = 1e-10
 
 
-def cosine_basis(state: dict) -> tuple[np.ndarray, np.ndarray] | None:
-    """Frequencies and phases of the random features; none for the linear kernel."""
-    if state["kernel"] == "linear":
-        return None
-    rng = np.random.default_rng(state["seed"])
-    shape = (state["width"], state["components"])
-    w = rng.normal(0.0, np.sqrt(2.0 * state["gamma"]), shape)
-    return w, rng.uniform(0.0, 2.0 * np.pi, state["components"])
-
-
-def cosine_features(x: np.ndarray, basis) -> np.ndarray:
-    """z(x) = sqrt(2/D) cos(x W + b), or x itself for the linear kernel."""
-    if basis is None:
+def kernel_values(x: np.ndarray, marks: np.ndarray | None, kernel: str, gamma: float):
+    """Kernel of rows and landmarks; for the linear kernel the rows themselves."""
+    if kernel == "linear":
         return x
-    w, b = basis
-    return np.sqrt(2.0 / len(b)) * np.cos(x @ w + b)
+    inner = x @ marks.T
+    if kernel == "poly":
+        return (gamma * inner) ** POLY_DEGREE
+    if kernel == "sigmoid":
+        return np.tanh(gamma * inner)
+    square = (x * x).sum(1)[:, None] + (marks * marks).sum(1)[None, :] - 2.0 * inner
+    return np.exp(-gamma * np.maximum(square, 0.0))
+
+
+def whitening(marks: np.ndarray | None, kernel: str, gamma: float) -> np.ndarray | None:
+    """K^(-1/2) of the landmarks: turns kernel values into orthonormal features."""
+    if kernel == "linear":
+        return None
+    k = kernel_values(marks, marks, kernel, gamma)
+    values, vectors = np.linalg.eigh((k + k.T) / 2.0)
+    kept = values > RANK_TOLERANCE * values.max()
+    return vectors[:, kept] / np.sqrt(values[kept])
 
 
 class OneClassSVM(Estimator):
@@ -58,7 +70,7 @@ class OneClassSVM(Estimator):
         nu: float = 0.05,
         kernel: str = "rbf",
         gamma: float | str = "auto",
-        n_components: int = 1024,
+        n_landmarks: int = LANDMARKS,
         max_iter: int = 60,
         seed: int = 42,
     ):
@@ -68,7 +80,7 @@ class OneClassSVM(Estimator):
         if not 0.0 < nu <= 1.0:
             raise ValueError(f"nu must be in (0, 1], got {nu}")
         self.nu, self.kernel, self.gamma = nu, kernel, gamma
-        self.n_components, self.max_iter, self.seed = n_components, max_iter, seed
+        self.n_landmarks, self.max_iter, self.seed = n_landmarks, max_iter, seed
 
     def _fit(self, dataset: DataFrame) -> "OneClassSVMModel":
         rows = cached_for_iteration(dataset.select(vector_to_array("features").alias("x")))
@@ -77,26 +89,39 @@ class OneClassSVM(Estimator):
             if n == 0:
                 raise ValueError("one-class SVM needs at least 1 row")
             width = len(rows.first()["x"])
-            state = {
-                "kernel": self.kernel,
-                "gamma": self._gamma(rows, n, width),
-                "width": width,
-                "components": self.n_components,
-                "seed": self.seed,
-                "weights": [],
-                "rho": 0.0,
-            }
-            weights = _solve(rows, n, self.nu, state, self.max_iter)
-            state["weights"] = [float(v) for v in weights]
-            model = OneClassSVMModel(state)
+            gamma = self._gamma(rows, n, width)
+            marks = self._landmarks(rows)
+            basis = whitening(marks, self.kernel, gamma)
+            size = width if basis is None else len(marks)
+            weights = _solve(rows, n, self.nu, self.kernel, gamma, marks, basis, size, self.max_iter)
+            spark = dataset.sparkSession
+            tables = {}
+            if marks is not None:
+                tables["landmarks"] = spark.createDataFrame(
+                    [(i, v.tolist()) for i, v in enumerate(marks)], "i int, x array<double>"
+                )
+            model = OneClassSVMModel(
+                {"kernel": self.kernel, "gamma": gamma, "rho": 0.0,
+                 "weights": [float(v) for v in weights]},
+                tables,
+            )
             scored = rows.select(model.margin(rows, F.col("x")).alias("m"))
             scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-            state["rho"] = exact_quantiles(scored, ["m"], [self.nu], counts={"m": n})["m"][0]
+            cut = exact_quantiles(scored, ["m"], [self.nu], counts={"m": n})["m"][0]
+            model.state["rho"] = cut
             scored.unpersist()
             return model
         finally:
             rows.unpersist()
 
+    def _landmarks(self, rows: DataFrame) -> np.ndarray | None:
+        """A seeded uniform draw of a bounded number of rows."""
+        if self.kernel == "linear":
+            return None
+        draw = F.xxhash64(F.lit(self.seed), F.monotonically_increasing_id())
+        drawn = rows.withColumn("u", draw).orderBy("u").limit(self.n_landmarks).collect()
+        return np.array([r["x"] for r in drawn], dtype=float)
+
     def _gamma(self, rows: DataFrame, n: int, width: int) -> float:
         if self.gamma == "auto":
             return 1.0 / width
@@ -113,20 +138,27 @@ class OneClassSVM(Estimator):
 
 class OneClassSVMModel(FittedStage):
     def margin(self, dataset: DataFrame, x):
-        basis = dataset.sparkSession.sparkContext.broadcast(cosine_basis(self.state))
-        w = np.array(self.state["weights"])
+        kernel, gamma = self.state["kernel"], self.state["gamma"]
+        marks = None
+        if "landmarks" in self.tables:
+            stored = self.tables["landmarks"].orderBy("i").collect()
+            marks = np.array([r["x"] for r in stored], dtype=float)
+        shared = dataset.sparkSession.sparkContext.broadcast(
+            (marks, np.array(self.state["weights"]))
+        )
 
         @F.pandas_udf("double")
         def value(v: pd.Series) -> pd.Series:
             if len(v) == 0:
                 return pd.Series([], dtype=float)
-            x = np.stack(v.to_numpy()).astype(float)
-            return pd.Series(cosine_features(x, basis.value) @ w)
+            marks, weights = shared.value
+            rows = np.stack(v.to_numpy()).astype(float)
+            return pd.Series(kernel_values(rows, marks, kernel, gamma) @ weights)
 
         return value(x)
 
     def score(self, dataset: DataFrame) -> DataFrame:
-        """Add ``raw_score``: the negative margin, greater for outliers."""
+        """Add ``raw_score``: the negative decision value, greater for outliers."""
         return dataset.withColumn("raw_score", -self.margin(dataset, vector_to_array("features")))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -148,31 +180,44 @@ def _summed(rows: DataFrame, size: int, function) -> np.ndarray:
     return row["t"].toArray()
 
 
-def _solve(
-    rows: DataFrame, n: int, nu: float, state: dict, max_iter: int
-) -> np.ndarray:
-    size = state["width"] if state["kernel"] == "linear" else state["components"]
-    basis = rows.sparkSession.sparkContext.broadcast(cosine_basis(state))
+def _solve(rows, n, nu, kernel, gamma, marks, basis, size, max_iter) -> np.ndarray:
+    """Coefficients of the kernel values.
+
+    The search runs in the whitened space, where |w| is the plain norm; tasks
+    only see kernel values, so a row costs one kernel row and two products.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def outward(w: np.ndarray) -> np.ndarray:
+        return w if basis is None else basis @ w
+
+    def inward(g: np.ndarray) -> np.ndarray:
+        return g if basis is None else g @ basis
 
     def evaluate(theta: np.ndarray, delta: float) -> tuple[float, np.ndarray]:
         w, rho = theta[:-1], theta[-1]
+        weights = outward(w)
 
         def batch(x: np.ndarray) -> np.ndarray:
-            phi = cosine_features(x, basis.value)
-            t = rho - phi @ w
+            k = kernel_values(x, shared.value, kernel, gamma)
+            t = rho - k @ weights
             slope = np.clip(t / delta, 0.0, 1.0)
             loss = np.where(t >= delta, t - delta / 2.0, slope * np.maximum(t, 0.0) / 2.0)
-            return np.concatenate([[loss.sum(), slope.sum()], slope @ phi])
+            return np.concatenate([[loss.sum(), slope.sum()], slope @ k])
 
         total = _summed(rows, size + 2, batch) / (nu * n)
         value = 0.5 * w @ w - rho + total[0]
-        gradient = np.concatenate([w - total[2:], [total[1] - 1.0]])
-        return value, gradient
-
-    mean = _summed(rows, size, lambda x: cosine_features(x, basis.value).sum(axis=0)) / n
-    start = np.concatenate([mean, [float(mean @ mean)]])
-    delta = SMOOTHING * max(float(mean @ mean), 1e-6)
-    return _lbfgs(lambda t: evaluate(t, delta), start, max_iter)[:-1]
+        return value, np.concatenate([w - inward(total[2:]), [total[1] - 1.0]])
+
+    mean = _summed(
+        rows, size, lambda x: kernel_values(x, shared.value, kernel, gamma).sum(axis=0)
+    ) / n
+    w = inward(mean)
+    scale = max(float(w @ w), 1e-6)
+    theta = np.concatenate([w, [scale]])
+    for smoothing in SMOOTHING:
+        theta = _lbfgs(lambda t: evaluate(t, smoothing * scale), theta, max_iter)
+    return outward(theta[:-1])
 
 
 def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-5) -> np.ndarray:
