@@ -33,8 +33,8 @@ from .common import anomaly_columns
 POLY_DEGREE = 3
 KERNELS = ("rbf", "linear", "poly", "sigmoid")
 LANDMARKS = 1_000
-SMOOTHING = (0.1, 0.005)
-HISTORY = 10
+SMOOTHING = (0.1, 0.01)
+HISTORY = 20
 # Eigenvalues below this share of the greatest one carry no information.
 RANK_TOLERANCE = 1e-10
 
@@ -71,7 +71,7 @@ class OneClassSVM(Estimator):
         kernel: str = "rbf",
         gamma: float | str = "auto",
         n_landmarks: int = LANDMARKS,
-        max_iter: int = 60,
+        max_iter: int = 40,
         seed: int = 42,
     ):
         super().__init__()
@@ -220,7 +220,7 @@ def _solve(rows, n, nu, kernel, gamma, marks, basis, size, max_iter) -> np.ndarr
     return outward(theta[:-1])
 
 
-def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-5) -> np.ndarray:
+def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-3) -> np.ndarray:
     """Limited-memory BFGS with backtracking, for a few hundred variables."""
     value, gradient = evaluate(theta)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -243,7 +243,7 @@ def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-5) -> np.
         s, y = candidate - theta, new_gradient - gradient
         if s @ y > 1e-12:
             pairs = (pairs + [(s, y)])[-HISTORY:]
-        done = value - new_value <= 1e-9 * max(1.0, abs(value))
+        done = value - new_value <= 1e-6 * max(1.0, abs(value))
         theta, value, gradient = candidate, new_value, new_gradient
         if done:
             break
