@@ -81,6 +81,7 @@ class PreprocessState:
     categorical: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
     sizes: dict[str, int] = field(default_factory=dict)
+    key_bytes: dict[str, int] = field(default_factory=dict)
     modes: dict[str, str | None] = field(default_factory=dict)
     other: dict[str, int] = field(default_factory=dict)
     means: dict[str, float] = field(default_factory=dict)
@@ -151,7 +152,7 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
         usable = [c for c in categorical if fitted.modes[c] is not None]
         if not usable:
             return None
-        fitted = Categories(usable, fitted.table, fitted.sizes, fitted.modes, fitted.other)
+        fitted.columns = usable
         if cfg.encoding_strategy == "target":
             y, state.positive_label = target_as_number(derived, cfg.target, cfg.task)
             folded = assign_folds(
@@ -163,6 +164,7 @@ class TabularPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritabl
         else:
             fitted = index_categories(fitted)
         state.categorical, state.sizes = usable, fitted.sizes
+        state.key_bytes = fitted.key_bytes
         state.modes = {c: fitted.modes[c] for c in usable}
         state.other = fitted.other
         return fitted.table
@@ -232,7 +234,9 @@ class TabularPreprocessorModel(FittedStage):
 
     def _categories(self) -> Categories:
         s = self.learned
-        return Categories(s.categorical, self.tables["categories"], s.sizes, s.modes, s.other)
+        return Categories(
+            s.categorical, self.tables["categories"], s.sizes, s.modes, s.other, s.key_bytes
+        )
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self._assemble(dataset, training=False)

@@ -89,7 +89,8 @@ def fit_target_encoding(
         _shrunken(F.col("n_0"), m0, v0, means["0"], variances["0"]).alias("enc_1"),
     )
     categories = Categories(
-        fitted.columns, checkpointed(encoded), fitted.sizes, fitted.modes, fitted.other
+        fitted.columns, checkpointed(encoded), fitted.sizes, fitted.modes, fitted.other,
+        fitted.key_bytes,
     )
     return TargetEncoding(categories, means)
 

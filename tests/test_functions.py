@@ -65,7 +65,8 @@ def test_lookup_with_a_hot_key(spark):
 
 
 def test_large_lookup_spreads_the_rows_of_a_hot_key(spark):
-    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    df = spark.range(20_000, numPartitions=16).select(hot.alias("k"))
     table = df.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
