@@ -23,10 +23,8 @@ FALSE_WORDS = ["false", "0", "no", "n", "f"]
 DIGIT_PATTERN = r"\d"
 DATE_SEPARATOR_PATTERN = r"[-/:T]"
 
-# One run of characters that are not white space (Unicode white space included).
-WORD_PATTERN = (
-    r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-)
+# One run of characters that are not white space, Unicode white space included.
+WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]++"
 
 # Date layouts tried for string columns: (pattern for try_to_timestamp, shape guard).
 # The guard keeps the parser away from text that cannot match. A None pattern
