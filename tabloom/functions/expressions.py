@@ -26,6 +26,9 @@ DATE_SEPARATOR_PATTERN = r"[-/:T]"
 # One run of characters that are not white space, Unicode white space included.
 WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]++"
 
+# Decimal numbers with an optional exponent, and infinity.
+NUMBER_PATTERN = r"^(?i)[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+
 # Date layouts tried for string columns: (pattern for try_to_timestamp, shape guard).
 # The guard keeps the parser away from text that cannot match. A None pattern
 # means the ISO cast, which also understands fractions and zone offsets.
@@ -152,6 +155,11 @@ def parse_date(c: Column, layout: int) -> Column:
     return F.when(text.rlike(guard), parsed)
 
 
+def text_to_double(c: Column) -> Column:
+    """Number in a text, NULL when it is none; Java's "1d" and "1f" are none."""
+    return F.when(F.trim(c).rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
+
+
 def as_double(c: Column, dtype: T.DataType) -> Column:
     return c if isinstance(dtype, T.DoubleType) else c.cast("double")
 

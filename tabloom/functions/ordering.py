@@ -63,15 +63,17 @@ def running_totals_desc(
 
 
 def dense_index(
-    table: DataFrame, group: str, value: str, limit: int = ROWS_PER_BUCKET
+    table: DataFrame, group: str, value: str, limit: int = ROWS_PER_BUCKET, rows: int | None = None
 ) -> DataFrame:
     """Add ``idx``: 0-based position of ``value`` among the rows of its ``group``.
 
-    ``table`` has one row per (group, value). Up to ``limit`` rows one window
+    ``table`` has one row per (group, value), ``rows`` in all if known. Up to ``limit`` rows one window
     per group does it; beyond that the table is range-sorted, written to the
     checkpoint folder, and numbered by partition offsets.
     """
-    if table.limit(limit + 1).count() <= limit:
+    if rows is None:
+        rows = table.limit(limit + 1).count()
+    if rows <= limit:
         w = Window.partitionBy(group).orderBy(value)
         return table.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     ordered = checkpointed(

@@ -287,13 +287,13 @@ class TabularPreprocessorModel(FittedStage):
             return df.withColumns({c: col(c).cast("double") for c in s.categorical}), s.categorical
         # One more index for unseen categories; dropLast turns it into zeros.
         df = lookup_categories(df, cats, {"__i_{c}": "idx"}, {"idx": F.lit(None).cast("long")})
-        indexed = []
-        for i, c in enumerate(s.categorical):
-            size = s.sizes[c]
-            meta = {"ml_attr": {"type": "nominal", "num_vals": size + 1, "name": f"__i{i}"}}
-            value = F.coalesce(col(f"__i_{c}"), F.lit(size)).cast("double")
-            df = df.withColumn(f"__i{i}", value.alias(f"__i{i}", metadata=meta))
-            indexed.append(f"__i{i}")
+        indexed = [f"__i{i}" for i in range(len(s.categorical))]
+        values = []
+        for name, c in zip(indexed, s.categorical):
+            meta = {"ml_attr": {"type": "nominal", "num_vals": s.sizes[c] + 1, "name": name}}
+            value = F.coalesce(col(f"__i_{c}"), F.lit(s.sizes[c])).cast("double")
+            values.append(value.alias(name, metadata=meta))
+        df = df.select("*", *values)
         outputs = [f"__oh{i}" for i in range(len(indexed))]
         encoder = OneHotEncoder(
             inputCols=indexed, outputCols=outputs, dropLast=True, handleInvalid="error"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import col, nan_to_null
+from ..functions.expressions import col, nan_to_null, text_to_double
 from .files import path_exists
 
 # Texts that stand for a missing value in CSV files.
@@ -68,7 +68,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         checks += [
             F.count(text).alias(f"n{i}"),
             F.count(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))).alias(f"l{i}"),
-            F.count(text.try_cast("double")).alias(f"d{i}"),
+            F.count(text_to_double(text)).alias(f"d{i}"),
             F.count_if(F.lower(text).isin("true", "false")).alias(f"b{i}"),
         ]
     row = df.agg(*checks).first()
@@ -78,7 +78,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         if total and row[f"l{i}"] == total:
             out.append(c.try_cast("long").alias(n))
         elif row[f"d{i}"] == total:  # a column without any value counts as double
-            out.append(c.try_cast("double").alias(n))
+            out.append(text_to_double(c).alias(n))
         elif row[f"b{i}"] == total:
             out.append((F.lower(c) == "true").alias(n))
         else:

@@ -35,8 +35,19 @@ def stamped_name(source: str, what: str, now: datetime | None = None) -> str:
     return f"{stem}_{what}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}"
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> str:
-    """Write from the executors, one file per partition; CSV with a header."""
+def write_table(
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    mode: str = "errorifexists",
+    order_by: list[str] | None = None,
+) -> str:
+    """Write from the executors, one file per partition; CSV with a header.
+
+    ``order_by`` restores an order by key columns with a distributed sort.
+    """
+    if order_by:
+        df = df.orderBy(*[col(c) for c in order_by])
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).csv(path)
@@ -49,8 +60,11 @@ def write_cleaned(df: DataFrame, folder: str, source: str, fmt: str = "csv") ->
     return write_table(df, f"{folder}/{stamped_name(source, 'cleaned')}", fmt)
 
 
-def write_predictions(df: DataFrame, folder: str, source: str, fmt: str = "csv") -> str:
-    return write_table(df, f"{folder}/{stamped_name(source, 'predictions')}", fmt)
+def write_predictions(
+    df: DataFrame, folder: str, source: str, fmt: str = "csv", order_by: list[str] | None = None
+) -> str:
+    name = stamped_name(source, "predictions")
+    return write_table(df, f"{folder}/{name}", fmt, order_by=order_by)
 
 
 def write_quality_report(

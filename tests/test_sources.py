@@ -40,7 +40,7 @@ def write(folder, name, text):
 def test_csv_types_and_missing_values(spark, folder):
     path = write(
         folder, "t.csv",
-        "i,gap,f,flag,date,text,none\n1,1,1.5,True,2024-01-01,a,\n2,NA,2,false,2024-01-02,NULL,\n"
+        "i,gap,f,flag,date,text,none\n1,1,1.5,True,2024-01-01,1d,\n2,NA,2,false,2024-01-02,NULL,\n"
         '3,3,nan,TRUE,2024-01-03,"x, y",\n',
     )
     df = read_table(spark, path)
@@ -89,6 +89,10 @@ def test_written_tables_do_not_overwrite(spark, folder):
     assert read_table(spark, path).count() == 3
     with pytest.raises(Exception, match="already exists"):
         write_table(spark.range(3), path)
+    write_table(spark.range(100).orderBy(F.rand(1)), f"{folder}/sorted", order_by=["id"])
+    files = sorted(Path(f"{folder}/sorted").glob("part-*.csv"))
+    lines = [line for f in files for line in f.read_text().split()[1:]]
+    assert [int(v) for v in lines] == list(range(100))
     assert stamped_name("/a/b/sales.csv", "cleaned").startswith("sales_cleaned_")
 
 
@@ -156,7 +160,8 @@ def test_coercion(spark):
     "column, value, message",
     [
         ("age", "x", "invalid integer"), ("age", "1.5", "non-integer"), ("age", None, "invalid integer"),
-        ("age", "inf", "invalid integer"), ("income", "x", "invalid numeric"),
+        ("age", "inf", "invalid integer"), ("age", "7d", "invalid integer"),
+        ("income", "1f", "invalid numeric"), ("income", "x", "invalid numeric"),
         ("income", None, "invalid numeric"), ("member", "perhaps", "invalid boolean"),
         ("member", None, "invalid boolean"),
     ],
