@@ -1,4 +1,8 @@
-"""Queries for derived features, imputation, scaling, encoding and splits."""
+"""Queries for derived features, imputation, scaling, encoding and splits.
+
+The SQL adds 0.0 to rounded values of either sign: Spark rounds to 0.0 where SQL
+keeps a negative zero.
+"""
 
 from __future__ import annotations
 
@@ -151,9 +155,9 @@ def _filled(column: str) -> str:
           {_filled('l_quantity')} AS l_quantity, l_extendedprice FROM t)
         SELECT l_orderkey, l_linenumber, l_suppkey,
           round((l_quantity - (SELECT avg(l_quantity) FROM f)) /
-            (SELECT stddev_pop(l_quantity) FROM f), 6) AS l_quantity,
+            (SELECT stddev_pop(l_quantity) FROM f), 6) + 0.0 AS l_quantity,
           round((l_extendedprice - (SELECT avg(l_extendedprice) FROM f)) /
-            (SELECT stddev_pop(l_extendedprice) FROM f), 6) AS l_extendedprice FROM f""",
+            (SELECT stddev_pop(l_extendedprice) FROM f), 6) + 0.0 AS l_extendedprice FROM f""",
 )
 def scale_standard(spark, folder):
     return _scaled(spark, folder, "standard")
@@ -275,8 +279,8 @@ def _target_encoder(df: DataFrame):
           {_filled('l_quantity')} AS q, {_filled('l_discount')} AS d,
           coalesce(l_linestatus, {MODE_SQL.format(c='l_linestatus')}) AS s FROM t)
         SELECT l_orderkey, l_linenumber, l_suppkey,
-          round((q - (SELECT avg(q) FROM f)) / (SELECT stddev_pop(q) FROM f), 6) AS num__l_quantity,
-          round((d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f), 6) AS num__l_discount,
+          round((q - (SELECT avg(q) FROM f)) / (SELECT stddev_pop(q) FROM f), 6) + 0.0 AS num__l_quantity,
+          round((d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f), 6) + 0.0 AS num__l_discount,
           (s = 'F')::DOUBLE AS cat__l_linestatus_F, (s = 'O')::DOUBLE AS cat__l_linestatus_O
         FROM f""",
 )
@@ -334,7 +338,7 @@ def _uniform_sql(name: str) -> str:
     + """ FROM orders)
         SELECT o_orderkey, """
     + ", ".join(
-        f"round((u{i} * 2 - 1) * CASE WHEN fraud THEN 5 ELSE 2 END, 4) AS V{i}"
+        f"round((u{i} * 2 - 1) * CASE WHEN fraud THEN 5 ELSE 2 END, 4) + 0.0 AS V{i}"
         for i in range(1, 5)
     )
     + """, round(CASE WHEN fraud THEN 1000 + a * 9000 ELSE a * 500 END, 2) AS Amount,
