@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tabloom.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalogue.QUERIES, catalogue.ORACLES
 
 
 @pytest.fixture(scope="module")
