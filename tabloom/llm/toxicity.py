@@ -28,16 +28,20 @@ from ..functions.runtime import by_group
 from .common import Memo, crc_bucket, hashes, mixed, plain_words, slices, stage, text_or_empty, word_hash
 
 #: Bound of the labelled rows that are learned from.
-TRAINING_ROWS = 40_000
-SHARDS = 8
-ROUNDS = 3
-PASSES = 2
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.0, 0.5
+TRAINING_ROWS = 24_000
+SHARDS = 4
+ROUNDS = 6
+PASSES = 1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 #: Features of fewer rows of a shard are not learned from in it.
-MIN_ROWS = 2
+MIN_ROWS = 3
 #: Bound of the weights that are kept and broadcast; the largest stay.
 MAX_WEIGHTS = 500_000
 BIAS = 0
+#: Set in the hashes of words; the other half of the range is for pairs.
+WORD_BIT = np.uint32(1 << 31)
+#: Value of a pair or skip-gram; words weigh more, as pairs of one document are many.
+PAIR_VALUE = 0.3
 THRESHOLD = 0.7
 
 
@@ -46,14 +50,20 @@ def features(text: str, memo: Memo) -> np.ndarray:
     h = hashes(plain_words(text), memo)
     if not len(h):
         return np.empty(0, np.uint32)
-    parts = [mixed(h)]
+    parts = [(mixed(h) >> np.uint64(32)).astype(np.uint32) | WORD_BIT]
     for gap in (1, 2, 3):
         if len(h) > gap:
-            parts.append(mixed(h[:-gap] * np.uint64(31 + 2 * gap) + mixed(h[gap:])))
-    found = np.unique((np.concatenate(parts) >> np.uint64(32)).astype(np.uint32))
+            pair = mixed(h[:-gap] * np.uint64(31 + 2 * gap) + mixed(h[gap:]))
+            parts.append((pair >> np.uint64(33)).astype(np.uint32))
+    found = np.unique(np.concatenate(parts))
     return found[found != BIAS]
 
 
+def values(found: np.ndarray) -> np.ndarray:
+    """1 for words and the intercept, ``PAIR_VALUE`` for pairs and skip-grams."""
+    return np.where((found >= WORD_BIT) | (found == BIAS), 1.0, PAIR_VALUE)
+
+
 @dataclass
 class Model:
     """Nonzero weights by feature, ascending; the state of training besides."""
@@ -72,7 +82,8 @@ class Model:
         if len(self.index):
             at = np.searchsorted(self.index, found)
             at[at == len(self.index)] = 0
-            total = self.weight[at][self.index[at] == found].sum()
+            known = self.index[at] == found
+            total = (self.weight[at] * values(found))[known].sum()
             if self.index[0] == BIAS:
                 total += self.weight[0]
         return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
@@ -100,6 +111,7 @@ def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES
         known = start.index[at] == index
         z[known], n[known] = start.z[at[known]], start.n[at[known]]
     before = n.copy()
+    worth = values(index)
     dense = []
     for found, label in rows:
         at = np.searchsorted(index, found)
@@ -111,7 +123,8 @@ def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES
     for _ in range(passes):
         for at, label in dense:
             w = weights(z[at], n[at], intercept[at])
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -50, 50))) - label
+            x = worth[at]
+            g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -50, 50))) - label) * x
             grown = n[at] + g * g
             z[at] += g - (np.sqrt(grown) - np.sqrt(n[at])) / ALPHA * w
             n[at] = grown
