@@ -1,4 +1,4 @@
-"""Rules that turn a profile into recommended fixes and feature settings."""
+"""Recommended fixes and feature settings, derived from the columns of a profile."""
 
 from __future__ import annotations
 
@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .profile import HIGH_MISSING, RARE_FREQUENCY, TableProfile
 
-# Fixed value: overall share of missing cells that counts as small.
-SMALL_MISSING = 0.05
+
+@dataclass(frozen=True)
+class Reason:
+    """Why a setting was chosen: a rule, the columns it saw, and what was measured."""
+
+    rule: str
+    columns: tuple[str, ...]
+    value: float
+
+    @property
+    def text(self) -> str:
+        where = f" in {', '.join(self.columns)}" if self.columns else ""
+        return f"{self.rule}{where} ({self.value:g})"
 
 
 @dataclass
@@ -18,7 +29,7 @@ class Recommendation:
     drop_constant_columns: bool = False
     missing_strategy: str = "none"
     preprocess_params: dict = field(default_factory=dict)
-    rationale: list[str] = field(default_factory=list)
+    reasons: list[Reason] = field(default_factory=list)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         p = self.preprocess_params
@@ -30,7 +41,7 @@ class Recommendation:
             bool(p.get("text_extract", False)),
             ",".join(p.get("text_feature_columns", [])),
             float(p.get("rare_category_min_freq", 0.0)),
-            len(self.rationale),
+            len(self.reasons),
         )
         return spark.createDataFrame(
             [row],
@@ -39,57 +50,47 @@ class Recommendation:
             "text_feature_columns string, rare_category_min_freq double, n_reasons int",
         )
 
+    def reasons_df(self, spark: SparkSession) -> DataFrame:
+        """(rule, columns, value), one row per reason."""
+        return spark.createDataFrame(
+            [(r.rule, list(r.columns), float(r.value)) for r in self.reasons],
+            "rule string, columns array<string>, value double",
+        )
+
+
+def _flagged(profile: TableProfile, flag: str) -> tuple[str, ...]:
+    return tuple(c.column for c in profile.columns if getattr(c, flag))
+
 
 def recommend_fixes(profile: TableProfile) -> Recommendation:
-    s = profile.summary
-    rec = Recommendation()
-    if s["duplicate_rows"] > 0:
-        rec.drop_duplicate_rows = True
-        rec.rationale.append(f"Detected {s['duplicate_rows']} duplicate rows.")
-    if s["constant_columns"]:
-        rec.drop_constant_columns = True
-        rec.rationale.append(f"Constant columns: {s['constant_columns']}.")
-
-    missing = s["missing_columns"]
-    if missing:
-        high = [c for c, share in missing.items() if share >= HIGH_MISSING]
-        overall = sum(missing.values()) / s["columns"]
-        if high:
-            rec.missing_strategy = "drop_rows"
-            rec.rationale.append(
-                f"Columns with >=30% missing: {high}; "
-                "recommend dropping rows or removing columns."
-            )
-        elif overall <= SMALL_MISSING:
-            rec.missing_strategy = "fill_simple"
-            rec.rationale.append(
-                f"Overall missingness {overall:.3f} is small; prefer simple fill."
-            )
-        else:
-            rec.missing_strategy = "fill_simple"
-            rec.rationale.append(
-                f"Overall missingness {overall:.3f}; recommend filling simple."
-            )
-
-    params = rec.preprocess_params
-    dates = s["date_like_columns"]
-    if dates:
-        params["date_extract"] = True
-        rec.rationale.append(
-            f"Date-like columns detected: {dates}; enabling date feature extraction."
-        )
-    texts = s["text_like_columns"]
-    if texts:
-        params["text_extract"] = True
-        params["text_feature_columns"] = texts
-        params["text_drop_original"] = False
-        rec.rationale.append(
-            f"Text-like columns detected: {texts}; enabling text feature extraction."
-        )
-    rare = s["rare_heavy_categorical_columns"]
-    if rare:
-        params["rare_category_min_freq"] = RARE_FREQUENCY
-        rec.rationale.append(
-            f"Rare-heavy categoricals detected: {rare}; enabling rare category grouping."
-        )
-    return rec
+    """Every reason names its rule; the settings are what the rules found imply."""
+    gaps = {c.column: c.missing_ratio for c in profile.columns if c.missing_ratio > 0}
+    flags = {
+        "constant columns": "is_constant", "date columns": "is_date_like",
+        "text columns": "is_text_like", "rare categories": "is_rare_heavy",
+    }
+    seen = [
+        Reason("duplicate rows", (), profile.duplicate_rows),
+        Reason("missing values", tuple(gaps), max(gaps.values(), default=0.0)),
+    ]
+    for rule, flag in flags.items():
+        columns = _flagged(profile, flag)
+        seen.append(Reason(rule, columns, len(columns)))
+    found = {r.rule: r for r in seen if r.value > 0}
+    made = Recommendation(reasons=list(found.values()))
+    made.drop_duplicate_rows = "duplicate rows" in found
+    made.drop_constant_columns = "constant columns" in found
+    if "missing values" in found:
+        mostly = found["missing values"].value >= HIGH_MISSING
+        made.missing_strategy = "drop_rows" if mostly else "fill_simple"
+    if "date columns" in found:
+        made.preprocess_params["date_extract"] = True
+    if "text columns" in found:
+        made.preprocess_params |= {
+            "text_extract": True,
+            "text_feature_columns": list(found["text columns"].columns),
+            "text_drop_original": False,
+        }
+    if "rare categories" in found:
+        made.preprocess_params["rare_category_min_freq"] = RARE_FREQUENCY
+    return made

@@ -6,6 +6,8 @@ keeps a negative zero.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from ..operators.features import (
 )
 from ..operators.preprocess import TabularPreprocessor
 from ..operators.split import split_rows
-from ..sources.readers import load_labelled
+from ..sources.readers import load_labelled, read_table
 from ..sources.synthetic import transactions_for
 from ..sources.writers import stamped_name, write_table
 from .quality_queries import (
@@ -370,3 +372,28 @@ def csv_round_trip(spark, folder):
         F.sum("l_orderkey").alias("orders"),
         F.min("l_shipdate").alias("first_day"),
     )
+
+
+@query(
+    "csv_text_round_trip",
+    """SELECT 'documents' AS origin, doc_id AS id, 0::BIGINT AS turn, length(text) AS n, md5(text) AS digest,
+          lang AS mark FROM documents
+        UNION ALL SELECT 'conversations', conv_id, turn, length(text), md5(text), role FROM conversations""",
+)
+def csv_text_round_trip(spark, folder):
+    """Whole texts through CSV files: quotes, delimiters, line breaks and blanks survive."""
+    parts = []
+    for name, key, turn, mark in (
+        ("documents", "doc_id", F.lit(0), "lang"), ("conversations", "conv_id", F.col("turn"), "role")
+    ):
+        out = f"{ensure_checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}/{name}"
+        write_table(table(spark, folder, name), out, "csv")
+        back = read_table(spark, out)
+        parts.append(
+            back.select(
+                F.lit(name).alias("origin"), F.col(key).alias("id"), turn.cast("long").alias("turn"),
+                F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"),
+                F.col(mark).alias("mark"),
+            )
+        )
+    return parts[0].unionAll(parts[1])

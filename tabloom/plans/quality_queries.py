@@ -371,7 +371,7 @@ def target_imbalance(spark, folder):
         c = profile[target]
         rows.append(
             (target, c.n_distinct, round(c.top_share, 6),
-             any("highly imbalanced" in w for w in profile.warnings))
+             any(w.rule == "imbalanced_target" for w in profile.warnings))
         )
     return spark.createDataFrame(
         rows, "target string, n_classes long, top_share double, imbalanced boolean"
@@ -490,18 +490,15 @@ def rare_heavy_columns(spark, folder):
     """WITH t AS (SELECT text, lang, CAST(NULL AS VARCHAR) AS note,
                     CASE WHEN lang = 'en' THEN NULL ELSE source END AS lang_source
                   FROM documents)
-       SELECT CAST(0 AS INTEGER) AS position,
-         (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))
-           || ' duplicate rows detected.' AS warning FROM t
-       UNION ALL SELECT 1, 'Column ''note'' has high missing values (100.0%).'
-       UNION ALL SELECT 2, 'Column ''lang_source'' has high missing values (' ||
-         printf('%.1f', 100.0 * avg(CASE WHEN lang_source IS NULL THEN 1.0 ELSE 0.0 END))
-         || '%).' FROM t
-       UNION ALL SELECT 3, 'Constant columns found: [''note'']'
-       UNION ALL SELECT 4, 'High-cardinality categorical columns may reduce generalization: '
-         || '[''text'']'
-       UNION ALL SELECT 5,
-         'Potential leakage by column name similarity to target: [''lang_source'']'""",
+       SELECT 'duplicate_rows' AS rule, CAST(NULL AS VARCHAR) AS "column",
+         (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))::DOUBLE AS value FROM t
+       UNION ALL SELECT 'missing_values', 'note', 1.0
+       UNION ALL SELECT 'missing_values', 'lang_source',
+         avg(CASE WHEN lang_source IS NULL THEN 1.0 ELSE 0.0 END) FROM t
+       UNION ALL SELECT 'constant', 'note', 0.0
+       UNION ALL SELECT 'high_cardinality', 'text',
+         count(DISTINCT text)::DOUBLE / count(*) FROM t
+       UNION ALL SELECT 'name_like_target', 'lang_source', 1.0""",
 )
 def quality_warnings(spark, folder):
     df = table(spark, folder, "documents").select(

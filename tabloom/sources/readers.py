@@ -16,42 +16,76 @@ MISSING_TEXTS = [
 ]
 
 
+#: Standard CSV: quotes are doubled inside quoted fields, blanks belong to the value.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+_SURPLUS = "__surplus_field"
+
+
 def read_table(
     spark: SparkSession,
     source: str,
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
     **options,
 ) -> DataFrame:
     """Read a table lazily, missing values as NULL.
 
-    CSV needs a header row. Without ``schema`` CSV columns are inferred as
-    integer, double, boolean or text in one pass; dates stay text.
+    CSV needs a header row. Quoted fields may hold quotes, delimiters and line
+    breaks; ``multi_line=False`` lets Spark split very large single files, whose
+    fields must not hold line breaks then. A field that is exactly one of
+    ``MISSING_TEXTS`` is NULL, with and without a schema; blanks are kept. A row with
+    fewer fields than the header is filled up with NULL, a row with more is an error
+    when it is read. Without ``schema`` columns are inferred as integer, double,
+    boolean or text in one pass; dates stay text. With one, fields that don't fit
+    their type are NULL.
     """
     if fmt != "csv":
         reader = spark.read.format(fmt).options(**options)
         if schema is not None:
             reader = reader.schema(schema)
         return nan_to_null(reader.load(source))
+    options = {**CSV_OPTIONS, "multiLine": multi_line, **options}
     names = csv_header(spark, source, **options)
     duplicates = sorted({n for n in names if names.count(n) > 1})
     if duplicates:
         raise ValueError(f"duplicate column names found: {duplicates}")
-    if schema is not None:
-        return nan_to_null(
-            spark.read.options(header=True, **options).schema(schema).csv(source)
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    raw = spark.read.options(**options).schema(fields).csv(source)
+    whole = F.when(
+        col(_SURPLUS).isNotNull(),
+        F.raise_error(F.lit(f"a row of '{source}' has more fields than its header")),
+    ).otherwise(F.lit(True))
+    clean = raw.filter(whole.cast("boolean")).select(
+        *[F.when(~col(n).isin(MISSING_TEXTS), col(n)).alias(n) for n in names]
+    )
+    if schema is None:
+        return infer_types(clean)
+    wanted = spark.createDataFrame([], schema).schema
+    if len(wanted) != len(names):
+        raise ValueError(f"the schema has {len(wanted)} columns, '{source}' has {len(names)}")
+    return nan_to_null(
+        clean.toDF(*wanted.fieldNames()).select(
+            *[
+                (
+                    col(f.name) if isinstance(f.dataType, T.StringType)
+                    else F.trim(col(f.name)).try_cast(f.dataType)
+                ).alias(f.name)
+                for f in wanted.fields
+            ]
         )
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.options(header=True, **options).schema(text).csv(source)
-    clean = raw.select(
-        *[F.when(~F.trim(col(n)).isin(MISSING_TEXTS), col(n)).alias(n) for n in names]
     )
-    return infer_types(clean)
 
 
 def csv_header(spark: SparkSession, source: str, **options) -> list[str]:
     """Column names as written in the file, before Spark renames duplicates."""
-    first = spark.read.options(**{**options, "header": False}).csv(source).limit(1).collect()
+    options = {**CSV_OPTIONS, **options, "header": False}
+    first = spark.read.options(**options).csv(source).limit(1).collect()
     if not first:
         raise ValueError(f"'{source}' has no header")
     return [v if v is not None else f"_c{i}" for i, v in enumerate(first[0])]

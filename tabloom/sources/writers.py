@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.expressions import col
 from ..operators.profile import TableProfile
 from .files import path_exists
+from .readers import CSV_OPTIONS
 
 # Columns of the run history.
 HISTORY_COLUMNS = [
@@ -50,7 +51,7 @@ def write_table(
         df = df.orderBy(*[col(c) for c in order_by])
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.format(fmt).save(path)
     return path
@@ -82,7 +83,7 @@ def write_quality_report(
         "source_csv": source,
         "target_column": target if target is not None else profile.target,
         "summary": profile.summary,
-        "warnings": profile.warnings,
+        "warnings": [w.text for w in profile.warnings],
     }
     _write_json_row(spark, payload, f"{path}/report")
     profile.to_df(spark).coalesce(1).write.mode("overwrite").json(f"{path}/columns")

@@ -346,3 +346,34 @@ def test_prepare_then_train(spark, people):
     )
     assert np.isfinite(done.metrics["accuracy"])
     assert done.importances(spark).count() == len(done.bundle.preprocessor.feature_names)
+
+
+def test_csv_keeps_texts(spark, folder):
+    path = write(
+        folder, "t.csv",
+        'a,b,c\n1,"He said ""hi, you""",3\n2,"two\nlines",4\n3,  pad  ,5\n4,   ,6\n5,"NA",7\n6,NA\n',
+    )
+    rows = [tuple(r) for r in read_table(spark, path).orderBy("a").collect()]
+    assert rows == [
+        (1, 'He said "hi, you"', 3), (2, "two\nlines", 4), (3, "  pad  ", 5), (4, "   ", 6),
+        (5, None, 7), (6, None, None),
+    ]
+    typed = read_table(spark, path, schema="a int, b string, c double")
+    assert typed.schema.simpleString() == "struct<a:int,b:string,c:double>"
+    assert [tuple(r) for r in typed.orderBy("a").collect()] == rows
+
+
+def test_csv_surplus_fields_are_an_error(spark, folder):
+    path = write(folder, "t.csv", "a,b\n1,x\n2,y,EXTRA\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_table(spark, path)
+    with pytest.raises(Exception, match="more fields"):
+        read_table(spark, path, schema="a int, b string").collect()
+
+
+def test_csv_round_trip_of_awkward_texts(spark, folder):
+    texts = ['"', '""', 'a "q" b', "x,y", "l1\nl2", "r\rs", "c\r\nd", " lead", "trail ", "\\", 'end\\"', "\\\\,", "#no", "'", "é😀", "a;b\tc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = write_table(df.repartition(3), f"{folder}/texts")
+    back = read_table(spark, out, schema="id long, text string")
+    assert [r["text"] for r in back.orderBy("id").collect()] == texts
