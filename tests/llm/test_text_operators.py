@@ -19,19 +19,9 @@ from tabloom.llm import (
     tokens, toxicity,
 )
 from tabloom.llm.components import components
+from tests_llm_words import sentence, words
 
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
-SYLLABLES = ["ba", "ke", "lo", "mi", "nu", "ra", "se", "ti", "vo", "zy", "dor", "fen", "gal"]
-
-
-def words(rng, n):
-    return ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(n)]
-
-
-def sentence(rng, n):
-    return " ".join(words(rng, n)).capitalize() + "."
-
-
 def documents(spark, rows, extra=False):
     """(doc_id, text, ...) with clashing names of columns that operators make."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
