@@ -52,48 +52,60 @@ def path(tokens: np.ndarray, leading: int) -> int:
     return xxhash.xxh64_intdigest(tokens[:leading].tobytes(), len(tokens)) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc -> (doc_id, line, leaf, form, tokens) for lines of enough tokens."""
-    memo = Memo(_token_hash)
-    for whole in batches:
-        for batch in slices(whole):
-            rows, numbers, leaves, forms, tokens = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for number, line in enumerate(text.split("\n")):
-                    found = parse(line, memo)
-                    if len(found) < MIN_TOKENS:
-                        continue
-                    rows.append(row)
-                    numbers.append(number)
-                    leaves.append(path(found, DEPTH))
-                    forms.append(path(found, len(found)))
-                    tokens.append((found >> np.uint64(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(numbers, pa.int32()),
-                    pa.array(leaves, pa.int64()),
-                    pa.array(forms, pa.int64()),
-                    pa.array(tokens, pa.binary()),
-                ],
-                ["doc_id", "line", "leaf", "form", "tokens"],
-            )
+def _lines(with_tokens: bool):
+    """doc -> (doc_id, line, leaf, form) or (form, tokens) for lines of enough tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(_token_hash)
+        for whole in batches:
+            for batch in slices(whole):
+                rows, numbers, leaves, forms, tokens = [], [], [], [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    for number, line in enumerate(text.split("\n")):
+                        found = parse(line, memo)
+                        if len(found) < MIN_TOKENS:
+                            continue
+                        forms.append(path(found, len(found)))
+                        if with_tokens:
+                            tokens.append((found >> np.uint64(32)).astype("<u4").tobytes())
+                        else:
+                            rows.append(row)
+                            numbers.append(number)
+                            leaves.append(path(found, DEPTH))
+                if with_tokens:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(forms, pa.int64()), pa.array(tokens, pa.binary())],
+                        ["form", "tokens"],
+                    )
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(rows, pa.int64())),
+                            pa.array(numbers, pa.int32()), pa.array(leaves, pa.int64()),
+                            pa.array(forms, pa.int64()),
+                        ],
+                        ["doc_id", "line", "leaf", "form"],
+                    )
+
+    return run
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """form -> one row per position: (leaf, form, low, high, place), place hashing both."""
+    """form -> one row per position: (form, low, high, place), place naming leaf and token."""
     for whole in batches:
         for batch in slices(whole):
             tokens = [np.frombuffer(t, "<u4").astype(np.uint64) for t in batch.column(4).to_pylist()]
             if not tokens:
                 continue
             sizes = np.array([len(t) for t in tokens])
+            leaf = np.array(batch.column(0).to_pylist(), np.int64).view(np.uint64)
             at = np.concatenate([np.arange(n, dtype=np.uint64) for n in sizes])
-            place = mixed((np.concatenate(tokens) << np.uint64(32)) + at).view(np.int64)
+            value = mixed((np.concatenate(tokens) << np.uint64(32)) + at)
+            place = mixed(value + np.repeat(mixed(leaf), sizes)).view(np.int64)
             which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(which) for i in range(4)] + [pa.array(place)],
-                ["leaf", "form", "low", "high", "place"],
+                [batch.column(i).take(which) for i in (1, 2, 3)] + [pa.array(place)],
+                ["form", "low", "high", "place"],
             )
 
 
@@ -104,12 +116,9 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
     kind = texts.schema[0].dataType.simpleString()
     lines = stage(
-        texts.mapInArrow(
-            _lines, f"doc_id {kind}, line int, leaf long, form long, tokens binary"
-        ),
-        "lines",
+        texts.mapInArrow(_lines(False), f"doc_id {kind}, line int, leaf long, form long"), "lines"
     )
-    # Forms: lines that are equal up to fields. All tokens of a form are the same.
+    # Forms: lines that are equal up to fields. A form has one leaf and the same tokens.
     forms = stage(
         lines.groupBy("leaf", "form").agg(
             F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
@@ -121,45 +130,44 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("high").alias("h")
     ).filter("n > 1 and l < h").select("leaf")
     open_forms = stage(forms.join(mixed_leaves, "leaf", "left_semi"), "open-forms")
+    # The few forms that are compared by position get their tokens from the texts again.
     sample = (
-        lines.select("leaf", "form", "tokens")
-        .join(small_or_not(open_forms), ["leaf", "form"])
-        .groupBy("leaf", "form").agg(
-            F.first("low").alias("low"), F.first("high").alias("high"),
-            F.min("tokens").alias("tokens"),
+        texts.mapInArrow(_lines(True), "form long, tokens binary")
+        .join(small_or_not(open_forms), "form")
+        .groupBy("form").agg(
+            F.first("leaf").alias("leaf"), F.first("low").alias("low"),
+            F.first("high").alias("high"), F.min("tokens").alias("tokens"),
         )
         .select("leaf", "form", "low", "high", "tokens")
     )
     places = stage(
-        sample.mapInArrow(_positions, f"leaf long, form long, low {kind}, high {kind}, place long"),
-        "places",
+        sample.mapInArrow(_positions, f"form long, low {kind}, high {kind}, place long"), "places"
     )
-    shared = places.groupBy("leaf", "place").agg(
+    shared = places.groupBy("place").agg(
         F.min("low").alias("first"), F.max("high").alias("last")
-    ).filter(F.col("first") < F.col("last"))
+    ).filter(F.col("first") < F.col("last")).select("place", "first")
     generalised = (
-        places.join(shared, ["leaf", "place"], "left")
-        .groupBy("leaf", "form").agg(
+        places.select("form", "low", "place").join(shared, "place", "left")
+        .groupBy("form").agg(
             F.count(F.lit(1)).alias("n"),
             F.count("first").alias("constant"),
             F.sum((F.col("first") == F.col("low")).cast("int")).alias("own"),
         )
         .filter(F.col("constant") >= CONSTANT_SHARE * F.col("n"))
         # The form's first document is the template's if it is that of most constants.
-        .select("leaf", "form", (F.col("own") * 2 >= F.col("constant")).alias("leads"))
+        .select("form", (F.col("own") * 2 >= F.col("constant")).alias("leads"))
     )
     recurring = stage(
-        forms.join(generalised, ["leaf", "form"], "left")
+        forms.join(generalised, "form", "left")
         .filter((F.col("low") < F.col("high")) | F.col("leads").isNotNull())
         .select(
-            "leaf", "form",
+            "form",
             F.when(F.coalesce("leads", F.lit(True)), F.col("low")).alias("keeper"),
         ),
         "recurring",
     )
     return (
-        lines.select("doc_id", "line", "leaf", "form")
-        .join(recurring, ["leaf", "form"])
+        lines.select("doc_id", "line", "form").join(recurring, "form")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")) | F.col("doc_id").isNull())
         .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
     )
