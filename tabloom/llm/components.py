@@ -24,6 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         ).distinct(),
         "edges",
     )
+    if not edges.limit(1).count():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     last = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -13,10 +13,13 @@ smaller size that could be its partner, and probes its own band.
   uses its cheapest segments until the allowance suffices. Segments that nobody shares
   are free, so most sets have no candidate at all, and frequent segments (empty ones,
   common passages) are skipped.
+* Sets that are left with a costly bucket, and all sets in their buckets, are indexed
+  again with one-deletion neighbourhoods of all segments. A segment nobody comes near
+  counts twice then, which frees the much edited members of a group of copies.
 * Equal sets are one class before all that. A bucket's probes are checked against
-  one centre first; links join components, and later rounds check a probe only
-  against members of other components, so groups of near copies don't make all pairs.
-  The last round checks whatever is still open, so no link between components is lost.
+  one centre at a time; links join components, and a probe is only checked against
+  members of other components, so groups of near copies don't make all pairs. The last
+  round checks whatever is still open, so no link between components is lost.
 
 Hashes have 64 bits; class keys are checked for collisions against 128-bit digests and
 drawn anew if there are any.
@@ -46,8 +49,10 @@ BAND_RATIO = 1.3
 DELETIONS_UP_TO = 48
 #: Segments beyond the necessary number, so that costly ones can be skipped.
 SLACK = 0.15
-#: Rounds in which a bucket's probes meet one member per component.
-CENTRE_ROUNDS = 3
+#: Bucket size from which a probe counts as costly.
+COSTLY = 8
+#: Rounds in which a bucket's probes meet one member.
+CENTRE_ROUNDS = 5
 
 
 def shingles(text: str, width: int, memo: Memo) -> np.ndarray:
@@ -108,8 +113,13 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def signatures(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of segments, and tags: segment * 4 + (deletion: 2) + (own band: 1)."""
+def signatures(
+    found: np.ndarray, percent: int, deletions: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of segments, and tags: segment * 4 + (deletion: 2) + (own band: 1).
+
+    ``deletions`` adds one-deletion neighbourhoods in all bands.
+    """
     rules = bands(percent)
     size = len(found)
     own = rules.band(size)
@@ -125,7 +135,7 @@ def signatures(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]
         salt = np.uint64(band << 32) + np.arange(m, dtype=np.uint64)
         out.append(mixed(total + mixed(salt + np.uint64(1))))
         tags.append(np.arange(m) * 4 + (band == own))
-        if rules.allowance(band):
+        if deletions or rules.allowance(band):
             less = total[where] - scrambled
             out.append(mixed(less + mixed(salt[where] + np.uint64(1))))
             tags.append(where * 4 + 2 + (band == own))
@@ -210,6 +220,29 @@ def _contents(width: int, seed: int):
     return run
 
 
+def _deep_index(percent: int):
+    """(key, set) -> rows (sig, key, tag) with one-deletion neighbourhoods."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 64):
+                sigs, tags, keys = [], [], []
+                for key, content in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
+                ):
+                    s, t = signatures(np.frombuffer(content, np.uint64), percent, deletions=True)
+                    sigs.append(s)
+                    tags.append(t)
+                    keys.append(np.full(len(s), key, np.int64))
+                if sigs:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x)) for x in (sigs, keys, tags)],
+                        ["sig", "key", "tag"],
+                    )
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -250,8 +283,7 @@ def join(
     else:
         raise RuntimeError("class keys collide under every seed")
     classes = classes.select("key", "first_doc", "n")
-    links = _links(texts, classes, width, percent, seed)
-    labels = components(links).select(F.col("node").alias("key"), "label")
+    labels = _labels(texts, classes, width, percent, seed)
     # The smallest document of each component, then of each class.
     grouped = stage(
         classes.join(labels, "key", "left").select(
@@ -268,12 +300,13 @@ def join(
     ).select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _shared_buckets(texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """(sig, key, seg, deletion, own, c): rows of buckets that hold two classes or more."""
-    rows = texts.select("text").mapInArrow(_index(width, seed, percent), "sig long, key long, tag int")
-    every = Window.partitionBy("sig")
+def _shared_buckets(rows: DataFrame) -> DataFrame:
+    """(sig, key, seg, deletion, own, c): rows of buckets that hold two classes or more.
+
+    A bucket's rows are narrow and counted by a sort that spills; none is held whole.
+    """
     several = rows.select(
-        "*", F.count(F.lit(1)).over(every).alias("c")
+        "*", F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("c")
     ).filter("c > 1").select("sig", "key", "tag")
     # Copies from other tasks are the same rows again.
     several = stage(several.distinct(), "buckets")
@@ -299,88 +332,142 @@ def _allocation(percent: int):
     return table
 
 
-def _probes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(sig, key): the cheapest shared segments that a class needs besides its free ones."""
+def _probes(
+    shared: DataFrame, classes: DataFrame, percent: int, deletions: bool = False
+) -> DataFrame:
+    """(sig, key, c): the cheapest shared segments that a class needs besides its free ones.
+
+    A segment offers one unit of allowance at the size of its bucket, and with its
+    deletions a second one at the size of theirs too.
+    """
     spark = shared.sparkSession
     # One row per size band: about a hundred rows.
     table = F.broadcast(
         spark.createDataFrame(_allocation(percent), "low long, high long, m int, v int")
     )
-    costs = shared.filter("own").groupBy("key", "seg").agg(F.sum(F.col("c") - 1).alias("cost"))
+    own = shared.filter("own")
+    costs = own.groupBy("key", "seg").agg(
+        F.sum(F.when(~F.col("deletion"), F.col("c") - 1).otherwise(0)).alias("whole"),
+        F.sum(F.col("c") - 1).alias("both"),
+    )
     used = costs.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
+    second = F.lit(1) if deletions else F.col("v")
     need = (
         used.join(classes, "key")
         .join(table, (F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")))
         .select(
-            "key", "v",
+            "key", second.alias("v"),
             (
                 F.floor(F.lit(100 - percent) * F.col("n") / percent) + 1
-                - (F.col("m") - F.col("used")) * (F.col("v") + 1)
+                - (F.col("m") - F.col("used")) * (second + 1)
             ).alias("short"),
         )
         .filter("short > 0")
     )
-    order = Window.partitionBy("key").orderBy("cost", "seg")
+    units = costs.join(need, "key").select(
+        "key", "seg", "short",
+        F.explode(
+            F.when(
+                F.col("v") == 1,
+                F.array(
+                    F.struct(F.col("whole").alias("cost"), F.lit(0).alias("unit")),
+                    F.struct(F.col("both").alias("cost"), F.lit(1).alias("unit")),
+                ),
+            ).otherwise(F.array(F.struct(F.col("whole").alias("cost"), F.lit(0).alias("unit"))))
+        ).alias("u"),
+    ).select("key", "seg", "short", "u.*")
+    order = Window.partitionBy("key").orderBy("cost", "seg", "unit")
     chosen = (
-        costs.join(need, "key")
-        .withColumn("before", (F.row_number().over(order) - 1) * (F.col("v") + 1))
-        .filter(F.col("before") < F.col("short"))
-        .select("key", "seg")
+        units.withColumn("place", F.row_number().over(order)).filter("place <= short")
+        .groupBy("key", "seg").agg(F.max("unit").alias("unit"))
+    )
+    return (
+        own.join(chosen, ["key", "seg"])
+        .filter((F.col("unit") == 1) | ~F.col("deletion"))
+        .groupBy("sig", "key").agg(F.max("c").alias("c"))
     )
-    return shared.filter("own").join(chosen, ["key", "seg"]).select("sig", "key").distinct()
 
 
-def _links(
+def _members(shared: DataFrame, probes: DataFrame) -> DataFrame:
+    """(sig, key) of everything in a probed bucket."""
+    return shared.select("sig", "key").distinct().join(
+        probes.select("sig").distinct(), "sig", "left_semi"
+    )
+
+
+def _labels(
     texts: DataFrame, classes: DataFrame, width: int, percent: int, seed: int
 ) -> DataFrame:
-    """(a, b): links that connect all linked classes."""
+    """(key, label): the component of every class that shares a probed bucket."""
     spark = texts.sparkSession
-    shared = _shared_buckets(texts, width, percent, seed)
+    rows = texts.select("text").mapInArrow(_index(width, seed, percent), "sig long, key long, tag int")
+    shared = _shared_buckets(rows)
     probes = stage(_probes(shared, classes, percent), "probes")
-    none = spark.createDataFrame([], "a long, b long")
     if not probes.limit(1).count():
-        return none
+        return spark.createDataFrame([], "key long, label long")
+    met = stage(_members(shared, probes), "members")
+    wanted = stage(
+        met.select("key").distinct().join(
+            classes.select("key", F.col("first_doc").alias("doc_id")), "key"
+        ),
+        "participants",
+    )
+    contents = stage(_participants(texts, wanted, width, seed), "contents")
+    # Any partner of a class is in one of its probed buckets.
+    costly = probes.filter(F.col("c") >= COSTLY).select("key").distinct()
+    deep = met.join(probes.join(costly, "key", "left_semi").select("sig").distinct(), "sig", "left_semi")
+    deep_rows = contents.join(deep.select("key").distinct(), "key", "left_semi").mapInArrow(
+        _deep_index(percent), "sig long, key long, tag int"
+    )
+    deep_shared = _shared_buckets(deep_rows)
+    deep_probes = _probes(
+        deep_shared.join(costly, "key", "left_semi"), classes, percent, deletions=True
+    )
+    members = met.unionAll(_members(deep_shared, deep_probes)).distinct()
+    probes = stage(
+        probes.join(costly, "key", "left_anti").select("sig", "key")
+        .unionAll(deep_probes.select("sig", "key")).distinct(),
+        "probes",
+    )
     # Members of probed buckets, with sizes; degree tells how much a class shares.
     degree = shared.groupBy("key").agg(F.sum("c").alias("degree"))
     members = stage(
-        shared.select("sig", "key").distinct()
-        .join(probes.select("sig").distinct(), "sig", "left_semi")
-        .join(degree, "key").join(classes.select("key", "n", "first_doc"), "key"),
+        members.join(probes.select("sig").distinct(), "sig", "left_semi")
+        .join(degree, "key").join(classes.select("key", "n"), "key"),
         "members",
     )
     sizes = classes.select("key", "n")
-    wanted = stage(
-        members.groupBy("key").agg(F.first("first_doc").alias("doc_id")), "participants"
-    )
-    contents = stage(_participants(texts, wanted, width, seed), "contents")
     checked: DataFrame | None = None
-    links = none
-    labels = spark.createDataFrame([], "key long, label long")
+    labels = wanted.select("key", F.col("key").alias("label"))
     step = -1
     while step < CENTRE_ROUNDS:
         step += 1
-        named = members.join(labels, "key", "left").select(
-            "sig", "key", "n", "degree", F.coalesce("label", "key").alias("label")
-        )
-        asking = probes.join(labels, "key", "left").join(sizes, "key").select(
-            "sig", "key", "n", F.coalesce("label", "key").alias("label")
-        )
+        named = members.join(labels, "key").select("sig", "key", "n", "degree", "label")
+        asking = probes.join(labels, "key").join(sizes, "key").select("sig", "key", "n", "label")
         if step == 0:
             centres = named.groupBy("sig").agg(
                 F.max_by(F.struct("key", "n", "label"), F.struct("degree", -F.col("key"))).alias("x")
             ).select("sig", "x.*")
         elif step < CENTRE_ROUNDS:
-            centres = named.groupBy("sig", "label").agg(
-                F.min_by(F.struct("key", "n"), F.xxhash64("key", F.lit(step))).alias("x")
-            ).select("sig", "label", "x.*")
+            centres = named.groupBy("sig").agg(
+                F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(step))).alias("x")
+            ).select("sig", "x.*")
         else:
             centres = named.select("sig", "label", "key", "n")
         centres = centres.select(
             "sig", F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("its")
         )
+        if step < CENTRE_ROUNDS:
+            met = asking.join(centres, "sig").filter(F.col("label") != F.col("its"))
+        else:
+            # Components meet first, so that members of one component never do.
+            groups = named.select("sig", "label").distinct()
+            across = groups.join(
+                groups.select("sig", F.col("label").alias("its")), "sig"
+            ).filter(F.col("label") != F.col("its"))
+            met = asking.join(across, ["sig", "label"]).join(centres, ["sig", "its"])
         pairs = (
-            asking.join(centres, "sig")
-            .filter(F.col("label") != F.col("its"))
+            met
             .filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
             .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
             .distinct()
@@ -401,10 +488,22 @@ def _links(
         )
         done = results.select("a", "b")
         checked = done if checked is None else checked.unionAll(done)
-        links = links.unionAll(results.filter("linked").select("a", "b"))
-        if step < CENTRE_ROUNDS:
-            labels = components(links).select(F.col("node").alias("key"), "label")
-    return links
+        labels = _joined(labels, results.filter("linked"))
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining components that are linked; only labels are searched."""
+    left = labels.select(F.col("key").alias("a"), F.col("label").alias("u"))
+    right = labels.select(F.col("key").alias("b"), F.col("label").alias("v"))
+    between = links.join(left, "a").join(right, "b").select(
+        F.col("u").alias("a"), F.col("v").alias("b")
+    )
+    merged = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return stage(
+        labels.join(merged, "label", "left").select("key", F.coalesce("root", "label").alias("label")),
+        "labels",
+    )
 
 
 def _participants(texts: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
