@@ -48,6 +48,22 @@ DATE_LAYOUTS: list[tuple[str | None, str]] = [
     ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
     ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
     ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy/M/d H:mm", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$"),
+    ("d/M/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("M-d-yyyy H:mm", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$"),
+    ("d-M-yyyy H:mm", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}$"),
+    ("M-d-yyyy H:mm:ss", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("d-M-yyyy H:mm:ss", r"^\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("d.M.yyyy H:mm", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{2}$"),
+    ("d.M.yyyy H:mm:ss", r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"),
+    ("M/d/yyyy h:mm a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$"),
+    ("M/d/yyyy h:mm:ss a", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$"),
+    ("yyyy-M-d h:mm a", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2} [AaPp][Mm]$"),
+    ("yyyy-M-d h:mm:ss a", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$"),
 ]
 
 

@@ -19,13 +19,22 @@ from ..functions.runtime import checkpointed
 MIN_BINS, MAX_BINS = 5, 30
 TOP_FEATURES = 10
 
+# A matrix is a report: with more labels than this it is refused.
+MAX_LABELS = 1_000
+
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(actual, predicted, n) for every pair of labels, zero counts included."""
+    """(actual, predicted, n) for every pair of labels, zero counts included.
+
+    More than ``MAX_LABELS`` different labels are an error.
+    """
     counted = (
         df.groupBy(col(label).alias("actual"), col(prediction).alias("predicted"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    found = counted.select(F.explode(F.array("actual", "predicted")).alias("v")).distinct()
+    if found.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"'{label}' and '{prediction}' have more than {MAX_LABELS} labels")
     # One row per label pair: from here on the data is as small as the label set.
     labels = counted.select(
         F.explode(F.array("actual", "predicted")).alias("v")

@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting, Zhou 2008).
 
-A tree needs 256 rows whatever the size of the table. One pass draws a pool of
-at most about 60,000 rows, every tree draws its own sample from the pool, and
-the trees are grown in parallel, one task per tree. Scoring walks all trees over
+A tree needs 256 rows whatever the size of the table. One pass deals every row to
+the trees by hashes, with the same chance for each row and tree, and the trees are
+grown in parallel, one task per tree. Scoring walks all trees over
 Arrow batches. The decision offset is an exact quantile of the training scores.
 """
 
@@ -24,7 +24,6 @@ from ..persistence import FittedStage
 from .common import anomaly_columns
 
 SAMPLE_ROWS = 256
-POOL_ROWS = 60_000
 WALK_ROWS = 512
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, "
@@ -162,16 +161,22 @@ class IsolationForest(Estimator):
             F.xxhash64(F.lit(seed), identity).alias("id"),
             vector_to_array("features").alias("x"),
         )
-        share = min(1.0, POOL_ROWS / n)
-        if share < 1.0:
-            rows = rows.filter(_uniform(F.xxhash64(F.lit(seed + 1), "id")) < share)
-        pool = n * share
         # Twice the sample on average, so that a tree practically never falls short.
-        draw = min(1.0, (2.0 * psi + 64.0) / pool)
+        chance = min(1.0, (2.0 * psi + 64.0) / n)
+        trees = self.n_estimators
+        # The trees fall into as many ranges as a row enters trees on average, one at
+        # least; in each range a row enters one tree or none. A big table has one range.
+        ranges = max(1, min(trees, math.ceil(chance * trees)))
+        place = F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))
+        first = F.floor(F.col("range") * trees / ranges)
+        size = F.floor((F.col("range") + 1) * trees / ranges) - first
         drawn = (
-            rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.n_estimators - 1))))
-            .withColumn("u", _uniform(F.xxhash64(F.lit(seed + 2), "tree", "id")))
-            .filter(F.col("u") < draw)
+            rows.withColumn("range", place)
+            .withColumn("u", _uniform(F.xxhash64(F.lit(seed + 2), "range", "id")))
+            .filter(F.col("u") < chance * size)
+            .withColumn(
+                "tree", (first + F.pmod(F.xxhash64(F.lit(seed + 3), "range", "id"), size)).cast("int")
+            )
         )
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

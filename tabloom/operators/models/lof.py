@@ -53,7 +53,7 @@ class LocalOutlierFactor(Estimator):
         if n < 2:
             raise ValueError("local outlier factor needs at least 2 rows")
         k = min(self.n_neighbors, n - 1)
-        near = nearest_neighbors(points, points, k, same=True)
+        near = checkpointed(nearest_neighbors(points, points, k, same=True))
         own = points.filter(F.col("copies") > 1).select(
             F.col("id").alias("qid"),
             F.col("id").alias("pid"),
@@ -87,7 +87,7 @@ class LocalOutlierFactorModel(FittedStage):
         """Add ``raw_score``: about 1 inside a cluster, greater for outliers."""
         k, points = self.state["k"], self.tables["points"]
         queries = checkpointed(_distinct(_vector_rows(dataset)))
-        near = nearest_neighbors(queries, points, k)
+        near = checkpointed(nearest_neighbors(queries, points, k))
         taken = checkpointed(_take(_attach(near, points.select("id", "copies")), k))
         scores = _factors(taken, points, k).join(
             queries.select(F.col("id").alias("qid"), F.col("copies").alias("__copies")), "qid"

@@ -12,7 +12,9 @@ DEEPEST = 30
 
 
 def _depth(max_depth: int | None) -> int:
-    return DEEPEST if max_depth is None else min(int(max_depth), DEEPEST)
+    if max_depth is not None and int(max_depth) > DEEPEST:
+        raise ValueError(f"max_depth is {max_depth}, trees here have at most {DEEPEST} levels")
+    return DEEPEST if max_depth is None else int(max_depth)
 
 
 def train_forest_classifier(

@@ -45,7 +45,6 @@ from .target_encoding import (
 
 FEATURES = "features"
 ENCODINGS = ("onehot", "ordinal", "target")
-NAMED_CATEGORIES = 10_000
 
 
 @dataclass
@@ -308,8 +307,7 @@ class TabularPreprocessorModel(FittedStage):
             return names
         if cfg.encoding_strategy in ("ordinal", "target"):
             return names + [f"cat__{c}" for c in s.categorical]
-        if sum(s.sizes.values()) > NAMED_CATEGORIES:
-            return names + [f"cat__{c}_{i}" for c in s.categorical for i in range(s.sizes[c])]
+        # One row per one-hot feature, as many as the vector is wide.
         rows = self.tables["categories"].select("column", "value", "idx").collect()
         place = {(r["column"], r["idx"]): r["value"] for r in rows}
         return names + [

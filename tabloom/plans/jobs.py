@@ -43,13 +43,12 @@ ROW_KEY = "__row"
 MODEL_SETTINGS: dict[str, tuple[str, ...]] = {
     "classification_rf": (
         "n_estimators", "max_depth", "min_samples_leaf", "class_weight", "random_state",
-        "min_samples_split",
     ),
     "classification_logreg": ("C", "max_iter", "class_weight", "random_state"),
     "classification_xgboost": (
         "n_estimators", "max_depth", "learning_rate", "subsample", "random_state",
     ),
-    "regression_rf": ("n_estimators", "max_depth", "random_state", "min_samples_split"),
+    "regression_rf": ("n_estimators", "max_depth", "random_state"),
     "regression_linear": ("fit_intercept",),
     "regression_ridge": ("alpha",),
     "regression_lasso": ("alpha", "max_iter"),
@@ -78,7 +77,7 @@ def fit_model(train: DataFrame, model_type: str, keys: list[str] | None = None,
     unknown = sorted(set(params) - set(MODEL_SETTINGS[name]))
     if unknown:
         raise ValueError(f"unknown settings for {name}: {unknown}")
-    p = {k: v for k, v in params.items() if k not in ("class_weight", "min_samples_split")}
+    p = {k: v for k, v in params.items() if k != "class_weight"}
     seed = int(p.pop("random_state", 42))
     if params.get("class_weight"):
         train = add_balanced_weights(train, "label")
@@ -123,6 +122,7 @@ class PreparedData:
 
     def release(self) -> None:
         self.train.unpersist()
+        self.test.unpersist()
 
 
 def prepare(
@@ -184,7 +184,8 @@ def prepare(
     train = cached_for_iteration(
         train.withColumn("label", label).select(*[col(c) for c in columns])
     )
-    test = test.withColumn("label", label)
+    # Scored once per model; kept when the first model reads it.
+    test = test.withColumn("label", label).persist(StorageLevel.MEMORY_AND_DISK)
     return PreparedData(
         train, test, fitted, task, target, dtype, labels, counts, keys, random_state, df
     )

@@ -266,14 +266,12 @@ def fix_fill_simple(spark, folder):
 @query(
     "fix_actions",
     f"""WITH t AS ({GAPS_SQL})
-        SELECT CAST(0 AS INTEGER) AS position, 'Dropped ' || count(*) ||
-          ' rows with missing target ''l_returnflag''.' AS action
+        SELECT CAST(0 AS INTEGER) AS position, 'rows without l_returnflag removed: ' || count(*) AS action
         FROM t WHERE l_returnflag IS NULL
         UNION ALL
-        SELECT 1, 'Filled missing values in columns: {{''l_quantity'': ' ||
-          count(*) FILTER (WHERE l_quantity IS NULL) || ', ''l_discount'': ' ||
-          count(*) FILTER (WHERE l_discount IS NULL) || ', ''l_linestatus'': ' ||
-          count(*) FILTER (WHERE l_linestatus IS NULL) || '}}'
+        SELECT 1, 'gaps filled: l_quantity ' || count(*) FILTER (WHERE l_quantity IS NULL)
+          || ', l_discount ' || count(*) FILTER (WHERE l_discount IS NULL)
+          || ', l_linestatus ' || count(*) FILTER (WHERE l_linestatus IS NULL)
         FROM t WHERE l_returnflag IS NOT NULL""",
 )
 def fix_actions(spark, folder):
@@ -589,8 +587,8 @@ def unseen_values_query(spark, folder):
 
 @query(
     "auto_prepare",
-    f"""WITH t AS (SELECT l_linenumber, l_quantity, l_discount, l_returnflag, l_linestatus
-                   FROM ({GAPS_SQL}) WHERE l_linenumber <> 1),
+    f"""WITH t AS (SELECT l_linenumber, CASE WHEN l_linenumber > 3 THEN l_quantity END AS l_quantity,
+                     l_discount, l_returnflag, l_linestatus FROM ({GAPS_SQL})),
         u AS (SELECT DISTINCT * FROM t),
         f AS (SELECT * FROM u WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL
               AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL)
@@ -598,8 +596,9 @@ def unseen_values_query(spark, folder):
 )
 def auto_prepare_query(spark, folder):
     """Profile, recommend and fix in one go; here rows get dropped, not filled."""
-    df = lineitem_with_gaps(spark, folder).filter("l_linenumber <> 1").select(
-        "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+    df = lineitem_with_gaps(spark, folder).select(
+        "l_linenumber", F.when(F.col("l_linenumber") > 3, F.col("l_quantity")).alias("l_quantity"),
+        "l_discount", "l_returnflag", "l_linestatus",
     )
     done = auto_prepare(df, rare_grouping=False)
     return fix_summary(done.fixed.df.select(*[col(c) for c in df.columns]))

@@ -248,10 +248,10 @@ OUTCOMES_SQL = """SELECT s_nationkey, round(min(s_acctbal), 2) AS baseline_score
         SELECT s_nationkey, round(gain, 4) AS improvement_pct, size_delta_bytes,
           round(size_pct, 4) AS size_change_pct,
           CASE WHEN best_score <= baseline_score THEN
-            'Keep the baseline model; tuning did not improve the selected metric.'
+            'keep baseline: no better score'
           WHEN gain >= 5 AND (size_pct IS NULL OR size_pct <= 25) AND elapsed_seconds <= 600 THEN
-            'Recommended for production after standard validation checks.'
-          ELSE 'Promising candidate; review metric gain, runtime, and model size before production.'
+            'take tuned model: gain, size and time within limits'
+          ELSE 'decide by hand: better score, but a limit is missed'
           END AS recommendation FROM r""",
 )
 def tuning_report(spark, folder):
@@ -333,13 +333,13 @@ def coerce_to_schema_query(spark, folder):
 
 @query(
     "coercion_problems",
-    """SELECT 'o_custkey' AS "column", 'contains invalid integer values' AS problem,
+    """SELECT 'o_custkey' AS "column", 'integer expected' AS problem,
          count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n FROM orders
-       UNION ALL SELECT 'o_custkey', 'contains non-integer values',
+       UNION ALL SELECT 'o_custkey', 'fraction in an integer',
          count(*) FILTER (WHERE o_orderpriority = '2-HIGH') FROM orders
-       UNION ALL SELECT 'o_totalprice', 'contains invalid numeric values',
+       UNION ALL SELECT 'o_totalprice', 'number expected',
          count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders
-       UNION ALL SELECT 'o_flag', 'contains invalid boolean values',
+       UNION ALL SELECT 'o_flag', 'boolean expected',
          count(*) FILTER (WHERE o_orderpriority = '5-LOW') FROM orders""",
 )
 def coercion_problems_query(spark, folder):

@@ -120,7 +120,7 @@ def test_class_weights_and_target_checks(spark):
     got = {r["value"]: r["weight"] for r in balanced_weights(df, "y").collect()}
     assert got == {"a": pytest.approx(8 / 12), "b": pytest.approx(2.0)}
     assert check_target(df, "y") == {"a": 6, "b": 2}
-    with pytest.raises(ValueError, match="exactly 2"):
+    with pytest.raises(ValueError, match="exactly 2 classes"):
         check_target(spark.createDataFrame([(i % 3,) for i in range(9)], "y long"), "y")
     with pytest.raises(ValueError, match="at least 2 rows"):
         check_target(spark.createDataFrame([(0,), (0,), (1,)], "y long"), "y")
@@ -178,13 +178,11 @@ def test_isolation_forest_flags_its_share_and_ignores_partitioning(spark):
     assert a.transform(df).filter("prediction = 1").count() == 51
 
 
-def test_isolation_forest_of_a_pool(spark, monkeypatch):
-    import tabloom.operators.models.isolation_forest as module
-
-    monkeypatch.setattr(module, "POOL_ROWS", 400)
+def test_isolation_forest_deals_rows_to_few_trees(spark):
+    """Rows outnumber the draws, so most rows enter one tree of a few, or none."""
     rng = np.random.default_rng(4)
     df = frame(spark, np.vstack([rng.normal(size=(3000, 2)), rng.normal(size=(30, 2)) + 30.0]))
-    model = IsolationForest(contamination=0.01, keys=["id"]).fit(df)
+    model = IsolationForest(contamination=0.01, n_estimators=4, keys=["id"]).fit(df)
     top = model.transform(df).orderBy(F.col("raw_score").desc()).limit(25).collect()
     assert all(r["id"] >= 3000 for r in top)
 
@@ -272,24 +270,50 @@ def exact_one_class_scores(x, nu, gamma):
     return f - np.median(f[(a > 1e-6) & (a < cap - 1e-6)])
 
 
-def test_one_class_svm_equals_the_kernel_solution_on_small_tables(spark):
+def test_one_class_svm_is_near_the_kernel_solution(spark):
     x = np.random.default_rng(11).normal(size=(300, 2))
     exact = exact_one_class_scores(x, 0.1, 0.5)
-    model = OneClassSVM(nu=0.1).fit(frame(spark, x))
+    model = OneClassSVM(nu=0.1, n_components=1500).fit(frame(spark, x))
     rows = sorted(model.transform(frame(spark, x)).collect(), key=lambda r: r["id"])
     score = np.array([-r["anomaly_score"] for r in rows])
-    assert np.corrcoef(score, exact)[0, 1] > 0.995
-    clear = np.abs(exact) > 0.002
-    assert ((score < 0) == (exact < 0))[clear].mean() > 0.98
-
-
-def test_one_class_svm_with_few_landmarks_is_close(spark):
-    x = np.random.default_rng(12).normal(size=(600, 2))
-    full = OneClassSVM(nu=0.1).fit(frame(spark, x)).transform(frame(spark, x))
-    few = OneClassSVM(nu=0.1, n_landmarks=100).fit(frame(spark, x)).transform(frame(spark, x))
-    a = [r["raw_score"] for r in sorted(full.collect(), key=lambda r: r["id"])]
-    b = [r["raw_score"] for r in sorted(few.collect(), key=lambda r: r["id"])]
-    assert np.corrcoef(a, b)[0, 1] > 0.99
+    assert np.corrcoef(score, exact)[0, 1] > 0.95
+    clear = np.abs(exact) > 0.05
+    assert ((score < 0) == (exact < 0))[clear].mean() > 0.95
+
+
+def test_one_class_svm_is_the_same_on_a_doubled_table(spark):
+    x = np.random.default_rng(12).normal(size=(300, 2))
+    for kernel in ("rbf", "sigmoid"):
+        settings = dict(nu=0.1, kernel=kernel, n_components=100, max_iter=4)
+        once = OneClassSVM(**settings).fit(frame(spark, x))
+        twice = OneClassSVM(**settings).fit(
+            frame(spark, np.concatenate([x, x])).repartition(16)
+        )
+        a, b = (
+            [r["raw_score"] for r in sorted(m.transform(frame(spark, x)).collect(), key=lambda r: r["id"])]
+            for m in (once, twice)
+        )
+        assert np.corrcoef(a, b)[0, 1] > 0.99
+
+
+def test_isolation_forest_does_not_hang_on_partitions(spark):
+    x = np.random.default_rng(13).normal(size=(2000, 3))
+    fits = [
+        IsolationForest(contamination=0.02, n_estimators=20, keys=["id"]).fit(frame(spark, x).repartition(p))
+        for p in (2, 16)
+    ]
+    a, b = ([r["raw_score"] for r in sorted(m.transform(frame(spark, x)).collect(), key=lambda r: r["id"])] for m in fits)
+    np.testing.assert_allclose(a, b)
+
+
+def test_depth_beyond_the_deepest_tree_is_an_error():
+    from tabloom.operators.models.trees import train_forest_classifier
+
+    class Columns:
+        columns = ["features", "label"]
+
+    with pytest.raises(ValueError, match="max_depth"):
+        train_forest_classifier(Columns(), max_depth=31)
 
 
 def test_permutation_importance_of_a_known_model(spark):
