@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.runtime import ensure_checkpoint_dir
 
 #: Entries that a worker keeps of words it has seen; a full memo starts anew.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 100_000
 
 #: Rows handled at once inside an Arrow batch, so that long texts don't pile up as Python objects.
 SLICE_ROWS = 256

@@ -21,7 +21,7 @@ import tokenizers
 from .common import Memo
 
 #: Words, and pieces of words, that a worker keeps the ids of.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 #: Characters of tokens that end a sentence.
 SENTENCE_END = frozenset(".!?")
