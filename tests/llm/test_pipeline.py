@@ -32,7 +32,7 @@ def corpus(spark, folder):
     base = words(rng, 200)
     for i in range(520, 523):  # near copies whose lines differ in their first words
         copy = list(base)
-        copy[0] = f"start{i}"
+        copy[0] = "start" + "xyz"[i - 520]
         texts[i] = " ".join(copy)
     docs = spark.createDataFrame(
         [(i, t, "xx", "s", len(t)) for i, t in texts.items()] + [(600, None, None, None, None), (601, "", "xx", "s", 0)],
