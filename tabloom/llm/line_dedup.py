@@ -1,6 +1,7 @@
 """Line removal with a log-template tree.
 
-A line's tokens are its words; a token with a digit is a variable field. The tree has
+A line's tokens are its words, and single characters in scripts without blanks, where two
+count as a word; a token with a digit is a variable field. The tree has
 a fixed depth: number of tokens, then the first ``DEPTH`` tokens. Lines of one leaf
 generalise by position: a position is constant where its token recurs in another
 document at the same position of the leaf, else it is a field. A line with at least
@@ -12,8 +13,9 @@ Everything is minima and maxima of document ids per line form or per position, s
 counting is combined before each shuffle and no leaf is gathered anywhere.
 
 Defined results: NULL text stays NULL with no lines; blank lines and lines of fewer
-than ``MIN_TOKENS`` tokens recur by chance and stay, unless every longer line of the
-document is dropped, when the text becomes empty; a line repeated inside one document
+than ``MIN_TOKENS`` words recur by chance and stay, unless all that is left of a document
+are short lines that an earlier document has too, word for word, when the text becomes
+empty; a short line stays in its first document always; a line repeated inside one document
 only stays; rows of one id count as one document; lines of a NULL id are dropped if
 they recur elsewhere; an empty table gives no rows; other columns are kept.
 """
@@ -36,15 +38,31 @@ MIN_TOKENS = 5
 CONSTANT_SHARE = 0.8
 _DIGIT = re.compile(rb"[0-9]")
 _FIELD = b"<*>"
+#: Thai, Lao, Tibetan, Burmese, Khmer, Tai and Javanese letters, kana and Han characters.
+_UNSPACED = re.compile(
+    "[\u0e01-\u0e4e\u0e80-\u0ece\u0f00-\u0fff\u1000-\u109f\u1780-\u17d3\u1950-\u19df\u1a20-\u1aad"
+    "\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9df\uaa60-\uaa7f\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff]"
+)
 
 
 def _token_hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(_FIELD if _DIGIT.search(token) else token)
 
 
-def parse(line: str, memo: Memo) -> np.ndarray:
-    """Hashed tokens; all fields hash alike."""
-    return hashes(line.encode("utf-8", "surrogatepass").split(), memo)
+def parse(line: str) -> tuple[list[bytes], bool]:
+    """Tokens of a line, and whether they are too few to be judged as a template."""
+    if line.isascii():
+        tokens = line.encode().split()
+        return tokens, len(tokens) < MIN_TOKENS
+    line, single = _UNSPACED.subn(r" \g<0> ", line)
+    tokens = line.encode("utf-8", "surrogatepass").split()
+    return tokens, 2 * len(tokens) - single < 2 * MIN_TOKENS
+
+
+def exact(tokens: list[bytes]) -> int:
+    """Hash of the tokens as they are, fields too."""
+    return xxhash.xxh64_intdigest(b" ".join(tokens), 1) - (1 << 63)
 
 
 def path(tokens: np.ndarray, leading: int) -> int:
@@ -53,7 +71,7 @@ def path(tokens: np.ndarray, leading: int) -> int:
 
 
 def _lines(with_tokens: bool):
-    """doc -> (doc_id, line, leaf, form) or (form, tokens) for lines of enough tokens."""
+    """doc -> (doc_id, line, leaf, form) or (form, tokens); short lines have no leaf or tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(_token_hash)
@@ -62,9 +80,16 @@ def _lines(with_tokens: bool):
                 rows, numbers, leaves, forms, tokens = [], [], [], [], []
                 for row, text in enumerate(batch.column(1).to_pylist()):
                     for number, line in enumerate(text.split("\n")):
-                        found = parse(line, memo)
-                        if len(found) < MIN_TOKENS:
+                        words, short = parse(line)
+                        if not words or short and with_tokens:
+                            continue
+                        if short:
+                            rows.append(row)
+                            numbers.append(number)
+                            leaves.append(None)
+                            forms.append(exact(words))
                             continue
+                        found = hashes(words, memo)
                         forms.append(path(found, len(found)))
                         if with_tokens:
                             tokens.append((found >> np.uint64(32)).astype("<u4").tobytes())
@@ -110,7 +135,8 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lines): numbers of the lines to drop, for documents that have any."""
+    """(doc_id, lines, shared): numbers of the lines to drop, for documents that have any,
+    and of short lines that an earlier document has too."""
     texts = docs.filter(F.col(text).isNotNull()).select(
         F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")
     )
@@ -126,7 +152,7 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         "forms",
     )
     # Only leaves with several forms, in more than one document, can generalise further.
-    mixed_leaves = forms.groupBy("leaf").agg(
+    mixed_leaves = forms.filter(F.col("leaf").isNotNull()).groupBy("leaf").agg(
         F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("high").alias("h")
     ).filter("n > 1 and l < h").select("leaf")
     open_forms = stage(forms.join(mixed_leaves, "leaf", "left_semi"), "open-forms")
@@ -167,29 +193,34 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         "recurring",
     )
     return (
-        lines.select("doc_id", "line", "form").join(recurring, "form")
+        lines.join(recurring, "form")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")) | F.col("doc_id").isNull())
-        .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+        .groupBy("doc_id").agg(
+            F.collect_set(F.when(F.col("leaf").isNotNull(), F.col("line"))).alias("lines"),
+            F.collect_set(F.when(F.col("leaf").isNull(), F.col("line"))).alias("shared"),
+        )
+        .filter(F.size("lines") > 0)
     )
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with cleaned texts, besides ``n_lines`` and ``n_dropped`` (long)."""
     found = stage(drops(docs, key, text), "drops").select(
-        F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")
+        F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("shared").alias("__shared")
     )
     kept_columns = docs.columns
     split = F.split(F.col(text), "\n")
-    enough = F.size(
+    unique = F.size(
         F.filter(
             split,
-            lambda x, i: (F.regexp_count(x, F.lit("[^ \\t\\x0B\\f\\r]+")) >= MIN_TOKENS)
-            & ~F.array_contains("__lines", i),
+            lambda x, i: x.rlike("[^ \\t\\x0B\\f\\r]")
+            & ~F.array_contains("__lines", i)
+            & ~F.array_contains("__shared", i),
         )
     )
     stays = F.filter(split, lambda x, i: ~F.array_contains("__lines", i))
     cleaned = F.when(F.col("__lines").isNull(), F.col(text)).when(
-        enough == 0, F.lit("")
+        unique == 0, F.lit("")
     ).otherwise(F.array_join(stays, "\n"))
     joined = docs.join(small_or_not(found), F.col(key).eqNullSafe(F.col("__id")), "left")
     return joined.select(

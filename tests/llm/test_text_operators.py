@@ -402,6 +402,22 @@ def test_repeats_inside_a_document_stay(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_short_lines_are_judged_before_a_document_goes(spark):
+    """A document is emptied only if its short lines are all found in an earlier one."""
+    footer = "sent from the old post office"
+    poem = "red leaf\nstill pond\nno wind"
+    rows = [(1, f"{poem}\n{footer}"), (2, f"{poem}\n{footer}"), (3, f"no wind\nnew moon\n{footer}"), (4, f"no wind\n \n{footer}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "no wind\nnew moon", 4: ""}
+
+
+def test_lines_in_scripts_without_blanks(spark):
+    line = "本网站所有内容未经许可不得转载"
+    rows = [(i, f"{line}\n{own}\n再见") for i, own in enumerate(["今天的天气很好我们去公园", "他昨天买了三本新书和一支笔"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove(documents(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1].removeprefix(f"{line}\n")}
+
+
 # ---- decontamination
 
 
