@@ -418,6 +418,49 @@ def test_lines_in_scripts_without_blanks(spark):
     assert got == {0: rows[0][1], 1: rows[1][1].removeprefix(f"{line}\n")}
 
 
+def test_templates_keep_a_line_that_agrees(spark):
+    """Positions that recur in different lines of a leaf make no template; a template keeps a line."""
+    rng = random.Random(15)
+    lead = "it is a"
+    a, b = words(rng, 17), words(rng, 17)
+    mixed = " ".join(x if k % 2 else y for k, (x, y) in enumerate(zip(a, b)))
+    rows = [(0, f"{lead} {' '.join(a)}"), (1, f"{lead} {' '.join(b)}"), (2, f"{lead} {mixed}")]
+    # Each line near the one before it: the third is far from the first and starts a template.
+    chain, line = [], words(rng, 20)
+    for i in range(10, 14):
+        chain.append((i, f"{lead} {' '.join(line)}"))
+        line = [f"{w}x" if (i - 10) * 4 <= k < (i - 9) * 4 else w for k, w in enumerate(line)]
+    tables = [(20 + i, f"{i} {i * i} 3{i} 4{i} 5{i}") for i in range(4)] + [(30, "1 1 31 41 51")]
+    rows += chain + tables
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove(documents(spark, rows)).collect()}
+    gone = {i for i, text in got.items() if text == ""}
+    assert gone == {11, 13, 30}
+    assert all(got[i] == text for i, text in rows if i not in gone)
+
+
+def test_templates_of_a_leaf_by_brute_force(monkeypatch, spark):
+    rng = random.Random(16)
+    bases, rows = [words(rng, 12) for _ in range(6)], []
+    for i in range(150):
+        line = list(rng.choice(bases))
+        for k in rng.sample(range(12), rng.randrange(6)):
+            line[k] = rng.choice(["7", "other", "some", *words(rng, 1)])
+        rows.append((i, "here we have " + " ".join(line)))
+    first, gone = [], set()
+    for i, text in rows:
+        line = ["" if re.search("[0-9]", w) else w for w in text.split()]
+        if line.count("") > 3:
+            continue
+        if any(sum(x == y != "" for x, y in zip(line, f)) >= 12 for f in first):
+            gone.add(i)
+        else:
+            first.append(line)
+    for rounds in (0, 2):
+        monkeypatch.setattr(line_dedup, "CENTRE_ROUNDS", rounds)
+        got = line_dedup.remove(documents(spark, rows)).filter("text = ''").collect()
+        assert {r["doc_id"] for r in got} == gone
+
+
 # ---- decontamination
 
 
