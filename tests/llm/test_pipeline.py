@@ -83,6 +83,17 @@ def test_repeated_rows_and_empty_tables(spark, folder):
         assert function(spark, docs.limit(0), folder).count() == 0
 
 
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark, folder):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles of five words, 201 of four
+    rows = []
+    for i, changed in enumerate([(), (0, 40, 80, 120, 160), (0, 40, 80, 120, 160, 190)]):
+        rows.append((i, " ".join("other" + str(i) if k in changed else w for k, w in enumerate(base)), "xx", "s", 0))
+    # 21 shingles changed: 179 / 221 = 0.81; at four words 17: 184 / 218 = 0.844. Then 26: 174 / 226 = 0.77.
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
 def test_registered(spark):
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
