@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.runtime import ensure_checkpoint_dir
 from . import (
     ann,
+    bisector,
     decontaminate,
     jaccard_join,
     language_id,
     licenses,
     line_dedup,
+    merkle,
     packing,
     pii,
+    quality,
     token_counts,
     toxicity,
 )
@@ -135,3 +138,137 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         "lang_pred", "score", "accepted",
     )
+
+
+#: Fields of a leaf, in the order of the contract.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in LEAF_FIELDS[:-1]]
+    parts.append(f"coalesce(strlen({text}) || ':' || {text}, '-')")
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of the id's digits, bit by bit; levels of both trees by recursion.
+ORACLES["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE marked AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda r, z: xor(r >> 1, (r & 1) * 3988292384)))) % 5 AS bucket
+  FROM documents),
+leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS src, {_leaf_sql('text')} AS leaf,
+    CASE WHEN bucket = 0 THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS other
+  FROM marked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY src) AS n FROM leaves),
+nodes(src, lvl, pos, d, n) AS (
+  SELECT src, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT src, lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16
+  FROM nodes WHERE n > 1 GROUP BY src, lvl, pos // 16, n),
+subroots AS (
+  SELECT src, d, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, d, n) AS (
+  SELECT 0, pos, d, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)), (n + 15) // 16
+  FROM tops WHERE n > 1 GROUP BY lvl, pos // 16, n),
+inner_steps AS (
+  SELECT p.src, p.pos, s.lvl,
+    coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos < p.pos // (16 ** s.lvl)::BIGINT), '') AS l,
+    coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos > p.pos // (16 ** s.lvl)::BIGINT), '') AS r
+  FROM placed p JOIN nodes s
+    ON s.src = p.src AND s.n > 1 AND s.pos // 16 = p.pos // (16 ** (s.lvl + 1))::BIGINT
+  GROUP BY p.src, p.pos, s.lvl),
+outer_steps AS (
+  SELECT p.src, 1000 + s.lvl AS lvl,
+    coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos < p.pos // (16 ** s.lvl)::BIGINT), '') AS l,
+    coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos > p.pos // (16 ** s.lvl)::BIGINT), '') AS r
+  FROM subroots p JOIN tops s ON s.n > 1 AND s.pos // 16 = p.pos // (16 ** (s.lvl + 1))::BIGINT
+  GROUP BY p.src, s.lvl),
+steps AS (
+  SELECT src, pos, l, r, row_number() OVER (PARTITION BY src, pos ORDER BY lvl) AS ord FROM (
+    SELECT src, pos, lvl, l, r FROM inner_steps
+    UNION ALL SELECT p.src, p.pos, o.lvl, o.l, o.r FROM placed p JOIN outer_steps o USING (src))),
+proofs AS (
+  SELECT src, pos, sha256(string_agg(l || r, '' ORDER BY ord)) AS proof, max(ord) AS height FROM steps GROUP BY src, pos),
+folds(src, pos, ord, d) AS (
+  SELECT src, pos, 0::BIGINT, coalesce(other, leaf) FROM placed
+  UNION ALL
+  SELECT f.src, f.pos, s.ord, sha256(s.l || f.d || s.r)
+  FROM folds f JOIN steps s ON s.src = f.src AND s.pos = f.pos AND s.ord = f.ord + 1)
+SELECT p.doc_id, p.leaf, sr.d AS subroot, t.d AS root, coalesce(pr.proof, sha256('')) AS proof_sha256,
+  f.d AS folded_root, f.d = t.d AS verified
+FROM placed p JOIN subroots sr USING (src) CROSS JOIN (SELECT d FROM tops WHERE n = 1) t
+LEFT JOIN proofs pr ON pr.src = p.src AND pr.pos = p.pos
+JOIN folds f ON f.src = p.src AND f.pos = p.pos AND f.ord = coalesce(pr.height, 0)
+"""
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Witness of every document; every fifth is verified with its text in lower case."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in LEAF_FIELDS]
+    lowered = merkle.leaf(*fields[:-1], F.translate("text", UPPER, LOWER))
+    tampered = F.when(crc_bucket("doc_id", 5) == 0, lowered)
+    return merkle.build(docs, merkle.leaf(*fields), tampered).proofs().withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score", "predicted", "difference",
+    )
+
+
+#: Rounds by recursion: distances of all pairs of vector and centroid, the nearest, exact means rounded down.
+ORACLES["op13_centroid_clusters"] = """
+WITH RECURSIVE kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+seeds AS (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept
+  ORDER BY sha256('3:' || vec_id), v LIMIT 8),
+centers(round, c, m) AS (
+  SELECT 0, c, v FROM seeds
+  UNION ALL
+  SELECT round + 1, c, CASE WHEN bool_or(own) THEN list(means ORDER BY i) ELSE any_value(m) END
+  FROM (
+    SELECT x.round, x.c, x.m, i, count(k.vec_id) > 0 AS own,
+      floor(sum(k.v[i])::DECIMAL(38, 0) / nullif(count(k.vec_id), 0))::BIGINT AS means
+    FROM centers x CROSS JOIN range(1, 65) AS g(i)
+    LEFT JOIN (
+      SELECT vec_id, v, arg_min(c, d * 8 + c) AS c FROM (
+        SELECT vec_id, v, y.c,
+          list_sum(list_transform(list_zip(v, y.m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM kept, centers y)
+      GROUP BY vec_id, v) k ON k.c = x.c
+    GROUP BY x.round, x.c, x.m, i)
+  WHERE round < 10 GROUP BY round, c),
+last AS (SELECT c, m FROM centers WHERE round = 10),
+nearest AS (
+  SELECT vec_id, arg_min(c, d * 8 + c) AS cluster, min(d) AS distance FROM (
+    SELECT vec_id, c,
+      list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM kept, last)
+  GROUP BY vec_id)
+SELECT vec_id, cluster::INTEGER AS cluster, distance,
+  (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM nearest JOIN last ON last.c = nearest.cluster
+"""
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bisector.cluster(table(spark, folder, "embeddings"))
