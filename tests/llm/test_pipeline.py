@@ -96,7 +96,7 @@ def test_near_copies_share_four_fifths_of_five_word_shingles(spark, folder):
 
 def test_registered(spark):
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(names)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"
@@ -113,10 +113,17 @@ def test_queries_give_their_columns(spark):
         "op8_jaccard_join": ["doc_id", "n_shingles", "component_id"],
         "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
         "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op11_merkle_manifest": [
+            "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
+        ],
+        "op12_quality": ["doc_id", "held_out", "score", "predicted"],
+        "op13_centroid_clusters": [
+            "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256",
+        ],
     }
     rows = spark.read.parquet(f"{folder}/documents.parquet").count()
     for name, columns in want.items():
         df = QUERIES[name](spark, folder)
         assert df.columns[: len(columns)] == columns
-        if name not in ("op5_nearest_neighbours", "op6_packing"):
+        if name not in ("op5_nearest_neighbours", "op6_packing", "op13_centroid_clusters"):
             assert df.count() == rows
