@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from typing import Any
-
 import numpy as np
-import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.runtime import by_group
+from ..functions.permute import key_text, permuted_columns
+from ..functions.runtime import checkpointed
 
 # Repeats and seed of the permutation importance.
 REPEATS = 10
 SEED = 42
-BLOCK_ROWS = 5_000
-MIN_BLOCK_ROWS = 200
-BLOCK_CELLS = 20_000_000
 
 
 def model_importances(
@@ -57,68 +50,55 @@ def permutation_importance(
     repeats: int = REPEATS,
     seed: int = SEED,
     keys: list[str] | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(feature, importance, importance_std): drop of the score when a feature is shuffled.
 
-    The score is accuracy, or negative mean squared error for regression. Rows
-    are dealt into random blocks of bounded size and each feature is permuted
-    inside its block: together that is a permutation of the whole column, with
-    no global sort. All rows, features and repeats are scored in one job.
+    The score is accuracy, or negative mean squared error for regression. Each repeat
+    permutes the whole column by ranks of keyed hashes (``functions.permute``), so a
+    result can be recomputed from the keys alone. What is shuffled grows with features
+    times repeats, one number each; changed vectors only exist inside the task that
+    scores them. ``keys`` identify a row; without them the table is written once to
+    fix the positions of its rows.
     """
-    base = df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
-    first = base.select(F.col("features")).first()
-    if first is None:
-        raise ValueError("permutation importance needs at least 1 row")
-    width = len(first["features"])
-    n = df.count()
-    # A task holds one block and one shuffled copy of it.
-    block_rows = max(MIN_BLOCK_ROWS, min(block_rows, BLOCK_CELLS // width))
-    blocks = max(1, math.ceil(n / block_rows))
-    identity = F.struct(*keys) if keys else F.monotonically_increasing_id()
-    dealt = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), identity), F.lit(blocks)).alias("block"),
-        F.xxhash64(F.lit(seed + 1), identity).alias("place"),
-        vector_to_array(F.col(features)).alias("x"),
+    if not keys:
+        df = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+        keys = ["__row"]
+    rows = df.select(
+        key_text(df, keys).alias("key"), vector_to_array(F.col(features)).alias("x"),
         F.col(label).cast("double").alias("label"),
     )
+    first = rows.select("x").first()
+    if first is None:
+        raise ValueError("permutation importance needs at least 1 row")
+    width = len(first["x"])
+    measure = score_measure(task)
+    whole = model.transform(
+        df.select(F.col(features).alias("features"), F.col(label).cast("double").alias("label"))
+    ).agg(measure.alias("score"), F.count(F.lit(1)).alias("n")).first()
 
-    def shuffle(
-        key: tuple[Any, ...], batches: Iterator[pd.DataFrame]
-    ) -> Iterator[pd.DataFrame]:
-        block = int(key[0])
-        rows = pd.concat(list(batches)).sort_values("place")
-        x = np.stack(rows["x"].to_numpy()).astype(float)
-        known = rows["label"].to_numpy()
-        for feature in range(width):
-            for repeat in range(repeats):
-                rng = np.random.default_rng([seed, block, feature, repeat])
-                changed = x.copy()
-                changed[:, feature] = x[rng.permutation(len(x)), feature]
-                yield pd.DataFrame(
-                    {"feature": feature, "repeat": repeat, "x": list(changed), "label": known}
-                )
-
-    shuffled = (
-        by_group(dealt, blocks, "block").groupBy("block")
-        .applyInPandas(shuffle, "feature int, repeat int, x array<double>, label double")
-        .withColumn("features", array_to_vector("x")).drop("x")
+    dealt = permuted_columns(rows, whole["n"], width, repeats, seed)
+    # The feature of a swap is replaced in the vector; the rest of it stays.
+    place = F.floor(F.col("series") / F.lit(repeats)).cast("int")
+    changed = F.concat(
+        F.slice("x", F.lit(1), place), F.array("value"),
+        F.slice("x", place + 2, F.lit(width) - 1 - place),
     )
-
-    def scores(scored: DataFrame, by: list[str]) -> DataFrame:
-        if task == "regression":
-            measure = -F.avg((F.col("label") - F.col("prediction")) ** 2)
-        else:
-            measure = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        return scored.groupBy(*by).agg(measure.alias("score"))
-
-    whole = scores(model.transform(base), []).first()["score"]
-    each = scores(model.transform(shuffled), ["feature", "repeat"])
+    shuffled = dealt.select("x", "label", F.posexplode("swaps").alias("series", "value")).select(
+        "series", "label", array_to_vector(changed).alias("features")
+    )
+    each = model.transform(shuffled).groupBy("series").agg(measure.alias("score"))
     names = feature_names or [f"feature_{i}" for i in range(width)]
-    drop = F.lit(float(whole)) - F.col("score")
-    named = F.element_at(F.array(*[F.lit(str(v)) for v in names]), F.col("feature") + 1)
+    drop = F.lit(float(whole["score"])) - F.col("score")
+    named = F.element_at(F.array(*[F.lit(str(v)) for v in names]), place + 1)
     return (
-        each.groupBy("feature")
+        each.groupBy(place.alias("place"), named.alias("feature"))
         .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std"))
-        .select(named.alias("feature"), "importance", "importance_std")
+        .drop("place")
     )
+
+
+def score_measure(task: str) -> Column:
+    """Score of predictions as an aggregate: negative mean squared error, or accuracy."""
+    if task == "regression":
+        return -F.avg((F.col("label") - F.col("prediction")) ** 2)
+    return F.avg((F.col("label") == F.col("prediction")).cast("double"))

@@ -269,7 +269,21 @@ def coefficient_importance(spark, folder):
     return rows.withColumn("importance", F.round("importance", 3))
 
 
-@query("permutation_importance")
+#: The row of rank i by the base order gets the value of the row of rank i by the order of (feature, repeat).
+PERMUTATION_SQL = """WITH d AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
+      AS k, [l_quantity, l_discount, l_tax]::DOUBLE[] AS x, l_quantity * 3 + l_discount * 100 AS y FROM lineitem),
+    base AS (SELECT x, y, row_number() OVER (ORDER BY md5('42:' || k), k) AS i FROM d),
+    vals AS (SELECT f, r, x[f + 1] AS v, row_number() OVER
+        (PARTITION BY f, r ORDER BY md5('42:' || f || ':' || r || ':' || k), x[f + 1]) AS i
+      FROM d, range(0, 3) AS a(f), range(0, 10) AS b(r)),
+    scores AS (SELECT f, r, -avg(power(y - 3 * (CASE f WHEN 0 THEN v ELSE x[1] END)
+        - 100 * (CASE f WHEN 1 THEN v ELSE x[2] END), 2)) AS score
+      FROM base JOIN vals USING (i) GROUP BY f, r)
+  SELECT ['l_quantity', 'l_discount', 'l_tax'][f + 1] AS feature, abs(round(avg(-score), 4)) AS importance,
+    abs(round(stddev_pop(-score), 4)) AS importance_std FROM scores GROUP BY f"""
+
+
+@query("permutation_importance", PERMUTATION_SQL)
 def permutation_importance_query(spark, folder):
     """All rows of the table, three features, ten repeats, one job."""
     lineitem = table(spark, folder, "lineitem").select(
@@ -279,10 +293,14 @@ def permutation_importance_query(spark, folder):
     )
     names = ["l_quantity", "l_discount", "l_tax"]
     df = VectorAssembler(inputCols=names, outputCol="features").transform(lineitem)
-    return permutation_importance(
+    found = permutation_importance(
         train_linear(df), df, "regression", feature_names=names,
         keys=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
     )
+    return found.select(
+        "feature", F.abs(F.round("importance", 4)).alias("importance"),
+        F.abs(F.round("importance_std", 4)).alias("importance_std"),
+    )
 
 
 @query("tune_ridge")

@@ -323,7 +323,7 @@ def test_permutation_importance_of_a_known_model(spark):
     df = frame(spark, x, y)
     rows = permutation_importance(
         train_linear(df), df, "regression", feature_names=["a", "b", "c"], keys=["id"],
-        repeats=5, block_rows=500,
+        repeats=5,
     ).collect()
     got = {r["feature"]: r["importance"] for r in rows}
     # Shuffling adds 2 w^2 var(x) to the squared error.
@@ -343,3 +343,69 @@ def test_permutation_keeps_every_value(spark):
     df = frame(spark, np.arange(500.0).reshape(-1, 1), np.zeros(500))
     rows = permutation_importance(First(), df, "regression", keys=["id"], repeats=3).collect()
     assert rows[0]["importance"] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_permutation_follows_the_ranks_of_keyed_hashes(spark, monkeypatch):
+    """Every feature and repeat against a sort in plain Python, over many hash buckets."""
+    import hashlib
+
+    from pyspark.ml import Transformer
+
+    from tabloom.functions import permute
+
+    class Weighted(Transformer):
+        def _transform(self, dataset):
+            x = vector_to_array("features")
+            return dataset.withColumn("prediction", x[0] + 10 * x[1])
+
+    monkeypatch.setattr(permute, "ROWS_PER_BUCKET", 40)
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(700, 2)), rng.normal(size=700)
+    df = frame(spark, x, y)
+    ids = [r["id"] for r in df.orderBy("id").collect()]
+
+    def order(prefix):
+        return sorted(range(700), key=lambda i: hashlib.md5(f"{prefix}:{ids[i]}".encode()).hexdigest())
+
+    vectors = {r["id"]: (r["v"], r["label"]) for r in df.select("id", vector_to_array("features").alias("v"), "label").collect()}
+    x = np.array([vectors[i][0] for i in ids])
+    y = np.array([vectors[i][1] for i in ids])
+    base = order("7")
+    loss = ((y - x[:, 0] - 10 * x[:, 1]) ** 2).mean()
+    want = {}
+    for f in range(2):
+        drops = []
+        for r in range(4):
+            changed = x[base].copy()
+            changed[:, f] = x[order(f"7:{f}:{r}"), f]
+            drops.append(((y[base] - changed[:, 0] - 10 * changed[:, 1]) ** 2).mean() - loss)
+        want[f"feature_{f}"] = (np.mean(drops), np.std(drops))
+    found = permutation_importance(Weighted(), df, "regression", keys=["id"], repeats=4, seed=7)
+    for r in found.collect():
+        assert (r["importance"], r["importance_std"]) == pytest.approx(want[r["feature"]], rel=1e-9)
+    spread = permutation_importance(Weighted(), df.repartition(13), "regression", keys=["id"], repeats=4, seed=7)
+    assert {r["feature"]: round(r["importance"], 9) for r in spread.collect()} == {
+        k: round(v[0], 9) for k, v in want.items()
+    }
+
+
+def test_permutation_ships_numbers_and_stays_in_the_jvm(spark):
+    """No vector travels per feature and repeat: the exchanges of swaps carry three narrow columns."""
+    from pyspark.ml import Transformer
+
+    class First(Transformer):
+        def _transform(self, dataset):
+            return dataset.withColumn("prediction", vector_to_array("features")[0])
+
+    df = frame(spark, np.arange(40.0).reshape(-1, 4), np.zeros(10))
+    plan = permutation_importance(First(), df, "regression", keys=["id"], repeats=2)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "Python" not in physical and "Arrow" not in physical and "Pandas" not in physical
+
+
+def test_permutation_without_keys_and_without_rows(spark):
+    df = frame(spark, np.arange(60.0).reshape(-1, 2), np.zeros(30))
+    model = train_linear(df)
+    assert permutation_importance(model, df.drop("id"), "regression", repeats=2).count() == 2
+    with pytest.raises(ValueError, match="at least 1 row"):
+        permutation_importance(model, df.limit(0), "regression", keys=["id"])
