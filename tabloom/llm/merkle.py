@@ -269,7 +269,9 @@ def _leaf_rows(docs: DataFrame, group: str, key: str, own: Column, other: Column
     # NULL groups first, the others in the order of their bytes.
     name = F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit(""))
     changed = F.lit(None).cast("string") if other is None else other
-    return docs.select(name.alias("g"), F.col(key).alias("id"), own.alias("leaf"), changed.alias("other"))
+    rows = docs.select(name.alias("g"), F.col(key).alias("id"), own.alias("leaf"), changed.alias("other"))
+    # Written once: the range sort samples its input first, and texts shall be read and hashed once.
+    return stage(rows, "merkle-rows")
 
 
 def _block_roots(leaves: DataFrame) -> DataFrame:
