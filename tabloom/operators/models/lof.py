@@ -19,6 +19,7 @@ from ...functions.runtime import checkpointed
 from ..persistence import FittedStage
 from .common import anomaly_columns
 from .neighbors import nearest_neighbors
+from .projections import BANDS, BUCKET_ROWS, approximate_neighbors
 
 # Decision threshold for contamination="auto", and the term that
 # keeps the density of copies finite.
@@ -41,10 +42,25 @@ def _vector_rows(dataset: DataFrame) -> DataFrame:
 
 
 class LocalOutlierFactor(Estimator):
-    def __init__(self, n_neighbors: int = 20, contamination: float | str = "auto"):
+    """``search="projections"`` finds neighbours approximately (see ``projections``); ``"exact"`` finds all.
+
+    The mode is the caller's choice and never depends on the table.
+    """
+
+    def __init__(
+        self,
+        n_neighbors: int = 20,
+        contamination: float | str = "auto",
+        search: str = "exact",
+        bands: int = BANDS,
+        bucket_rows: int = BUCKET_ROWS,
+    ):
         super().__init__()
+        if search not in ("exact", "projections"):
+            raise ValueError(f"search must be 'exact' or 'projections', got '{search}'")
         self.n_neighbors = n_neighbors
         self.contamination = contamination
+        self.search = {"mode": search, "bands": bands, "bucket_rows": bucket_rows}
 
     def _fit(self, dataset: DataFrame) -> "LocalOutlierFactorModel":
         rows = _vector_rows(dataset)
@@ -53,7 +69,7 @@ class LocalOutlierFactor(Estimator):
         if n < 2:
             raise ValueError("local outlier factor needs at least 2 rows")
         k = min(self.n_neighbors, n - 1)
-        near = checkpointed(nearest_neighbors(points, points, k, same=True))
+        near = checkpointed(_search(points, points, k, self.search, same=True))
         own = points.filter(F.col("copies") > 1).select(
             F.col("id").alias("qid"),
             F.col("id").alias("pid"),
@@ -67,7 +83,9 @@ class LocalOutlierFactor(Estimator):
         fitted = checkpointed(
             points.join(reach.withColumnsRenamed({"qid": "id"}), "id").join(density, "id")
         )
-        model = LocalOutlierFactorModel({"k": k, "threshold": AUTO_THRESHOLD}, {"points": fitted})
+        model = LocalOutlierFactorModel(
+            {"k": k, "threshold": AUTO_THRESHOLD, "search": self.search}, {"points": fitted}
+        )
         if self.contamination != "auto":
             scores = _factors(taken, fitted, k)
             per_row = lookup_join(
@@ -87,7 +105,7 @@ class LocalOutlierFactorModel(FittedStage):
         """Add ``raw_score``: about 1 inside a cluster, greater for outliers."""
         k, points = self.state["k"], self.tables["points"]
         queries = checkpointed(_distinct(_vector_rows(dataset)))
-        near = checkpointed(nearest_neighbors(queries, points, k))
+        near = checkpointed(_search(queries, points, k, self.state.get("search") or EXACT))
         taken = checkpointed(_take(_attach(near, points.select("id", "copies")), k))
         scores = _factors(taken, points, k).join(
             queries.select(F.col("id").alias("qid"), F.col("copies").alias("__copies")), "qid"
@@ -100,6 +118,17 @@ class LocalOutlierFactorModel(FittedStage):
         return anomaly_columns(self.score(dataset), self.state["threshold"])
 
 
+EXACT = {"mode": "exact"}
+
+
+def _search(queries: DataFrame, points: DataFrame, k: int, search: dict, same: bool = False) -> DataFrame:
+    if search["mode"] == "exact":
+        return nearest_neighbors(queries, points, k, same=same)
+    return approximate_neighbors(
+        queries.select("id", "x"), points.select("id", "x"), k, same, search["bands"], search["bucket_rows"]
+    )
+
+
 def _attach(near: DataFrame, table: DataFrame) -> DataFrame:
     """Join per-point columns to (qid, pid, dist); popular neighbours are split off."""
     degree = near.groupBy("pid").agg(F.count(F.lit(1)).alias("degree"))

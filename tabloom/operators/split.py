@@ -14,14 +14,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import canonical_text, col, field_types, split_key
+from ..functions.expressions import canonical_text, field_types, split_key
+from ..functions.lookup import lookup_join
+from ..functions.ordering import dense_index
 from ..functions.runtime import checkpointed
 
 KEY_LENGTH = 32
 # Key digits looked at per round. The first round counts every row and stays
 # coarse; later rounds only see the rows of one boundary bucket per class.
 ROUNDS = (3, 8, 13, 18, 23, 28, KEY_LENGTH)
-MAX_CLASSES = 1_000
+# Up to so many classes, thresholds are literals of one projection; beyond, a table joined by class.
+LITERAL_CLASSES = 1_000
 
 
 @dataclass
@@ -68,13 +71,11 @@ def split_rows(
     key = split_key(seed, names, types)
 
     keyed = df.select(group.alias("g"), key.alias("k"))
-    sizes = {
-        r["g"]: r["n"]
-        for r in keyed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_CLASSES + 1).collect()
-    }
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"cannot stratify by '{stratify}': more than {MAX_CLASSES} classes")
+    by_class = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    few = by_class.limit(LITERAL_CLASSES + 1).collect()
+    if len(few) > LITERAL_CLASSES:
+        return _split_many(df, group, key, checkpointed(by_class), test_size, column, labels)
+    sizes = {r["g"]: r["rows"] for r in few}
     quotas = test_quotas(sizes, test_size)
     cuts = _find_cuts(keyed, sizes, quotas)
 
@@ -95,15 +96,113 @@ def test_quotas(sizes: dict[str, int], test_size: float) -> dict[str, int]:
     total = math.ceil(test_size * n - 1e-9)
     if not sizes:
         return {}
-    shares = {g: total * size / n for g, size in sizes.items()}
-    quotas = {g: math.floor(s) for g, s in shares.items()}
+    # Whole numbers: equal remainders are equal, and go by the name of the class.
+    quotas = {g: total * size // n for g, size in sizes.items()}
     left = total - sum(quotas.values())
-    order = sorted(sizes, key=lambda g: (-(shares[g] - quotas[g]), g))
-    for g in order[:left]:
+    for g in sorted(sizes, key=lambda g: (-(total * sizes[g] % n), g))[:left]:
         quotas[g] += 1
     return quotas
 
 
+def class_quotas(sizes: DataFrame, test_size: float) -> DataFrame:
+    """(g, rows, take) of a table of class sizes (g, rows): ``test_quotas`` for any number of classes.
+
+    Shares and remainders are columns; the classes that get one row more are those
+    with the first dense ranks by remainder, counted over sorted partitions.
+    """
+    n = int(sizes.agg(F.sum("rows")).first()[0] or 0)
+    total = math.ceil(test_size * n - 1e-9)
+    share = F.lit(total).cast("decimal(19,0)") * F.col("rows").cast("decimal(19,0)")
+    whole = F.lit(n).cast("decimal(19,0)")
+    rest = share % whole
+    # Without its remainder a share is divisible, so the quotient isn't rounded.
+    shares = sizes.withColumns(
+        {"quota": ((share - rest) / whole).cast("long"), "rest": rest.cast("long")}
+    )
+    left = total - int(shares.agg(F.sum("quota")).first()[0] or 0)
+    ranked = dense_index(
+        shares.withColumns({"all": F.lit(0), "order": F.struct(-F.col("rest"), "g")}), "all", "order"
+    )
+    extra = (F.col("idx") < F.lit(left)).cast("long")
+    return ranked.select("g", "rows", (F.col("quota") + extra).alias("take"))
+
+
+def _cut_table(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, prefix, take, rows): ``_find_cuts`` for a table of classes (g, take, rows).
+
+    Each round joins the open classes to their rows that start with the prefix so
+    far and counts the next digits, combined on the map side; classes are settled
+    when a bucket is taken as a whole or not at all, small ones in the first round.
+    """
+    cuts = wanted.select("g", F.lit("").alias("prefix"), "take", "rows")
+    settled = (F.col("take") == 0) | (F.col("take") == F.col("rows"))
+    for length in ROUNDS:
+        cuts = checkpointed(cuts)
+        still = cuts.filter(~settled).select("g", "prefix", "take", "rows")
+        if still.limit(1).count() == 0:
+            break
+        inside = lookup_join(keyed, still, "g", "g", weight="rows").filter(
+            F.col("prefix").isNotNull() & F.col("k").startswith(F.col("prefix"))
+        )
+        counted = inside.groupBy("g", F.substring("k", 1, length).alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.first("take").alias("take")
+        )
+        running = Window.partitionBy("g").orderBy("p")
+        found = (
+            counted.withColumn("upto", F.sum("n").over(running))
+            .filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")))
+            .select(
+                "g", F.col("p").alias("prefix"),
+                (F.col("take") - (F.col("upto") - F.col("n"))).alias("take"), F.col("n").alias("rows"),
+            )
+        )
+        cuts = cuts.filter(settled).unionByName(found)
+    return checkpointed(cuts)
+
+
+def _split_many(df, group, key, sizes, test_size, column, labels) -> DataFrame:
+    """Stratified split by joined thresholds; exact for any number and any sizes of classes."""
+    wanted = checkpointed(class_quotas(sizes, test_size))
+    keyed = df.select(group.alias("g"), key.alias("k"))
+    cuts = _cut_table(keyed, wanted)
+    tied = cuts.filter(
+        (F.length("prefix") == KEY_LENGTH) & (F.col("take") > 0) & (F.col("take") < F.col("rows"))
+    )
+    ties = tied.limit(1).count() > 0
+    if ties:
+        df = checkpointed(df.withColumn("__pos", F.monotonically_increasing_id()))
+    size = sizes.withColumnRenamed("rows", "__size")
+
+    def below(text: Column, prefix: str, take: str, rows: str) -> Column:
+        return (text < F.col(prefix)) | (
+            (F.col(take) == F.col(rows)) & (F.col(take) > 0) & text.startswith(F.col(prefix))
+        )
+
+    named = cuts.join(size, "g").withColumnsRenamed(
+        {"g": "__cg", "prefix": "__prefix", "take": "__take", "rows": "__rows"}
+    )
+    marked = lookup_join(
+        df.withColumns({"__g": group, "__order": key}), named, "__g", "__cg", weight="__size"
+    )
+    test = below(F.col("__order"), "__prefix", "__take", "__rows")
+    extra = ["__g", "__order", "__prefix", "__take", "__rows", "__size"]
+    if ties:
+        at_cut = (F.length("__prefix") == KEY_LENGTH) & (F.col("__order") == F.col("__prefix")) & (
+            (F.col("__take") > 0) & (F.col("__take") < F.col("__rows"))
+        )
+        place = F.lpad(F.col("__pos").cast("string"), KEY_LENGTH, "0")
+        positions = marked.filter(at_cut).select(F.col("__g").alias("g"), place.alias("k"))
+        second = _cut_table(positions, tied.select("g", "take", "rows")).withColumnsRenamed(
+            {"g": "__sg", "prefix": "__prefix2", "take": "__take2", "rows": "__rows2"}
+        )
+        marked = lookup_join(marked, second, "__g", "__sg", weight="__rows2")
+        test = test | (at_cut & F.coalesce(below(place, "__prefix2", "__take2", "__rows2"), F.lit(False)))
+        extra += ["__prefix2", "__take2", "__rows2", "__pos"]
+    return marked.withColumn(
+        column, F.when(test, F.lit(labels[1])).otherwise(F.lit(labels[0]))
+    ).drop(*extra)
+
+
 def _find_cuts(
     keyed: DataFrame, sizes: dict[str, int], quotas: dict[str, int]
 ) -> dict[str, _Cut]:
@@ -175,4 +274,4 @@ def _deal_ties(df, group, key, cuts, ties, column, labels) -> DataFrame:
     ).drop("__pos")
 
 
-__all__ = ["split_rows", "test_quotas"]
+__all__ = ["class_quotas", "split_rows", "test_quotas"]

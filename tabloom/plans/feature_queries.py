@@ -326,6 +326,26 @@ def split_stratified(spark, folder):
     return split_rows(df, 0.25, seed=42, keys=["doc_id"], stratify="quality")
 
 
+@query(
+    "split_many_classes",
+    """WITH c AS (SELECT l_partkey AS q, count(*)::HUGEINT AS n FROM lineitem GROUP BY l_partkey),
+         t AS (SELECT sum(n)::HUGEINT AS n, ceil(sum(n) / 4)::HUGEINT AS total FROM c),
+         s AS (SELECT q, total * c.n // t.n AS base, total * c.n % t.n AS rest, total FROM c, t),
+         f AS (SELECT q, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, q::VARCHAR)
+                 <= total - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM s)
+       SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN row_number() OVER
+         (PARTITION BY l_partkey ORDER BY md5('42:' || l_orderkey || ':' || l_linenumber || ':'
+            || l_partkey || ':' || l_suppkey)) <= quota THEN 'test' ELSE 'train' END AS split
+       FROM lineitem JOIN f ON q = l_partkey""",
+)
+def split_many_classes(spark, folder):
+    """As many classes as parts: thresholds are a joined table."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return split_rows(
+        table(spark, folder, "lineitem").select(*keys), 0.25, seed=42, keys=keys, stratify="l_partkey"
+    )
+
+
 def _uniform_sql(name: str) -> str:
     return (
         f"(('0x' || substr(md5('42:{name}:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

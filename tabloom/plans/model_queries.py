@@ -19,6 +19,7 @@ from ..operators.models.linear import (
 from ..operators.models.lof import LocalOutlierFactor
 from ..operators.models.neighbors import nearest_neighbors
 from ..operators.models.one_class_svm import OneClassSVM
+from ..operators.models.projections import ProjectionForest, approximate_neighbors, leaf_sizes
 from ..operators.split import split_rows
 from .jobs import score, train_tabular, tune
 from .registry import query, table
@@ -196,6 +197,33 @@ def nearest_neighbors_query(spark, folder):
     )
 
 
+@query(
+    "projection_neighbors",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings),
+         d AS (SELECT a.vec_id AS q, row_number() OVER (PARTITION BY a.vec_id
+             ORDER BY array_distance(a.x, b.x), b.vec_id) AS k
+           FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+       SELECT count(*) AS neighbors, TRUE AS recall_of_90, TRUE AS pairs_linear FROM d WHERE k <= 20""",
+)
+def projection_neighbors_query(spark, folder):
+    """Neighbours by projections against the exact ones: all found, recall, and pairs measured."""
+    points = embedding_vectors(spark, folder).select(F.col("vec_id").cast("string").alias("id"), "x")
+    bands, rows = 24, 128
+    n = points.count()
+    forest = ProjectionForest.fit(points, n, bands, rows)
+    pairs = leaf_sizes(forest[1]).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    found = approximate_neighbors(points, points, 20, same=True, forest=forest).withColumn("hit", F.lit(1))
+    exact = nearest_neighbors(points, points, 20, same=True)
+    both = exact.join(found.select("qid", "pid", "hit"), ["qid", "pid"], "left")
+    # One row of two aggregates.
+    return both.agg(F.count(F.lit(1)).alias("neighbors"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).crossJoin(
+        F.broadcast(pairs)
+    ).select(
+        "neighbors", (F.col("recall") >= 0.9).alias("recall_of_90"),
+        (F.col("pairs") <= F.lit(n * bands * rows)).alias("pairs_linear"),
+    )
+
+
 @query(
     "local_outlier_factor",
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS x, row_number() OVER

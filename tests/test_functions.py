@@ -1,5 +1,8 @@
 """Building blocks: quantiles, lookups, order, splits."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -163,3 +166,59 @@ def test_split_with_tied_keys_keeps_the_exact_size(spark):
 def test_split_size_is_checked(spark, bad):
     with pytest.raises(ValueError, match="test_size"):
         split_rows(spark.range(10), bad, keys=["id"])
+
+
+def test_quotas_of_a_table_of_classes(spark):
+    """The table form gives the quotas of the plain one, equal remainders included."""
+    from tabloom.operators.split import class_quotas
+
+    rng = random.Random(5)
+    for sizes in (
+        {f"c{i}": rng.randint(1, 40) for i in range(300)}, {f"c{i}": 3 for i in range(50)},
+        {"a": 10**12, "b": 1, "c": 1}, {"only": 7},
+    ):
+        table = spark.createDataFrame(list(sizes.items()), "g string, rows long")
+        for share in (0.1, 0.25, 0.5):
+            got = {r["g"]: r["take"] for r in class_quotas(table, share).collect()}
+            assert got == split_quotas(sizes, share)
+
+
+def split_quotas(sizes, share):
+    from fractions import Fraction
+    from math import ceil, floor
+
+    n = sum(sizes.values())
+    total = ceil(share * n - 1e-9)
+    exact = {g: Fraction(total * s, n) for g, s in sizes.items()}
+    quotas = {g: floor(v) for g, v in exact.items()}
+    for g in sorted(sizes, key=lambda g: (quotas[g] - exact[g], g))[: total - sum(quotas.values())]:
+        quotas[g] += 1
+    return quotas
+
+
+def test_ten_thousand_classes_split_exactly(spark):
+    """Classes of 1 to 5 rows and one of a third of all rows; the same on any partitioning."""
+    rng = random.Random(6)
+    rows = [(c, f"class {c}") for c in range(10_000) for _ in range(rng.randint(1, 5))]
+    rows += [(0, "hot")] * 15_000
+    rows += [(0, None)] * 40
+    df = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "id long, y string")
+    one = split_rows(df.coalesce(2), 0.3, keys=["id"], stratify="y")
+    sizes = Counter(y if y is not None else "\0null" for _, y in rows)
+    got = Counter(
+        r["y"] if r["y"] is not None else "\0null" for r in one.filter("split = 'test'").collect()
+    )
+    assert got == {g: q for g, q in split_quotas(sizes, 0.3).items() if q}
+    assert one.columns == ["id", "y", "split"] and one.count() == len(rows)
+    many = split_rows(df.repartition(13), 0.3, keys=["id"], stratify="y")
+    assert {r["id"] for r in many.filter("split = 'test'").collect()} == {
+        r["id"] for r in one.filter("split = 'test'").collect()
+    }
+
+
+def test_many_classes_with_equal_keys(spark):
+    """Rows of equal keys at a threshold are dealt out by position, class by class."""
+    rows = [(c % 3, f"c{c % 1500}") for c in range(9_000)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    got = split_rows(df, 0.5, keys=["id"], stratify="y").filter("split = 'test'").groupBy("y").count().collect()
+    assert len(got) == 1500 and {r["count"] for r in got} == {3}

@@ -409,3 +409,102 @@ def test_permutation_without_keys_and_without_rows(spark):
     assert permutation_importance(model, df.drop("id"), "regression", repeats=2).count() == 2
     with pytest.raises(ValueError, match="at least 1 row"):
         permutation_importance(model, df.limit(0), "regression", keys=["id"])
+
+
+# --- neighbours by projections ---------------------------------------------
+
+
+def points_of(spark, x, prefix=""):
+    rows = [(f"{prefix}{i}", [float(v) for v in row]) for i, row in enumerate(x)]
+    return spark.createDataFrame(rows, "id string, x array<double>")
+
+
+def near_sets(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["qid"], {})[r["pid"]] = r["dist"]
+    return out
+
+
+def test_projections_find_nine_in_ten_neighbours(spark):
+    """All embeddings; distances are exact, and the pairs measured grow with the rows."""
+    from tabloom.operators.models.neighbors import nearest_neighbors
+    from tabloom.operators.models.projections import ProjectionForest, approximate_neighbors, leaf_sizes
+
+    pairs = {}
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        points = df.selectExpr("cast(vec_id AS string) AS id", "cast(embedding AS array<double>) AS x").cache()
+        n = points.count()
+        forest = ProjectionForest.fit(points, n, 24, 128)
+        sizes = [r["n"] for r in leaf_sizes(forest[1]).collect()]
+        assert sum(sizes) == 24 * n
+        pairs[n] = sum(s * s for s in sizes)
+        want = near_sets(nearest_neighbors(points, points, 20, same=True).collect())
+        got = near_sets(approximate_neighbors(points, points, 20, same=True, forest=forest).collect())
+        assert {q: len(p) for q, p in got.items()} == {q: 20 for q in want}
+        hits = sum(len(got[q].keys() & want[q].keys()) for q in want)
+        assert hits >= 0.9 * 20 * n
+        assert all(got[q][p] == pytest.approx(want[q][p]) for q in want for p in got[q].keys() & want[q].keys())
+    (small, few), (large, many) = sorted(pairs.items())
+    assert many / few <= 1.5 * large / small
+
+
+def test_projections_split_crowded_and_flat_data(spark, monkeypatch):
+    """Points on one line, points that crowd in one corner, and points that no direction splits."""
+    from tabloom.operators.models import projections
+
+    monkeypatch.setattr(projections, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(3)
+    line = np.outer(np.arange(600.0), np.ones(4))
+    crowd = np.vstack([rng.normal(size=(570, 4)) * 1e-3, rng.normal(size=(30, 4)) * 100])
+    for x in (line, crowd):
+        points = points_of(spark, x)
+        _, leaves = projections.ProjectionForest.fit(points, len(x), 4, 50)
+        assert max(r["n"] for r in projections.leaf_sizes(leaves).collect()) <= 60
+        assert leaves.groupBy("band").count().filter(f"count <> {len(x)}").count() == 0
+    same = points_of(spark, np.ones((300, 4)))
+    got = near_sets(projections.approximate_neighbors(same, same, 3, same=True, bands=2, bucket_rows=50).collect())
+    assert len(got) == 300 and all(len(p) == 3 for p in got.values())
+
+
+def test_projections_of_other_queries_and_blocks(spark, monkeypatch):
+    from tabloom.operators.models import projections
+    from tabloom.operators.models.neighbors import nearest_neighbors
+
+    monkeypatch.setattr(projections, "POINT_BLOCK", 40)
+    monkeypatch.setattr(projections, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(6, 8)) * 20
+    points = points_of(spark, centers[rng.integers(0, 6, 500)] + rng.normal(size=(500, 8)))
+    queries = points_of(spark, np.vstack([centers + rng.normal(size=(6, 8)), [[1e4] * 8]]), "q")
+    want = near_sets(nearest_neighbors(queries, points, 5).collect())
+    got = near_sets(projections.approximate_neighbors(queries, points, 5, bands=12, bucket_rows=64).collect())
+    assert got.keys() == want.keys() and all(len(p) == 5 for p in got.values())
+    assert sum(len(got[q].keys() & want[q].keys()) for q in want) >= 0.9 * 35
+    # Fewer points than neighbours asked for: all of them, found exactly.
+    few = points.limit(3).cache()
+    got = near_sets(projections.approximate_neighbors(queries, few, 5).collect())
+    assert all(len(p) == 3 for p in got.values()) and len(got) == 7
+
+
+def test_local_outlier_factor_by_projections(spark, folder):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(400, 6)), rng.normal(size=(400, 6)) + 12, rng.uniform(-40, 40, size=(12, 6))])
+    df = frame(spark, x)
+    exact = LocalOutlierFactor(15).fit(df)
+    near = LocalOutlierFactor(15, search="projections", bands=20, bucket_rows=100).fit(df)
+    near.write().overwrite().save(f"{folder}/lof")
+    from tabloom.operators.models.lof import LocalOutlierFactorModel
+
+    loaded = LocalOutlierFactorModel.read().load(f"{folder}/lof")
+    scores = {}
+    for name, model in (("exact", exact), ("near", loaded)):
+        scores[name] = {r["id"]: r["raw_score"] for r in model.transform(df).collect()}
+    planted = range(800, 812)
+    ids = sorted(scores["exact"])
+    rank = {name: sorted(ids, key=lambda i: -s[i])[:12] for name, s in scores.items()}
+    assert len(set(rank["near"]) & set(rank["exact"])) >= 11
+    assert np.mean([abs(scores["near"][i] / scores["exact"][i] - 1) for i in ids]) < 0.05
+    with pytest.raises(ValueError, match="search"):
+        LocalOutlierFactor(search="guess")
