@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import col
+from ..functions.expressions import as_double, col, field_types, is_numeric
+from ..functions.frequencies import multiplicities
 from ..functions.quantiles import exact_quantiles
 from ..operators.class_weights import balanced_weights, check_target, class_counts
 from ..operators.fixes import (
@@ -17,6 +18,12 @@ from ..operators.fixes import (
 from ..operators.profile import TableProfile, duplicate_count, leakage_by_name, profile_table
 from ..operators.recommend import recommend_fixes
 from ..operators.scoring import allowed_values, unseen_values
+from ..operators.sketches import (
+    DISTINCT_ERROR,
+    RANK_ERROR,
+    column_estimates,
+    sketch_columns,
+)
 from .jobs import auto_prepare
 from .registry import query, table
 
@@ -153,6 +160,75 @@ def quartiles_by_narrowing(spark, folder):
     return spark.createDataFrame(rows, "column string, q1 double, q2 double, q3 double")
 
 
+SKETCHED = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
+@query(
+    "sketched_columns",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS "rows", count({c}) AS present,
+          count(DISTINCT {c}) AS n_distinct, TRUE AS distinct_within, TRUE AS quantiles_within FROM lineitem"""
+        for c in SKETCHED
+    ),
+)
+def sketched_columns(spark, folder):
+    """Sketches by ship month, merged, against exact counts and ranks of all rows."""
+    df = table(spark, folder, "lineitem").select(*SKETCHED)
+    parts = sketch_columns(df, part=F.date_format("l_shipdate", "yyyy-MM"))
+    found = {r["column"]: r for r in column_estimates(parts).collect()}
+    types = field_types(df)
+    checks = []
+    for c in SKETCHED:
+        if not is_numeric(types[c]):
+            continue
+        x, n = as_double(col(c), types[c]), F.count(col(c))
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            value = F.lit(found[c][name])
+            checks.append(F.struct(
+                F.lit(c).alias("column"),
+                ((F.count_if(x < value) <= (p + RANK_ERROR) * n) & (F.count_if(x <= value) >= (p - RANK_ERROR) * n))
+                .alias("ok"),
+            ))
+    ranks = df.agg(F.array(*checks).alias("c")).select(F.explode("c").alias("c")).groupBy("c.column").agg(
+        F.bool_and("c.ok").alias("quantiles_within")
+    )
+    exact = multiplicities(df, SKETCHED).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    estimates = spark.createDataFrame(
+        [(c, r["rows"], r["present"], r["n_distinct"]) for c, r in found.items()],
+        "column string, rows long, present long, estimate long",
+    )
+    return (
+        exact.join(F.broadcast(estimates), "column").join(ranks, "column", "left")
+        .select(
+            "column", "rows", "present", "n_distinct",
+            (F.abs(F.col("estimate") - F.col("n_distinct")) <= DISTINCT_ERROR * F.col("n_distinct"))
+            .alias("distinct_within"),
+            F.coalesce("quantiles_within", F.lit(True)).alias("quantiles_within"),
+        )
+    )
+
+
+@query(
+    "profile_approximate",
+    """SELECT c AS "column", d >= 0.8 AND t AS is_high_cardinality, d >= 0.98 AS is_potential_id, n <= 1 AS is_constant
+       FROM (SELECT 'o_orderkey' AS c, FALSE AS t, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) / count(*) AS d FROM orders
+         UNION ALL SELECT 'o_custkey', FALSE, count(DISTINCT o_custkey), count(DISTINCT o_custkey) / count(*) FROM orders
+         UNION ALL SELECT 'o_orderstatus', TRUE, count(DISTINCT o_orderstatus), count(DISTINCT o_orderstatus) / count(*) FROM orders
+         UNION ALL SELECT 'o_orderpriority', TRUE, count(DISTINCT o_orderpriority), count(DISTINCT o_orderpriority) / count(*) FROM orders
+         UNION ALL SELECT 'o_totalprice', FALSE, count(DISTINCT o_totalprice), count(DISTINCT o_totalprice) / count(*) FROM orders)""",
+)
+def profile_approximate(spark, folder):
+    """The rules on cardinality, decided by sketches."""
+    df = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+    )
+    profile = profile_table(df, duplicates=False, approximate=True)
+    return profile.to_df(spark).select("column", "is_high_cardinality", "is_potential_id", "is_constant")
+
+
 @query(
     "duplicate_rows",
     """SELECT 'documents' AS name, count(*) AS n_rows,
