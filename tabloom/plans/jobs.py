@@ -25,7 +25,7 @@ from ..operators.class_weights import add_balanced_weights, check_target
 from ..operators.evaluate import binary_metrics, regression_metrics, roc_auc
 from ..operators.fixes import FixResult, apply_quick_fixes
 from ..operators.importance import model_importances, permutation_importance
-from ..operators.models import isolation_forest, linear, lof, one_class_svm, trees
+from ..operators.models import isolation_forest, linear, lof, moments, one_class_svm, trees
 from ..operators.preprocess import TabularPreprocessor, class_labels
 from ..operators.profile import TableProfile, profile_table
 from ..operators.recommend import Recommendation, recommend_fixes
@@ -54,7 +54,7 @@ MODEL_SETTINGS: dict[str, tuple[str, ...]] = {
     "regression_lasso": ("alpha", "max_iter"),
     "regression_elasticnet": ("alpha", "l1_ratio", "max_iter"),
     "anomaly_isolation_forest": ("contamination", "n_estimators", "random_state"),
-    "anomaly_lof": ("n_neighbors", "contamination"),
+    "anomaly_lof": ("n_neighbors", "contamination", "search", "bands", "bucket_rows"),
     "anomaly_ocsvm": ("nu", "kernel", "gamma"),
 }
 MODEL_ALIASES = {"classification": "classification_rf", "regression": "regression_rf"}
@@ -342,10 +342,17 @@ def tune(
     random_state: int = 42,
     parallelism: int = 1,
     model_params: dict | None = None,
+    shared_moments: bool = True,
     **prepare_settings,
 ) -> tuple[TrainResult, TuneResult]:
-    """Random search on one prepared table; returns the best model and the search."""
+    """Random search on one prepared table; returns the best model and the search.
+
+    Least-squares models of up to ``moments.MAX_FEATURES`` features are searched on moments
+    that one pass computes, and only the baseline and the best settings are fitted and
+    evaluated by jobs of their own. ``shared_moments=False`` fits every trial.
+    """
     spark = df.sparkSession
+    name = model_name(model_type)
     prepared = prepare(
         df, target, task_of(model_type), random_state=random_state, **prepare_settings
     )
@@ -355,11 +362,31 @@ def tune(
         model = fit_model(prepared.train, model_type, prepared.keys, **{**fixed, **params})
         return model, evaluate_model(prepared, model)[1]
 
+    shared = shared_moments and name in moments.SOLVABLE and (
+        len(prepared.preprocessor.feature_names) <= moments.MAX_FEATURES
+    )
     try:
+        if shared:
+            known = moments.moments(
+                prepared.train.select("features", "label", F.lit("train").alias("part")).unionByName(
+                    prepared.test.select("features", "label", F.lit("test").alias("part"))
+                ),
+                F.col("part"),
+            )
+
+            def solved(params: dict):
+                found = moments.solve(name, known["train"], {**fixed, **params})
+                return None, moments.fit_metrics(known["test"], *found)
+
+            search = solved
+        else:
+            search = fit
         found = random_search(
-            fit, model_name(model_type), prepared.task, n_trials, max_minutes,
-            random_state, parallelism, lambda model: model_bytes(spark, model),
+            search, name, prepared.task, n_trials, max_minutes, random_state, parallelism,
+            lambda model: model_bytes(spark, model),
         )
+        if shared:
+            found.refit(fit, lambda model: model_bytes(spark, model))
     finally:
         prepared.release()
     predictions, metrics = evaluate_model(prepared, found.best.model)

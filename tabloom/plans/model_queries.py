@@ -21,6 +21,7 @@ from ..operators.models.neighbors import nearest_neighbors
 from ..operators.models.one_class_svm import OneClassSVM
 from ..operators.models.projections import ProjectionForest, approximate_neighbors, leaf_sizes
 from ..operators.split import split_rows
+from ..operators.tuning import search_candidates
 from .jobs import score, train_tabular, tune
 from .registry import query, table
 
@@ -340,6 +341,41 @@ def tune_ridge(spark, folder):
     return search.history(spark)
 
 
+def _ridge_search_sql(n_trials: int = 5) -> str:
+    """Ridge on one scaled feature in closed form, and the early stop of the search."""
+    trials = ", ".join(
+        f"({i}, {c['alpha']}, '{str(c).replace(chr(39), chr(39) * 2)}')"
+        for i, c in enumerate(search_candidates("regression_ridge", n_trials))
+    )
+    return f"""WITH k AS (SELECT s_nationkey AS x, s_acctbal AS y, row_number() OVER (ORDER BY
+        md5('42:' || s_suppkey)) <= ceil(0.2 * count(*) OVER ()) AS test FROM supplier),
+      m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n,
+        covar_pop(x, y) * count(*) / stddev_pop(x) AS sxy FROM k WHERE NOT test),
+      c(trial, alpha, params) AS (VALUES (-1, 1.0, ''), {trials}),
+      s AS (SELECT trial, params, -sqrt(avg(power(y - my - sxy / (n + alpha) * (x - mx) / sx, 2))) AS score
+        FROM c, m, k WHERE test GROUP BY trial, params),
+      b AS (SELECT *, max(score) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s),
+      i AS (SELECT *, score > best AS improved, trial - coalesce(max(CASE WHEN score > best THEN trial END)
+        OVER (ORDER BY trial), -1) AS idle FROM b WHERE trial >= 0),
+      r AS (SELECT *, coalesce(max(idle) OVER (ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 2
+        AS ran FROM i)
+      SELECT trial::INTEGER AS trial, params, round(score, 6) AS score, round(best, 6) AS best_before, improved
+      FROM r WHERE ran"""
+
+
+@query("tune_ridge_by_moments", _ridge_search_sql())
+def tune_ridge_by_moments(spark, folder):
+    """All trials solved from the moments of one pass."""
+    _, search = tune(
+        table(spark, folder, "supplier"), "s_acctbal", "regression_ridge", n_trials=5,
+        features=["s_nationkey"], keys=["s_suppkey"],
+    )
+    return search.history(spark).select(
+        "trial", "params", F.round("score", 6).alias("score"), F.round("best_before", 6).alias("best_before"),
+        "improved",
+    )
+
+
 @query("score_classifier")
 def score_classifier(spark, folder):
     """Train on the labelled documents, then score all documents."""
