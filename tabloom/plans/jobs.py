@@ -320,7 +320,8 @@ def auto_prepare(
     profile = profile_table(df, target)
     rec = recommend_fixes(profile)
     fixed = apply_quick_fixes(
-        df, target, rec.drop_constant_columns, rec.drop_duplicate_rows, rec.missing_strategy
+        df, target, rec.drop_constant_columns, rec.drop_duplicate_rows, rec.missing_strategy,
+        profile.suspects,
     )
     wanted = dict(rec.preprocess_params)
     if not date_extract:

@@ -15,7 +15,13 @@ from ..operators.fixes import (
     table_difference,
     tables_equal,
 )
-from ..operators.profile import TableProfile, duplicate_count, leakage_by_name, profile_table
+from ..operators.profile import (
+    TableProfile,
+    drop_duplicates,
+    duplicate_count,
+    leakage_by_name,
+    profile_table,
+)
 from ..operators.recommend import recommend_fixes
 from ..operators.scoring import allowed_values, unseen_values
 from ..operators.sketches import (
@@ -262,6 +268,16 @@ def drop_duplicate_rows(spark, folder):
     return apply_quick_fixes(df, drop_duplicate_rows=True).df
 
 
+@query(
+    "drop_duplicate_documents",
+    """SELECT text, lang, count(*) OVER () AS n_rows FROM (SELECT DISTINCT text, lang FROM documents)""",
+)
+def drop_duplicate_documents(spark, folder):
+    """Whole texts; only rows of repeated hashes are shuffled."""
+    df = drop_duplicates(table(spark, folder, "documents").select("text", "lang"))
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n_rows"))))
+
+
 @query(
     "missing_ratio",
     "WITH t AS (" + GAPS_SQL + ") " + " UNION ALL ".join(
@@ -613,7 +629,9 @@ def recommend_query(spark, folder):
     "table_equality",
     """SELECT 'same' AS pair, TRUE AS equal, CAST(0 AS BIGINT) AS differing
        UNION ALL
-       SELECT 'filtered', count(*) = 0, count(*) FROM orders WHERE o_orderstatus = 'P'""",
+       SELECT 'filtered', count(*) = 0, count(*) FROM orders WHERE o_orderstatus = 'P'
+       UNION ALL
+       SELECT 'doubled', count(*) = 0, count(*) FROM orders WHERE o_orderstatus = 'P'""",
 )
 def table_equality(spark, folder):
     orders = table(spark, folder, "orders")
@@ -621,7 +639,10 @@ def table_equality(spark, folder):
     fewer = orders.filter("o_orderstatus <> 'P'")
     rows = [
         (name, tables_equal(orders, other), table_difference(orders, other).count())
-        for name, other in (("same", shuffled), ("filtered", fewer))
+        for name, other in (
+            ("same", shuffled), ("filtered", fewer),
+            ("doubled", orders.unionByName(orders.filter("o_orderstatus = 'P'"))),
+        )
     ]
     return spark.createDataFrame(rows, "pair string, equal boolean, differing long")
 
