@@ -7,19 +7,21 @@ one element at most) with sum(v_i + 1) > H, any partner agrees within the allowa
 in some segment. Sets are cut by size band: a set is indexed in the band of every
 smaller size that could be its partner, and probes its own band.
 
-* Segments are indexed by a hash of their elements; in bands of small sets also by
-  the hashes with one element deleted (allowance 1).
+* Of each segment the subset of a set that falls into it is indexed by a hash; in bands
+  of small sets also by the hashes with one element deleted (allowance 1).
 * Allocation goes by cost: the size of the buckets that a segment falls into. A set
   uses its cheapest segments until the allowance suffices. Segments that nobody shares
   are free, so most sets have no candidate at all, and frequent segments (empty ones,
   common passages) are skipped.
-* Sets that are left with a costly bucket, and all sets in their buckets, are indexed
-  again with one-deletion neighbourhoods of all segments. A segment nobody comes near
-  counts twice then, which frees the much edited members of a group of copies.
-* Equal sets are one class before all that. A bucket's probes are checked against
-  one centre at a time; links join components, and a probe is only checked against
-  members of other components, so groups of near copies don't make all pairs. The last
-  round checks whatever is still open, so no link between components is lost.
+* Equal sets are one class before all that. A bucket's probes are checked against one
+  centre, ``CENTRE_ROUNDS`` times; links join components. From then on only members of
+  other components count as candidates, so a solved group of copies costs nothing.
+* Sets that still meet few members of other components are checked against these. The
+  others, and what is in their buckets, are partitioned to the end: every element is a
+  segment of its own, elements that stay within a component are free, and the cheapest
+  others are allocated, rarest first. A pair is only checked if it can reach the overlap
+  from the places at which it meets. No link between components is lost, and a passage
+  that many different sets share makes no pairs.
 
 Hashes have 64 bits; class keys are checked for collisions against 128-bit digests and
 drawn anew if there are any.
@@ -49,10 +51,10 @@ BAND_RATIO = 1.3
 DELETIONS_UP_TO = 48
 #: Segments beyond the necessary number, so that costly ones can be skipped.
 SLACK = 0.15
-#: Bucket size from which a probe counts as costly.
-COSTLY = 8
 #: Rounds in which a bucket's probes meet one member.
-CENTRE_ROUNDS = 5
+CENTRE_ROUNDS = 2
+#: Members of other components that a set is checked against without further allocation.
+DIRECT_PAIRS = 32
 
 
 def shingles(text: str, width: int, memo: Memo) -> np.ndarray:
@@ -113,13 +115,8 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def signatures(
-    found: np.ndarray, percent: int, deletions: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of segments, and tags: segment * 4 + (deletion: 2) + (own band: 1).
-
-    ``deletions`` adds one-deletion neighbourhoods in all bands.
-    """
+def signatures(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of segments, and tags: segment * 4 + (deletion: 2) + (own band: 1)."""
     rules = bands(percent)
     size = len(found)
     own = rules.band(size)
@@ -135,7 +132,7 @@ def signatures(
         salt = np.uint64(band << 32) + np.arange(m, dtype=np.uint64)
         out.append(mixed(total + mixed(salt + np.uint64(1))))
         tags.append(np.arange(m) * 4 + (band == own))
-        if deletions or rules.allowance(band):
+        if rules.allowance(band):
             less = total[where] - scrambled
             out.append(mixed(less + mixed(salt[where] + np.uint64(1))))
             tags.append(where * 4 + 2 + (band == own))
@@ -220,25 +217,20 @@ def _contents(width: int, seed: int):
     return run
 
 
-def _deep_index(percent: int):
-    """(key, set) -> rows (sig, key, tag) with one-deletion neighbourhoods."""
+def _elements():
+    """(key, label, n, costly, set) -> rows (element, key, label, n, costly)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 64):
-                sigs, tags, keys = [], [], []
-                for key, content in zip(
-                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
-                ):
-                    s, t = signatures(np.frombuffer(content, np.uint64), percent, deletions=True)
-                    sigs.append(s)
-                    tags.append(t)
-                    keys.append(np.full(len(s), key, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (sigs, keys, tags)],
-                        ["sig", "key", "tag"],
-                    )
+                found = [np.frombuffer(c, np.int64) for c in batch.column(4).to_pylist()]
+                if not found:
+                    continue
+                times = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+                others = [batch.column(i).take(pa.array(times)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found)), *others], ["element", "key", "label", "n", "costly"]
+                )
 
     return run
 
@@ -303,16 +295,17 @@ def join(
 def _shared_buckets(rows: DataFrame) -> DataFrame:
     """(sig, key, seg, deletion, own, c): rows of buckets that hold two classes or more.
 
-    A bucket's rows are narrow and counted by a sort that spills; none is held whole.
+    One shuffle by bucket; its rows are narrow and counted by a sort that spills, none is
+    held whole. Copies from other tasks are the same rows again and no second class.
     """
-    several = rows.select(
-        "*", F.count(F.lit(1)).over(Window.partitionBy("sig")).alias("c")
-    ).filter("c > 1").select("sig", "key", "tag")
-    # Copies from other tasks are the same rows again.
-    several = stage(several.distinct(), "buckets")
-    sizes = several.groupBy("sig").agg(F.countDistinct("key").alias("c")).filter("c > 1")
+    bucket = Window.partitionBy("sig")
+    several = (
+        rows.select("*", F.min("key").over(bucket).alias("lo"), F.max("key").over(bucket).alias("hi"))
+        .filter("lo < hi").select("sig", "key", "tag").distinct()
+        .withColumn("c", F.count(F.lit(1)).over(bucket))
+    )
     return stage(
-        several.join(sizes, "sig").select(
+        several.select(
             "sig", "key", F.shiftright("tag", 2).alias("seg"),
             (F.col("tag").bitwiseAND(2) > 0).alias("deletion"),
             (F.col("tag").bitwiseAND(1) > 0).alias("own"), "c",
@@ -332,9 +325,7 @@ def _allocation(percent: int):
     return table
 
 
-def _probes(
-    shared: DataFrame, classes: DataFrame, percent: int, deletions: bool = False
-) -> DataFrame:
+def _probes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(sig, key, c): the cheapest shared segments that a class needs besides its free ones.
 
     A segment offers one unit of allowance at the size of its bucket, and with its
@@ -351,15 +342,14 @@ def _probes(
         F.sum(F.col("c") - 1).alias("both"),
     )
     used = costs.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
-    second = F.lit(1) if deletions else F.col("v")
     need = (
         used.join(classes, "key")
         .join(table, (F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")))
         .select(
-            "key", second.alias("v"),
+            "key", "v",
             (
                 F.floor(F.lit(100 - percent) * F.col("n") / percent) + 1
-                - (F.col("m") - F.col("used")) * (second + 1)
+                - (F.col("m") - F.col("used")) * (F.col("v") + 1)
             ).alias("short"),
         )
         .filter("short > 0")
@@ -402,94 +392,156 @@ def _labels(
     spark = texts.sparkSession
     rows = texts.select("text").mapInArrow(_index(width, seed, percent), "sig long, key long, tag int")
     shared = _shared_buckets(rows)
-    probes = stage(_probes(shared, classes, percent), "probes")
+    probes = stage(_probes(shared, classes, percent).select("sig", "key"), "probes")
     if not probes.limit(1).count():
         return spark.createDataFrame([], "key long, label long")
-    met = stage(_members(shared, probes), "members")
+    # Any partner of a class is in one of its probed buckets; degree tells how much a class shares.
+    sizes = classes.select("key", "n")
+    degree = shared.groupBy("key").agg(F.sum("c").alias("degree"))
+    members = stage(
+        _members(shared, probes).join(degree, "key").join(sizes, "key"), "members"
+    )
     wanted = stage(
-        met.select("key").distinct().join(
+        members.select("key").distinct().join(
             classes.select("key", F.col("first_doc").alias("doc_id")), "key"
         ),
         "participants",
     )
     contents = stage(_participants(texts, wanted, width, seed), "contents")
-    # Any partner of a class is in one of its probed buckets.
-    costly = probes.filter(F.col("c") >= COSTLY).select("key").distinct()
-    deep = met.join(probes.join(costly, "key", "left_semi").select("sig").distinct(), "sig", "left_semi")
-    deep_rows = contents.join(deep.select("key").distinct(), "key", "left_semi").mapInArrow(
-        _deep_index(percent), "sig long, key long, tag int"
+    labels = wanted.select("key", F.col("key").alias("label"))
+    for step in range(CENTRE_ROUNDS):
+        found = _linked(_centre_pairs(members, probes, labels, sizes, percent, step), contents, percent)
+        labels = _joined(labels, found)
+    asking, named = _open(members, probes, labels)
+    pairs = _direct_pairs(asking, named, percent).unionAll(
+        _element_pairs(asking, named, contents, percent)
     )
-    deep_shared = _shared_buckets(deep_rows)
-    deep_probes = _probes(
-        deep_shared.join(costly, "key", "left_semi"), classes, percent, deletions=True
+    return _joined(labels, _linked(pairs.distinct(), contents, percent))
+
+
+def _alike(percent: int):
+    """Sizes n and m that may belong to linked sets."""
+    return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+
+
+def _centre_pairs(
+    members: DataFrame, probes: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int, step: int
+) -> DataFrame:
+    """(a, b): every probe with one member of its bucket, of another component."""
+    named = members.join(labels, "key")
+    first = F.struct("key", "n", "label")
+    best = (
+        F.max_by(first, F.struct("degree", -F.col("key"))) if step == 0
+        else F.min_by(first, F.xxhash64("key", F.lit(step)))
     )
-    members = met.unionAll(_members(deep_shared, deep_probes)).distinct()
-    probes = stage(
-        probes.join(costly, "key", "left_anti").select("sig", "key")
-        .unionAll(deep_probes.select("sig", "key")).distinct(),
-        "probes",
+    centres = named.groupBy("sig").agg(best.alias("x")).select(
+        "sig", F.col("x.key").alias("other"), F.col("x.n").alias("m"), F.col("x.label").alias("its")
     )
-    # Members of probed buckets, with sizes; degree tells how much a class shares.
-    degree = shared.groupBy("key").agg(F.sum("c").alias("degree"))
-    members = stage(
-        members.join(probes.select("sig").distinct(), "sig", "left_semi")
-        .join(degree, "key").join(classes.select("key", "n"), "key"),
-        "members",
+    asking = probes.join(labels, "key").join(sizes, "key")
+    return (
+        asking.join(centres, (asking["sig"] == centres["sig"]) & (F.col("label") != F.col("its")))
+        .filter(_alike(percent))
+        .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+        .distinct()
+    )
+
+
+def _open(members: DataFrame, probes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Probes into buckets of several components, (sig, key, n, label, labels, cost), and their members.
+
+    ``cost`` is the number of members of other components that a class meets in all its
+    buckets, ``labels`` the number of components in this one.
+    """
+    named = stage(members.join(labels, "key").select("sig", "key", "n", "label"), "named")
+    counts = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = counts.groupBy("sig").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).filter(
+        "labels > 1"
+    )
+    met = (
+        probes.join(several, "sig").join(named, ["sig", "key"]).join(counts, ["sig", "label"])
+        .select("sig", "key", "n", "label", "labels", (F.col("all") - F.col("c")).alias("others"))
+    )
+    cost = F.sum("others").over(Window.partitionBy("key"))
+    asking = stage(met.withColumn("cost", cost).drop("others"), "asking")
+    return asking, named
+
+
+def _direct_pairs(asking: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes that meet at most ``DIRECT_PAIRS`` members of other components.
+
+    Their buckets hold as many other components at most, so components meet first and
+    members of one component never do.
+    """
+    few = asking.filter(F.col("cost") <= DIRECT_PAIRS)
+    groups = few.select("sig", "label").distinct()
+    inside = named.join(few.select("sig").distinct(), "sig", "left_semi")
+    others = inside.select("sig", F.col("label").alias("its")).distinct()
+    across = groups.join(others, (groups["sig"] == others["sig"]) & (F.col("label") != F.col("its"))).select(
+        groups["sig"], "label", "its"
+    )
+    theirs = inside.select("sig", F.col("label").alias("its"), F.col("key").alias("other"), F.col("n").alias("m"))
+    return (
+        few.join(across.join(theirs, ["sig", "its"]), ["sig", "label"]).filter(_alike(percent))
+        .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+        .distinct()
+    )
+
+
+def _element_pairs(asking: DataFrame, named: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the other classes: every element is a segment, allocated by its cost.
+
+    A set misses at most (1 - t) n of its n elements in a partner. So of any more than
+    that one is shared: the cheapest are used. Elements of one component are free; the
+    others follow by the number of sets that hold them, the same order for all, so that both
+    partners use the first element that they share. It is at place i of n and j of m, and
+    leaves an overlap of 1 + min(n - i, m - j) at most.
+    """
+    many = asking.filter(F.col("cost") > DIRECT_PAIRS)
+    costly = many.select("key").distinct().withColumn("costly", F.lit(True))
+    there = named.join(many.select("sig").distinct(), "sig", "left_semi").select("key", "n", "label").distinct()
+    taking = there.join(costly, "key", "left").select(
+        "key", "label", "n", F.coalesce("costly", F.lit(False)).alias("costly")
+    )
+    elements = stage(
+        taking.join(contents, "key").select("key", "label", "n", "costly", "content")
+        .mapInArrow(_elements(), "element long, key long, label long, n long, costly boolean"),
+        "elements",
+    )
+    between = elements.groupBy("element").agg(
+        F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    ).filter("lo < hi").select("element", "c")
+    own = Window.partitionBy("key")
+    placed = (
+        elements.join(between, "element")
+        .withColumn("free", F.col("n") - F.count(F.lit(1)).over(own))
+        .withColumn("place", F.col("free") + F.row_number().over(own.orderBy("c", "element")))
+        .filter(F.col("place") <= F.floor(F.lit(100 - percent) * F.col("n") / 100) + 1)
+    )
+    used = stage(placed.select("element", "key", "label", "n", "costly", "place"), "used-elements")
+    left = used.withColumnRenamed("key", "a")
+    right = used.select(
+        "element", F.col("key").alias("b"), F.col("label").alias("its"), F.col("n").alias("m"),
+        F.col("costly").alias("theirs"), F.col("place").alias("at"),
+    )
+    reach = F.lit(100 + percent) * (1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")))
+    return left.join(
+        right,
+        (left["element"] == right["element"]) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("its"))
+        & (F.col("costly") | F.col("theirs")) & _alike(percent)
+        & (reach >= percent * (F.col("n") + F.col("m"))),
+    ).select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs that are similar enough, by their whole sets."""
+    pairs = stage(pairs, "pairs")
+    left = contents.select(F.col("key").alias("a"), F.col("content").alias("x"))
+    right = contents.select(F.col("key").alias("b"), F.col("content").alias("y"))
+    return stage(
+        pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+        .mapInArrow(_verify(percent), "a long, b long, linked boolean").filter("linked").select("a", "b"),
+        "linked",
     )
-    sizes = classes.select("key", "n")
-    checked: DataFrame | None = None
-    labels = wanted.select("key", F.col("key").alias("label"))
-    step = -1
-    while step < CENTRE_ROUNDS:
-        step += 1
-        named = members.join(labels, "key").select("sig", "key", "n", "degree", "label")
-        asking = probes.join(labels, "key").join(sizes, "key").select("sig", "key", "n", "label")
-        if step == 0:
-            centres = named.groupBy("sig").agg(
-                F.max_by(F.struct("key", "n", "label"), F.struct("degree", -F.col("key"))).alias("x")
-            ).select("sig", "x.*")
-        elif step < CENTRE_ROUNDS:
-            centres = named.groupBy("sig").agg(
-                F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", F.lit(step))).alias("x")
-            ).select("sig", "x.*")
-        else:
-            centres = named.select("sig", "label", "key", "n")
-        centres = centres.select(
-            "sig", F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("its")
-        )
-        if step < CENTRE_ROUNDS:
-            met = asking.join(centres, "sig").filter(F.col("label") != F.col("its"))
-        else:
-            # Components meet first, so that members of one component never do.
-            groups = named.select("sig", "label").distinct()
-            across = groups.join(
-                groups.select("sig", F.col("label").alias("its")), "sig"
-            ).filter(F.col("label") != F.col("its"))
-            met = asking.join(across, ["sig", "label"]).join(centres, ["sig", "its"])
-        pairs = (
-            met
-            .filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-            .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-            .distinct()
-        )
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if not pairs.limit(1).count():
-            # Centres are settled; what is left is open pairs of the last round.
-            step = max(step, CENTRE_ROUNDS - 1)
-            continue
-        left = contents.select(F.col("key").alias("a"), F.col("content").alias("x"))
-        right = contents.select(F.col("key").alias("b"), F.col("content").alias("y"))
-        results = stage(
-            pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-            .mapInArrow(_verify(percent), "a long, b long, linked boolean"),
-            "verified",
-        )
-        done = results.select("a", "b")
-        checked = done if checked is None else checked.unionAll(done)
-        labels = _joined(labels, results.filter("linked"))
-    return labels
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
