@@ -309,6 +309,30 @@ def test_jaccard_join(spark, seed):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("direct", [0, 3])
+def test_jaccard_join_by_elements(spark, monkeypatch, direct):
+    """Groups of near copies beside sets that share a passage with them, all left to single elements."""
+    monkeypatch.setattr(jaccard_join, "DIRECT_PAIRS", direct)
+    monkeypatch.setattr(jaccard_join, "CENTRE_ROUNDS", 1)
+    rng = random.Random(21)
+    rows, i = [], 0
+    shared = words(rng, 90)
+    for size in (8, 40, 110):
+        base = words(rng, size) + shared[: size // 2]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, size // 25))):
+                copy[rng.randrange(len(copy))] = "edited" + str(rng.randrange(10**6))
+            rows.append((i, " ".join(copy)))
+            i += 1
+    for extra in (1, 2, 3, 5, 8, 12, 16, 20, 30):  # from linked over nearly linked to far
+        for _ in range(25):
+            rows.append((i, " ".join(words(rng, extra) + shared + words(rng, extra // 3))))
+            i += 1
+    got = jaccard_join.join(documents(spark, rows).repartition(5)).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
 def test_pigeonhole_finds_every_pair():
     """Some common signature of the smaller set's own band for all pairs above the threshold."""
     rng = np.random.default_rng(9)
