@@ -8,8 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import with_row_identity
 from ..functions.permute import key_text, permuted_columns
-from ..functions.runtime import checkpointed
 
 # Repeats and seed of the permutation importance.
 REPEATS = 10
@@ -57,11 +57,11 @@ def permutation_importance(
     permutes the whole column by ranks of keyed hashes (``functions.permute``), so a
     result can be recomputed from the keys alone. What is shuffled grows with features
     times repeats, one number each; changed vectors only exist inside the task that
-    scores them. ``keys`` identify a row; without them the table is written once to
-    fix the positions of its rows.
+    scores them. ``keys`` identify a row; without them rows are told apart by file and
+    index, or the table is written once to fix the positions of its rows.
     """
     if not keys:
-        df = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+        df = with_row_identity(df, "__row")
         keys = ["__row"]
     rows = df.select(
         key_text(df, keys).alias("key"), vector_to_array(F.col(features)).alias("x"),

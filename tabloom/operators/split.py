@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import canonical_text, field_types, split_key
+from ..functions.identity import with_row_identity
 from ..functions.lookup import lookup_join
 from ..functions.ordering import dense_index
 from ..functions.runtime import checkpointed
@@ -52,15 +53,15 @@ def split_rows(
     """Add ``column`` with exactly ceil(test_size * n) test rows.
 
     ``keys`` identify a row; rows with equal keys are dealt together as far as
-    the exact size allows. Without keys rows are told apart by their position,
-    which has to be fixed first: the table is then written to the checkpoint
-    folder once. With ``stratify`` each class gets its proportional share,
+    the exact size allows. Without keys rows of Parquet files are told apart by file
+    and row index; any other table is written to the checkpoint folder once, to fix
+    the positions of its rows. With ``stratify`` each class gets its proportional share,
     rounded by largest remainder.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError(f"test_size must be in (0, 1), got {test_size}")
     if not keys:
-        placed = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+        placed = with_row_identity(df, "__row")
         return split_rows(
             placed, test_size, seed, ["__row"], stratify, column, labels
         ).drop("__row")

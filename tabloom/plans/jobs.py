@@ -20,7 +20,8 @@ from ..functions.expressions import (
     is_categorical,
     nan_to_null,
 )
-from ..functions.runtime import cached_for_iteration, checkpointed, ensure_checkpoint_dir
+from ..functions.identity import with_row_identity
+from ..functions.runtime import cached_for_iteration, ensure_checkpoint_dir
 from ..operators.class_weights import add_balanced_weights, check_target
 from ..operators.evaluate import binary_metrics, regression_metrics, roc_auc
 from ..operators.fixes import FixResult, apply_quick_fixes
@@ -152,7 +153,7 @@ def prepare(
     counts = check_target(df, target, binary)
     base = nan_to_null(df).filter(col(target).isNotNull())
     if not keys:
-        base = checkpointed(base.withColumn(ROW_KEY, F.monotonically_increasing_id()))
+        base = with_row_identity(base, ROW_KEY)
         keys = [ROW_KEY]
 
     dtype = field_types(df)[target]

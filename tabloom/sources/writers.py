@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import col
+from ..functions.identity import in_source_order
 from ..operators.profile import TableProfile
 from .files import path_exists
 from .readers import CSV_OPTIONS
@@ -62,8 +63,16 @@ def write_cleaned(df: DataFrame, folder: str, source: str, fmt: str = "csv") ->
 
 
 def write_predictions(
-    df: DataFrame, folder: str, source: str, fmt: str = "csv", order_by: list[str] | None = None
+    df: DataFrame,
+    folder: str,
+    source: str,
+    fmt: str = "csv",
+    order_by: list[str] | None = None,
+    source_order: bool = False,
 ) -> str:
+    """``source_order`` restores the order of the Parquet files that the rows come from."""
+    if source_order:
+        df = in_source_order(df)
     name = stamped_name(source, "predictions")
     return write_table(df, f"{folder}/{name}", fmt, order_by=order_by)
 
