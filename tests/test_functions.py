@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions.expressions import parse_date, row_digest, word_count
-from tabloom.functions.frequencies import modes, value_counts
+from tabloom.functions.frequencies import LONG_TEXT, key_counts, modes, short_key, value_counts, with_texts
 from tabloom.functions.lookup import lookup_join
 from tabloom.functions.ordering import dense_index, running_totals_desc
 from tabloom.functions.quantiles import exact_quantiles
@@ -222,3 +222,33 @@ def test_many_classes_with_equal_keys(spark):
     df = spark.createDataFrame(rows, "id long, y string")
     got = split_rows(df, 0.5, keys=["id"], stratify="y").filter("split = 'test'").groupBy("y").count().collect()
     assert len(got) == 1500 and {r["count"] for r in got} == {3}
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    """Texts of equal heads, one that looks like a key, short ones, NULLs: counts and modes are those of the texts."""
+    head = "h" * LONG_TEXT
+    texts = [head + "b"] * 4 + [head + "a"] * 4 + [head] * 3 + ["short"] * 2 + [None] * 9 + [head + "\x01" + "0" * 64]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "t string, k long").repartition(4)
+    counted = key_counts(df, ["t", "k"])
+    assert max(len(r["key"]) for r in counted.collect()) <= 2 * LONG_TEXT + 1
+    got = Counter({(r["column"], r["value"]): r["n"] for r in with_texts(df, counted).collect()})
+    want = Counter(("t", t) for t in texts if t is not None) + Counter(("k", str(i % 2)) for i in range(len(texts)))
+    assert got == want
+    assert got == Counter({(r["column"], r["value"]): r["n"] for r in with_texts(df, counted, broadcast_rows=0).collect()})
+    assert modes(df, ["t", "k"]) == {"t": head + "a", "k": "0" if len(texts) % 2 else "0"}
+    assert spark.range(1).select(short_key(F.lit("x" * 500))).first()[0].startswith("x" * LONG_TEXT + "\x01")
+
+
+def test_no_exchange_carries_long_texts(spark):
+    df = spark.range(50).select(F.concat(F.lit("x" * 3000), F.col("id").cast("string")).alias("t"))
+    plan = key_counts(df, ["t"])._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    exchanged = physical[physical.index("Exchange"):].splitlines()[0]
+    assert "key" in exchanged and "sha2" in physical
+    from tabloom.operators.features import fit_categories
+    from tabloom.operators.scoring import allowed_values
+
+    fitted = fit_categories(df, ["t"], rare_min_freq=0.5)
+    assert fitted.sizes == {"t": 0} and fitted.other == {"t": 50} and fitted.table.count() == 0
+    listed = allowed_values(df, ["t"], 3).orderBy("rank").collect()
+    assert [r["value"][3000:] for r in listed] == ["0", "1", "10"]
