@@ -38,6 +38,8 @@ KERNELS = ("rbf", "linear", "poly", "sigmoid")
 COMPONENTS = 1_000
 SMOOTHING = (0.1, 0.01)
 HISTORY = 20
+#: Step lengths of a line search, all evaluated in one pass.
+STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 512, 1e-4, 1e-6)
 SUM_GROUPS = 64
 # Eigenvalues below this share of the greatest one carry no information.
 RANK_TOLERANCE = 1e-10
@@ -211,20 +213,26 @@ def _solve(rows, n, nu, kernel, gamma, parts, basis, size, max_iter) -> np.ndarr
     def inward(g: np.ndarray) -> np.ndarray:
         return g if basis is None else g @ basis
 
-    def evaluate(theta: np.ndarray, delta: float) -> tuple[float, np.ndarray]:
-        w, rho = theta[:-1], theta[-1]
-        weights = outward(w)
+    def evaluate(thetas: list[np.ndarray], delta: float) -> list[tuple[float, np.ndarray]]:
+        """Values and gradients at several points: one pass, one kernel row per row of data."""
+        weights = np.column_stack([outward(t[:-1]) for t in thetas])
+        rhos = np.array([t[-1] for t in thetas])
 
         def batch(x: np.ndarray) -> np.ndarray:
             k = feature_values(x, shared.value, kernel, gamma)
-            t = rho - k @ weights
+            t = rhos - k @ weights
             slope = np.clip(t / delta, 0.0, 1.0)
             loss = np.where(t >= delta, t - delta / 2.0, slope * np.maximum(t, 0.0) / 2.0)
-            return np.concatenate([[loss.sum(), slope.sum()], slope @ k])
+            return np.column_stack([loss.sum(axis=0), slope.sum(axis=0), slope.T @ k]).ravel()
 
-        total = _summed(rows, size + 2, batch) / (nu * n)
-        value = 0.5 * w @ w - rho + total[0]
-        return value, np.concatenate([w - inward(total[2:]), [total[1] - 1.0]])
+        totals = _summed(rows, (size + 2) * len(thetas), batch).reshape(len(thetas), -1) / (nu * n)
+        return [
+            (
+                0.5 * t[:-1] @ t[:-1] - t[-1] + total[0],
+                np.concatenate([t[:-1] - inward(total[2:]), [total[1] - 1.0]]),
+            )
+            for t, total in zip(thetas, totals, strict=True)
+        ]
 
     mean = _summed(
         rows, size, lambda x: feature_values(x, shared.value, kernel, gamma).sum(axis=0)
@@ -233,13 +241,17 @@ def _solve(rows, n, nu, kernel, gamma, parts, basis, size, max_iter) -> np.ndarr
     scale = max(float(w @ w), 1e-6)
     theta = np.concatenate([w, [scale]])
     for smoothing in SMOOTHING:
-        theta = _lbfgs(lambda t: evaluate(t, smoothing * scale), theta, max_iter)
+        theta = _lbfgs(lambda several: evaluate(several, smoothing * scale), theta, max_iter)
     return outward(theta[:-1])
 
 
 def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-3) -> np.ndarray:
-    """Limited-memory BFGS with backtracking, for a few hundred variables."""
-    value, gradient = evaluate(theta)
+    """Limited-memory BFGS for a few hundred variables; ``evaluate`` takes a list of points.
+
+    All step lengths of a line search are evaluated at once, so an iteration is one pass
+    over the data. The longest step that gains enough is taken.
+    """
+    value, gradient = evaluate([theta])[0]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
         if np.linalg.norm(gradient) <= tol * max(1.0, np.linalg.norm(theta)):
@@ -248,13 +260,12 @@ def _lbfgs(evaluate, theta: np.ndarray, max_iter: int, tol: float = 1e-3) -> np.
         slope = float(direction @ gradient)
         if slope >= 0:
             direction, slope, pairs = -gradient, -float(gradient @ gradient), []
-        step = 1.0
-        while True:
-            candidate = theta + step * direction
-            new_value, new_gradient = evaluate(candidate)
-            if new_value <= value + 1e-4 * step * slope or step < 1e-6:
-                break
-            step *= 0.5
+        candidates = [theta + step * direction for step in STEPS]
+        found = evaluate(candidates)
+        chosen = next(
+            (i for i, step in enumerate(STEPS) if found[i][0] <= value + 1e-4 * step * slope), len(STEPS) - 1
+        )
+        candidate, (new_value, new_gradient) = candidates[chosen], found[chosen]
         if new_value >= value:
             break
         s, y = candidate - theta, new_gradient - gradient
