@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from . import feature_queries, model_queries, quality_queries, scoring_queries  # noqa: F401
+from . import (  # noqa: F401
+    feature_queries,
+    model_queries,
+    quality_queries,
+    scoring_queries,
+    workflow_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
