@@ -232,6 +232,19 @@ def encoding_sql(stats: str, overall: str) -> str:
     )
 
 
+@query(
+    "encode_ordinal_whole",
+    """SELECT p_partkey, b.idx AS p_brand, t.idx AS p_type
+       FROM part JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx
+           FROM (SELECT DISTINCT p_brand AS v FROM part)) b ON p_brand = b.v
+         JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS idx
+           FROM (SELECT DISTINCT p_type AS v FROM part)) t ON p_type = t.v""",
+)
+def encode_ordinal_whole(spark, folder):
+    """Fitted on the whole table."""
+    return encode_ordinal(table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"), ["p_brand", "p_type"])
+
+
 @query(
     "encode_target",
     f"""WITH s AS (SELECT o_orderpriority AS c, count(*) AS n, avg(o_totalprice) AS m,

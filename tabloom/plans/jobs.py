@@ -241,12 +241,20 @@ def train_tabular(
     target: str,
     model_type: str,
     model_params: dict | None = None,
+    normal_only: bool = False,
     **prepare_settings,
 ) -> TrainResult:
-    """Split, preprocess, train, evaluate."""
+    """Split, preprocess, train, evaluate.
+
+    With ``normal_only`` an anomaly model is fitted on the training rows of the first
+    label only; all test rows are judged.
+    """
+    if normal_only and task_of(model_type) != "anomaly":
+        raise ValueError("normal_only is for anomaly models")
     prepared = prepare(df, target, task_of(model_type), **prepare_settings)
     try:
-        model = fit_model(prepared.train, model_type, prepared.keys, **(model_params or {}))
+        train = prepared.train.filter("label = 0.0") if normal_only else prepared.train
+        model = fit_model(train, model_type, prepared.keys, **(model_params or {}))
     finally:
         prepared.release()
     predictions, metrics = evaluate_model(prepared, model)

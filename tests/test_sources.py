@@ -376,3 +376,15 @@ def test_csv_round_trip_of_awkward_texts(spark, folder):
     out = write_table(df.repartition(3), f"{folder}/texts")
     back = read_table(spark, out, schema="id long, text string")
     assert [r["text"] for r in back.orderBy("id").collect()] == texts
+
+
+def test_anomaly_model_of_normal_rows(spark):
+    """Half of the rows are far away: only a fit without them finds them."""
+    rows = [(i, float(i % 20), 0) for i in range(200)] + [(200 + i, 500.0 + i % 20, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, bad long")
+    done = jobs.train_tabular(
+        df, "bad", "anomaly_lof", {"n_neighbors": 5}, normal_only=True, keys=["id"], features=["x"]
+    )
+    assert done.metrics["recall"] == 1.0
+    with pytest.raises(ValueError, match="normal_only"):
+        jobs.train_tabular(df, "bad", "classification_rf", normal_only=True, keys=["id"], features=["x"])
