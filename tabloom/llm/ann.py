@@ -3,39 +3,39 @@
 Vectors are centred, padded to ``CODE_BITS`` and turned by a random rotation; the code
 is the sign of each coordinate. With o the unit residual of a vector, x its code as a
 unit vector and q that of a query, <x, q> / <x, o> estimates <o, q>, and the error is
-at most EPSILON * sqrt((1 - <x,o>^2) / <x,o>^2 / (bits - 1)) with high probability. Codes
-travel as packed bits with two correction scalars: the residual's length and <x, o>.
+at most EPSILON * sqrt((1 - <x,o>^2) / <x,o>^2 / (bits - 1)) with high probability. A
+code is packed bits with two correction scalars: the residual's length and <x, o>.
 
-Slices of codes meet blocks of queries. In each slice a query keeps the vectors whose
-lower distance bound isn't above the k-th smallest upper bound; then the bound over
-all slices decides, and what is left is reranked by exact distances.
+Slices of vectors of one length meet blocks of queries of that length. A slice is centred
+and encoded in its task. For each query the codes give lower and upper distance bounds; the
+vectors whose lower bound isn't above the k-th smallest upper bound are reranked by exact
+distances on the spot, and only the k best of a slice leave it.
 
 Defined results: vectors that are NULL, zero or hold NULL or non-finite components
-take no part, nor do those whose length isn't the most frequent one (the longer on
-ties); rows with the same id are vectors of their own, but a query meets no row of its
-own id; NULL ids take no part; fewer candidates than k give all of them; an empty table
-gives no rows; other columns are ignored.
+take no part; a query meets vectors of its own length only; rows with the same id are
+vectors of their own, but a query meets no row of its own id; NULL ids take no part; fewer
+candidates than k give all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_or_not, stage
 
 CODE_BITS = 256
 EPSILON = 2.4
 SEED = 20
 #: Vectors per slice of codes and per block of queries.
 SLICE = 16_384
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 16_384
+#: Queries of a block that are compared at once.
+AT_ONCE = 64
 
 
 def rotation(size: int, bits: int = CODE_BITS, seed: int = SEED) -> np.ndarray:
@@ -73,16 +73,42 @@ def bounds(codes, length, inner, queries, query_length):
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) with finite, nonzero vectors of the most frequent length."""
+    """(id, v, size) with finite, nonzero vectors."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.select(
         F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")
     ).filter(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0))
-    good = good.filter(~bad & F.exists(v, lambda x: x != 0))
-    sizes = good.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.orderBy(F.col("c").desc(), F.col("n").desc()).first()
-    return good.filter(F.size("v") == (top["n"] if top else 0))
+    return good.filter(~bad & F.exists(v, lambda x: x != 0)).withColumn("size", F.size("v"))
+
+
+def search(vectors, ids, queries, query_ids, k: int):
+    """(query number, vector number, distance) of the k best of one slice for each query."""
+    bits = max(CODE_BITS, -(-vectors.shape[1] // 8) * 8)
+    turn = rotation(vectors.shape[1], bits)
+    centre = vectors.mean(axis=0)
+    codes, length, inner = encode(vectors, centre, turn)
+    residual = queries - centre
+    norms, turned = np.sqrt((residual**2).sum(1)), residual @ turn
+    out = []
+    for at in range(0, len(queries), AT_ONCE):
+        part = slice(at, at + AT_ONCE)
+        low, high = bounds(codes, length, inner, turned[part], norms[part])
+        own = ids[None, :] == query_ids[part, None]
+        low[own] = high[own] = np.inf
+        limit = (
+            np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k
+            else np.full(len(high), np.inf)
+        )
+        which, found = np.nonzero((low <= limit[:, None]) & ~own)
+        gap = vectors[found] - queries[part][which]
+        distance = np.sqrt((gap * gap).sum(1))
+        order = np.lexsort((ids[found], distance, which))
+        which, found, distance = which[order], found[order], distance[order]
+        starts = np.searchsorted(which, np.arange(len(high)))
+        best = np.arange(len(which)) - starts[which] < k
+        out.append((which[best] + at, found[best], distance[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def nearest(
@@ -92,104 +118,47 @@ def nearest(
 
     ``queries`` has rows of ``rows``.
     """
-    spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     base = stage(usable(rows, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    first = base.limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], schema)
-    size = len(first[0]["v"])
-    bits = max(CODE_BITS, -(-size // 8) * 8)
-    # One row of column means. Rounded, so that the order of summing leaves no trace.
-    means = base.select(
-        *[F.round(F.avg(F.get("v", F.lit(i))), 6).alias(f"m{i}") for i in range(size)]
-    ).first()
-    centre = np.array(list(means), np.float64)
-    turn = rotation(size, bits)
-    total = base.count()
-    slices = max(1, -(-total // SLICE))
-    asked = base.join(
-        queries.select(F.col(key).alias("q")).distinct(), F.col("id") == F.col("q"), "left_semi"
+    asked = stage(
+        base.join(queries.select(F.col(key).alias("q")).distinct(), F.col("id") == F.col("q"), "left_semi"),
+        "queries",
+    )
+    # One row per length of vectors.
+    plan = stage(
+        asked.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+        .join(base.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")), "size"),
+        "lengths",
     )
-    asked = stage(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = np.array(b.column(2).to_pylist(), np.float64).reshape(-1, size)
-            codes, length, inner = encode(v, centre, turn)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), b.column(1),
-                    pa.array([c.tobytes() for c in codes], pa.binary()),
-                    pa.array(length), pa.array(inner),
-                ],
-                ["row", "id", "code", "length", "inner"],
-            )
-
-    codes = base.select("row", "id", "v").mapInArrow(
-        code, "row long, id long, code binary, length double, inner double"
+    lengths = small_or_not(plan)
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    # A slice of vectors is sent to each block of queries, and a block to each slice.
+    placed = (
+        base.join(lengths, "size").withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")))
+        .withColumn("block", each("blocks")).select("size", "slice", "block", "row", "id", "v")
     )
-    # A slice of codes is sent to each block of queries, and a block to each slice.
-    placed = codes.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = (
+        asked.join(lengths, "size").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")))
+        .withColumn("slice", each("slices")).select("size", "slice", "block", "row", "id", "v")
     )
-    sent = asked.select(
-        F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), "row", "id", "v"
-    ).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_row": [], "row": [], "low": [], "high": []}
-        if len(left) and len(right):
-            packed = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-            length, inner = left["length"].to_numpy(), left["inner"].to_numpy()
-            ids, places = left["id"].to_numpy(), left["row"].to_numpy()
-            v = np.array(right["v"].tolist(), np.float64).reshape(-1, size) - centre
-            norms = np.sqrt((v**2).sum(1))
-            turned = v @ turn
-            for at in range(0, len(right), 64):
-                part = slice(at, at + 64)
-                low, high = bounds(packed, length, inner, turned[part], norms[part])
-                own = ids[None, :] == right["id"].to_numpy()[part, None]
-                low[own] = high[own] = np.inf
-                limit = (
-                    np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k
-                    else np.full(len(high), np.inf)
-                )
-                which, found = np.nonzero((low <= limit[:, None]) & ~own)
-                out["query_row"].append(right["row"].to_numpy()[part][which])
-                out["row"].append(places[found])
-                out["low"].append(low[which, found])
-                out["high"].append(high[which, found])
-        return pd.DataFrame(
-            {c: np.concatenate(x) if x else np.empty(0, np.int64 if "row" in c else float)
-             for c, x in out.items()}
-        )
-
-    found = stage(
-        placed.groupBy("slice", "block").cogroup(sent.groupBy("slice", "block")).applyInPandas(
-            scan, "query_row long, row long, low double, high double"
-        ),
-        "candidates",
-    )
-    # Per slice, a query's k-th smallest upper bound bounds that over all slices.
-    top = Window.partitionBy("query_row").orderBy("high", "row")
-    limit = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") == k).select(
-        "query_row", F.col("high").alias("limit")
-    )
-    kept = found.join(limit, "query_row", "left").filter(
-        F.col("limit").isNull() | (F.col("low") <= F.col("limit"))
-    ).select("query_row", "row")
-    vectors = base.select("row", F.col("id").alias("vec_id"), "v")
-    asking = asked.select(F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("w"))
-    square = F.aggregate(
-        F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    )
-    exact = kept.join(vectors, "row").join(asking, "query_row").select(
-        "query_row", "query_id", "vec_id", F.sqrt(square).alias("score")
+        columns = ["query_row", "query_id", "vec_id", "score"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: np.empty(0, float if c == "score" else np.int64) for c in columns})
+        # By row, so that a result doesn't hang on the order in which rows arrive.
+        left = left.sort_values("row")
+        x, y = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (left, right))
+        ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+        which, found, distance = search(x, ids, y, query_ids, k)
+        values = (right["row"].to_numpy()[which], query_ids[which], ids[found], distance)
+        return pd.DataFrame(dict(zip(columns, values, strict=True)))
+
+    groups = ("size", "slice", "block")
+    found = placed.groupBy(*groups).cogroup(sent.groupBy(*groups)).applyInPandas(
+        scan, "query_row long, query_id long, vec_id long, score double"
     )
+    # k rows per query and slice, reduced before the shuffle.
     best = Window.partitionBy("query_row").orderBy("score", "vec_id")
-    return exact.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"),
-        F.col("vec_id").cast("long").alias("vec_id"), "score",
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
     )

@@ -85,3 +85,26 @@ def test_awkward_vectors(spark):
     same = ann.nearest(df.unionAll(df), df.filter("vec_id = 0"), k=2).collect()
     assert {r["vec_id"] for r in same} == {9}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(1, 30)] + [(100 + i, [float(i), 1.0, 2.0], 0) for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = ann.nearest(df, df.filter("vec_id in (5, 100)"), k=10).collect()
+    near = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (5, 100)}
+    assert near[100] == [101, 102, 103] and near[5][:2] == [4, 6] and len(near[5]) == 10
+
+
+def test_recall_of_many_vectors(spark, folder):
+    """50,000 vectors in four slices, 500 queries."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50_000, 64)).astype(np.float32)
+    x[::3] = x[rng.integers(0, 300, len(x[::3]))] + 0.05 * rng.normal(size=(len(x[::3]), 64))
+    lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": lists}), f"{folder}/v.parquet")
+    df = spark.read.parquet(f"{folder}/v.parquet")
+    got = ann.nearest(df, df.filter("vec_id % 100 = 0")).collect()
+    check(got, brute(np.arange(50_000), x.astype(np.float64), range(0, 50_000, 100), 10), 0.95)
