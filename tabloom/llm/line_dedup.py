@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hashes, slices, small_or_not, stage
+from .common import BROADCAST_ROWS, Memo, hashes, slices, small_or_not, stage
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -256,9 +256,14 @@ def drops(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         F.count(F.lit(1)).alias("n"), F.min("low").alias("l"), F.max("high").alias("h")
     ).filter("n > 1 and l < h").select("leaf")
     open_forms = stage(forms.join(mixed_leaves, "leaf", "left_semi"), "open-forms")
-    # The few forms that are compared get their tokens from the texts again.
+    # The few forms that are compared get their tokens from their first documents again.
+    firsts = stage(open_forms.select(F.col("low").alias("first")).distinct(), "firsts")
+    again = texts
+    if firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # Beyond that bound reading all texts costs less than shuffling them.
+        again = texts.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sample = stage(
-        texts.mapInArrow(_lines(True), "form long, tokens binary")
+        again.mapInArrow(_lines(True), "form long, tokens binary")
         .join(small_or_not(open_forms), "form")
         .groupBy("form").agg(
             F.first("leaf").alias("leaf"), F.first("low").alias("low"), F.min("tokens").alias("tokens"),

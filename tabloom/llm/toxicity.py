@@ -5,7 +5,8 @@ words left out), hashed to 32 bits. The model is trained on a sample of labelled
 rows of at most ``TRAINING_ROWS`` (taken by hash, so it hangs on the ids alone).
 Each of a fixed number of shards runs FTRL-proximal with per-coordinate rates from
 the shared state; after a round the states are averaged per coordinate, weighted by
-the squared gradients each shard saw. L1 leaves few weights, which are broadcast.
+the squared gradients each shard saw. L1 leaves few weights, which are broadcast: every
+one comes from ``MIN_ROWS`` of the sampled rows at least, so the sample bounds them.
 
 Defined results: NULL and empty texts get the score of the intercept; without
 labelled rows every score is 0.5; a label is 1 if any label row of the id says so;
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,6 @@ PASSES = 1
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 #: Features of fewer rows of a shard are not learned from in it.
 MIN_ROWS = 3
-#: Bound of the weights that are kept and broadcast; the largest stay.
-MAX_WEIGHTS = 500_000
 BIAS = 0
 #: Set in the hashes of words; the other half of the range is for pairs.
 WORD_BIT = np.uint32(1 << 31)
@@ -98,11 +96,31 @@ def weights(z: np.ndarray, n: np.ndarray, intercept: np.ndarray) -> np.ndarray:
     )
 
 
+def counted(found: list[np.ndarray], at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several arrays, ascending, and their counts; merged a few arrays at a time."""
+    seen, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+    for at in range(0, len(found), at_once):
+        s, c = np.unique(np.concatenate(found[at : at + at_once]), return_counts=True)
+        seen, place = np.unique(np.concatenate([seen, s]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, c]), len(seen)).astype(np.int64)
+    return seen, counts
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Arrays of 32-bit features in a binary column, without copying them."""
+    out = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        out += [data[i:j].view(np.uint32) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return out
+
+
 def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES):
     """Features, z, n and growth of n after ``passes`` over one shard."""
     if not rows:
         return (np.empty(0, np.uint32),) + tuple(np.empty(0) for _ in range(3))
-    seen, counts = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
+    seen, counts = counted([r[0] for r in rows])
     index = np.concatenate([[BIAS], seen[counts >= MIN_ROWS]]).astype(np.uint32)
     z, n = np.zeros(len(index)), np.zeros(len(index))
     if len(start.index):
@@ -117,7 +135,7 @@ def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES
         at = np.searchsorted(index, found)
         at[at == len(index)] = 0
         own = at[index[at] == found]
-        dense.append((np.concatenate([[0], own]).astype(np.int64), label))
+        dense.append((np.concatenate([[0], own]).astype(np.int32), label))
     intercept = np.zeros(len(index), bool)
     intercept[0] = True
     for _ in range(passes):
@@ -133,8 +151,20 @@ def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES
     return index[keep], z[keep], n[keep], (n - before)[keep]
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, place, label, text) -> (shard, place, label, features as bytes)."""
+    memo = Memo(word_hash)
+    for whole in batches:
+        for batch in slices(whole):
+            found = [features(t, memo).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())],
+                ["shard", "place", "label", "found"],
+            )
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, key: str, text: str) -> DataFrame:
-    """(shard, place, text, label) of the sample; ids whose crc32 mod 3 is 1 are held out."""
+    """(shard, place, label, text) of the sample; ids whose crc32 mod 3 is 1 are held out."""
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull())
         .filter(crc_bucket(key, 3) != 1)
@@ -150,7 +180,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, key: str, tex
         sample, "id"
     ).select(
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARDS)).alias("shard"),
-        F.xxhash64("id", F.lit(6)).alias("place"), "text", "label",
+        F.xxhash64("id", F.lit(6)).alias("place"), "label", "text",
     )
 
 
@@ -158,19 +188,24 @@ def train(
     docs: DataFrame, labels: DataFrame, target: str = "toxic", key: str = "doc_id", text: str = "text"
 ) -> Model:
     spark = docs.sparkSession
-    sample = stage(training_rows(docs, labels, target, key, text), "toxic-sample")
+    # Texts are parsed once; the rounds read features.
+    sample = stage(
+        training_rows(docs, labels, target, key, text).mapInArrow(
+            _parsed, "shard long, place long, label int, found binary"
+        ),
+        "toxic-sample",
+    )
     model = Model.empty()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
-        def one_shard(rows: pd.DataFrame) -> pd.DataFrame:
-            memo = Memo(word_hash)
-            rows = rows.sort_values(["place", "text"])
-            parsed = [(features(t, memo), y) for t, y in zip(rows["text"], rows["label"], strict=True)]
+        def one_shard(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("place", "ascending"), ("found", "ascending")])
+            parsed = list(zip(_views(rows["found"]), rows["label"].to_pylist(), strict=True))
             index, z, n, grown = learn(parsed, shared.value)
-            return pd.DataFrame({"feature": index.astype(np.int64), "z": z, "n": n, "grown": grown})
+            return pa.table({"feature": index.astype(np.int64), "z": z, "n": n, "grown": grown})
 
-        states = by_group(sample, SHARDS, "shard").groupBy("shard").applyInPandas(
+        states = by_group(sample, SHARDS, "shard").groupBy("shard").applyInArrow(
             one_shard, "feature long, z double, n double, grown double"
         )
         weight = F.col("grown") + F.lit(1e-12)
@@ -180,8 +215,7 @@ def train(
                 (F.sum(F.col("z") * weight) / F.sum(weight)).alias("z"),
                 (F.sum(F.col("n") * weight) / F.sum(weight)).alias("n"),
             )
-            .orderBy(F.abs("z").desc(), "feature").limit(MAX_WEIGHTS).toPandas()
-            .sort_values("feature")
+            .toPandas().sort_values("feature")
         )
         index = merged["feature"].to_numpy().astype(np.uint32)
         z, n = merged["z"].to_numpy(), merged["n"].to_numpy()
@@ -194,7 +228,11 @@ def score(
     threshold: float = THRESHOLD, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(key, score, predicted) of every row, besides the columns ``keep``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Scoring needs the nonzero weights alone.
+    used = model.weight != 0
+    none = np.empty(0)
+    slim = Model(model.index[used], model.weight[used], none, none)
+    shared = docs.sparkSession.sparkContext.broadcast(slim)
     others = [c for c in dict.fromkeys((key, *keep)) if c != text]
     made = docs.select(*others, *([text] if text in keep else []), text_or_empty(text).alias("__text"))
     schema = ", ".join(

@@ -6,7 +6,10 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tabloom.llm import decontaminate, toxicity
+from tabloom.llm.common import Memo, plain_words, word_hash
 from tabloom.llm.queries import QUERIES
+from test_text_operators import brute_components, check_packing, library  # noqa: F401
 from tests_llm_words import sentence, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -127,3 +130,93 @@ def test_queries_give_their_columns(spark):
         assert df.columns[: len(columns)] == columns
         if name not in ("op5_nearest_neighbours", "op6_packing", "op13_centroid_clusters"):
             assert df.count() == rows
+
+
+def test_clashing_columns_in_every_stage(spark, folder):
+    """Columns that operators make or use under the same names come through unchanged."""
+    corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["predicted", "score", "n_dropped", "n_lines", "component_id", "n_shingles", "item_id", "key", "id", "label"]
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/clash-{name}")
+        docs = spark.read.parquet(f"{folder}/clash-{name}")
+        plain = function(spark, plain, folder)
+        assert sorted(map(repr, docs.select(COLUMNS).collect())) == sorted(map(repr, plain.collect()))
+    for r in docs.collect():
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n} of {r['doc_id']}") for n in names)
+    assert corpus_pipeline.pack(spark, docs, folder).count() > 0
+
+
+def brute_lines(rows):
+    """Texts without lines of recurring templates, for plain lines of five words and more."""
+    leaves, owner = {}, {}
+    for doc_id, text in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
+        for line in text.split("\n"):
+            w = line.split()
+            leaf = leaves.setdefault((len(w), *w[:3]), [])
+            near = [t for t in leaf if sum(a == b for a, b in zip(w, t[0])) >= 0.8 * len(w)]
+            if not near:
+                leaf.append((w, doc_id))
+            owner[doc_id, line] = near[0][1] if near else doc_id
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if owner.get((doc_id, x), doc_id) == doc_id]
+        if kept or not lines:
+            out.append((doc_id, text if text is None else "\n".join(kept)))
+    return out
+
+
+def brute_leaks(rows, items):
+    """Ids of texts with a window that holds an item, by subsequences of all windows."""
+    found = set()
+    for doc_id, text in rows:
+        own = plain_words(text or "")
+        for item in items:
+            ids, answer = plain_words(item), plain_words(decontaminate.last_sentence(item))
+            size = decontaminate.BLOCK
+            while len(ids) > 2 * size:
+                size *= 2
+            for at in range(0, len(own), size):
+                window = own[at : at + 3 * size]
+                share = decontaminate.lcs(ids, window) / len(ids)
+                told = decontaminate.lcs(answer, window) / len(answer)
+                if share >= decontaminate.SURE_LCS or share >= decontaminate.MIN_LCS and told >= decontaminate.MIN_ANSWER:
+                    found.add(doc_id)
+    return found
+
+
+def test_stages_by_brute_force(spark, folder, library):  # noqa: F811
+    """Each stage on the output of the one before it, against plain Python."""
+    corpus(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    frames = {}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model, memo = toxicity.train(docs, labels), Memo(word_hash)
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, docs, folder)
+        out.write.parquet(f"{folder}/brute-{name}")
+        out = frames[name] = spark.read.parquet(f"{folder}/brute-{name}")
+        if name == "toxicity":
+            want = [(i, t) for i, t in rows if model.score(toxicity.features(t or "", memo)) < 0.7]
+        elif name == "line_dedup":
+            want = brute_lines(rows)
+        elif name == "ngram_jaccard_join":
+            first = {i: c for i, _, c in brute_components(rows, 5, 80)}
+            want = [(i, t) for i, t in rows if first[i] == i]
+        elif name == "decontamination":
+            gone = brute_leaks(rows, items)
+            want = [(i, t) for i, t in rows if i not in gone]
+        else:
+            check_packing(rows, out.collect(), library, 4096)
+            break
+        rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted(rows, key=str) == sorted(want, key=str), name
+        docs = out

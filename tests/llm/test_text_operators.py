@@ -491,7 +491,7 @@ def test_templates_of_a_leaf_by_brute_force(monkeypatch, spark):
 def test_leaks(spark):
     rng = random.Random(12)
     items = [(i, " ".join(sentence(rng, 12) for _ in range(rng.randint(2, 5)))) for i in range(40)]
-    items += [(100, None), (101, ""), (102, "too short"), (103, items[0][1])]
+    items += [(100, None), (101, ""), (102, "Too short!"), (103, items[0][1]), (104, "too short")]
     rows, want = [], set()
     for i in range(150):
         parts = [sentence(rng, rng.randint(5, 25)) for _ in range(rng.randint(1, 30))]
@@ -506,6 +506,9 @@ def test_leaks(spark):
                 want.add((i, 103))
         rows.append((i, " ".join(parts)))
     rows += [(1000 + (i or 0), t) for i, t in awkward(rng)]
+    # Items of a few words are found as whole lines only.
+    rows += [(2000, "one line\n- too, SHORT.\nand another"), (2001, "this line is too short by far")]
+    want |= {(2000, 102), (2000, 104)}
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash"))
     got = decontaminate.leaks(documents(spark, rows, extra=True), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
@@ -526,6 +529,57 @@ def test_answers_count(spark):
     assert got == {1, 3}
 
 
+def test_whole_answers_are_checked(spark):
+    """An answer of 30 words counts with all its words, not with its last ones."""
+    rng = random.Random(17)
+    question, answer = words(rng, 60), words(rng, 30)
+    bench = spark.createDataFrame([(1, " ".join(question), " ".join(answer))], "item_id long, text string, answer string")
+    kept = [w for k, w in enumerate(question) if k % 3]
+    rows = [
+        (1, " ".join(kept + answer[:18])), (2, " ".join(kept + answer[-12:])), (3, " ".join(kept)),
+    ] + [(i, sentence(rng, 60)) for i in range(10, 60)]
+    got = {r["doc_id"] for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert got == {1}
+
+
+def test_recall_of_the_latent_gate_with_thousands_of_items(spark):
+    """Against the subsequence of every item with every window: 2,000 items, all pairs above the verdict."""
+    rng = random.Random(18)
+    common = words(rng, 60)
+
+    def prose(n):
+        return [rng.choice(common) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(n)]
+
+    items = [prose(rng.randint(12, 60)) for _ in range(2000)]
+    rows = []
+    for i in range(160):
+        text = prose(rng.randint(20, 200))
+        if i % 2:
+            n = rng.randrange(2000)
+            # From a copy to the edge of the verdict.
+            keep = rng.choice([1.0, 0.95, 0.9, 0.85])
+            text[rng.randint(0, len(text)):0] = [w if rng.random() < keep else words(rng, 1)[0] for w in items[n]]
+        rows.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    want = set()
+    texts = [t.split() for _, t in rows]
+    sets = [set(t) for t in texts]
+    for n, item in enumerate(items):
+        size = 8
+        while len(item) > 2 * size:
+            size *= 2
+        for d, text in enumerate(texts):
+            if sum(w in sets[d] for w in item) < 0.8 * len(item):
+                continue
+            shares = [
+                decontaminate.lcs(item, text[at : at + 3 * size]) / len(item) for at in range(0, len(text), size)
+            ]
+            if max(shares) >= decontaminate.SURE_LCS:
+                want.add((d, n))
+    assert len(want) >= 50 and len(want & got) >= 0.99 * len(want)
+
+
 def test_lcs():
     rng = random.Random(14)
     for _ in range(300):
@@ -579,6 +633,67 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, blank).collect()} == {0.5}
 
 
+def test_ftrl_by_the_formulas():
+    """One shard against FTRL-proximal with dictionaries, coordinate by coordinate."""
+    rng = random.Random(22)
+    common = words(rng, 40)
+    memo = toxicity.Memo(toxicity.word_hash)
+    rows = []
+    for i in range(120):
+        text = " ".join(rng.choice(common) for _ in range(rng.randint(0, 30))) + (" vilewort" if i % 4 == 0 else "")
+        rows.append((toxicity.features(text, memo), int(i % 4 == 0)))
+    seen = Counter(int(f) for found, _ in rows for f in found)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        l1, l2 = (0.0, 0.0) if f == toxicity.BIAS else (toxicity.L1, toxicity.L2)
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + l2)
+
+    def worth(f):
+        return 1.0 if f == toxicity.BIAS or f >= int(toxicity.WORD_BIT) else toxicity.PAIR_VALUE
+
+    for _ in range(2):
+        for found, label in rows:
+            used = [toxicity.BIAS] + [int(f) for f in found if seen[int(f)] >= toxicity.MIN_ROWS]
+            w = {f: weight(f) for f in used}
+            p = 1 / (1 + math.exp(-sum(w[f] * worth(f) for f in used)))
+            for f in used:
+                g = (p - label) * worth(f)
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w[f]
+                n[f] += g * g
+    index, got_z, got_n, grown = toxicity.learn(rows, toxicity.Model.empty(), passes=2)
+    want = {f for f in z if weight(f) != 0.0} | {toxicity.BIAS}
+    assert set(index.tolist()) == want
+    for f, a, b, c in zip(index.tolist(), got_z, got_n, grown, strict=True):
+        assert (a, b, c) == pytest.approx((z[f], n[f], n[f]), rel=1e-9, abs=1e-12)
+
+
+def test_language_sizes_by_plain_compression():
+    """Sizes are those of one compressor a dictionary and block; ties go to the first language."""
+    import zstandard
+
+    rng = random.Random(23)
+    dictionaries = {name: " ".join(words(rng, 500)).encode() for name in ("aa", "bb", "cc")}
+    classifier = language_id.Classifier(dictionaries)
+    settings = zstandard.ZstdCompressionParameters(**language_id.MATCHING)
+    texts = ["", "word", "x" * 30_000, " ".join(words(rng, 4_000)), "日本語 テスト " * 900]
+    for text in texts:
+        data = text.encode()
+        for name, size in zip(classifier.languages, classifier.sizes(text), strict=True):
+            plain = 0
+            for i in range(0, len(data), language_id.BLOCK_BYTES):
+                one = zstandard.ZstdCompressor(
+                    dict_data=zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    compression_params=settings,
+                )
+                plain += len(one.compress(data[i : i + language_id.BLOCK_BYTES]))
+            assert abs(plain - size) <= 0.01 * plain
+    same = language_id.Classifier({"zz": dictionaries["aa"], "mm": dictionaries["aa"]})
+    assert same.classify("some words to read")[0] == "mm"
+
+
 def test_language(spark):
     rng = random.Random(16)
     tongues = {
@@ -625,16 +740,83 @@ def test_licenses(spark):
     assert got[5]["from_dir"] == "r/sub"
 
 
-def test_skipped_lines_cannot_match():
-    """Lines without a heavy word stay below the threshold under any frequencies."""
+def plain_cosine(words, template, idf, other):
+    a, b = Counter(words), Counter(template)
+    weigh = lambda c: {w: n * idf.get(w, other) for w, n in c.items()}
+    a, b = weigh(a), weigh(b)
+    dot = sum(x * b.get(w, 0.0) for w, x in a.items())
+    return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_windows_by_brute_force():
+    """Every window of every template's length, plain cosines, under odd frequencies."""
     rng = random.Random(18)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.plain_words(t)})
-    for _ in range(20):
-        frequency = {w: rng.randrange(1000) for w in vocabulary}
-        matcher = licenses.Matcher(licenses.TEMPLATES, frequency, 1000)
-        skipped = [[w for w in rng.choices(vocabulary, k=8) if w not in matcher.heavy] for _ in range(200)]
-        matcher.heavy = set(vocabulary)
-        assert not any(matcher.match(line) for line in skipped if line)
+    lines = 1000
+    for round_ in range(25):
+        frequency = {w: rng.randrange(lines) for w in vocabulary}
+        matcher = licenses.Matcher(licenses.TEMPLATES, frequency, lines, licenses.FULL_TEXTS)
+        idf = {w: math.log((lines + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in matcher.index}
+        other = math.log(lines + 1) + 0.01
+        words = [rng.choice(vocabulary) if rng.random() < 0.3 else b"other%d" % rng.randrange(50) for _ in range(60)]
+        for _ in range(3):
+            notice = licenses.plain_words(rng.choice(licenses.TEMPLATES)[1])
+            for _ in range(rng.randrange(3)):
+                notice[rng.randrange(len(notice))] = rng.choice([b"some", b"software", b"the"])
+            at = rng.randrange(len(words))
+            words[at:at] = notice
+        found = {t: c for t, _, c in matcher.windows(words, matcher.ids(words))}
+        for t, (_, text) in enumerate(licenses.TEMPLATES):
+            template = licenses.plain_words(text)
+            n = len(template)
+            best = max(
+                plain_cosine(words[max(0, i) : i + n], template, idf, other) for i in range(1 - n, len(words))
+            )
+            assert (t in found) == (best >= licenses.MIN_COSINE), (round_, t)
+            if t in found:
+                assert found[t] == pytest.approx(best, abs=1e-9)
+
+
+NOTICES = {
+    "Apache-2.0": "/* Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0. See LICENSE for details. */",
+    "BSD": "# Copyright 2001\n# Redistribution and use in source and binary forms, with or without\n"
+           "# modification, are permitted provided that the following conditions are met:\n# All rights reserved.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License. It was written in spring.",
+    "GPL-3.0": " * This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU\n"
+               " * General Public License as published somewhere.",
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla\n// Public License, v. 2.0. If a copy was not given",
+}
+
+
+def test_wrapped_notices_and_words_around_them(spark):
+    rng = random.Random(19)
+    rows = [(name, f"{sentence(rng, 9)}\n{notice}\n{chr(10).join(sentence(rng, 15) for _ in range(12))}") for name, notice in NOTICES.items()]
+    rows += [(None, "\n".join(sentence(rng, 15) for _ in range(12))) for _ in range(60)]
+    rows.append((None, " ".join(words(rng, 60_000))))
+    rows.append(("MIT", " ".join(words(rng, 30_000)) + " Released under the MIT License " + " ".join(words(rng, 30_000))))
+    files = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(rows)], "id long, path string, text string")
+    got = {r["id"]: r for r in licenses.scan(files, "id", F.col("path")).collect()}
+    assert [got[i]["own_license"] for i in range(len(rows))] == [name for name, _ in rows]
+    assert all(got[i]["line"] in (1, 2) for i in range(5)) and got[len(rows) - 1]["line"] == 0
+    assert all(got[i]["file_cosine"] < licenses.FILE_COSINE for i in range(5))
+
+
+def test_licence_files_by_their_whole_text(spark):
+    rng = random.Random(20)
+    full = {name: text for name, text in licenses.FULL_TEXTS}
+    body = "\n".join(sentence(rng, 15) for _ in range(12))
+    rows = [
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + full["MIT"]), ("a/b/x", body),
+        ("c/COPYING", full["BSD"]), ("c/y", body), ("c/LICENSE", full["BSD"]), ("d/README", f"{body}\n{NOTICES['Apache-2.0']}"), ("d/z", body),
+        ("e/LICENSE", "All rights reserved."), ("e/w", body),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "id long, path string, text string")
+    got = {r["id"]: r for r in licenses.inherit(licenses.scan(files, "id", F.col("path"))).collect()}
+    assert [got[i]["license"] for i in range(9)] == ["MIT", "MIT", "BSD", "BSD", "BSD", "Apache-2.0", None, "Proprietary", "Proprietary"]
+    assert [got[i]["file_cosine"] >= licenses.FILE_COSINE for i in range(9)] == [True, False, True, False, True, False, False, True, False]
+    # Ties of directories and repeated rows: the same answer in any order.
+    again = licenses.inherit(licenses.scan(files.unionAll(files).repartition(3), "id", F.col("path")))
+    assert Counter((r["id"], r["license"]) for r in again.collect()) == Counter({(i, got[i]["license"]): 2 for i in range(9)})
 
 
 # ---- empty tables
