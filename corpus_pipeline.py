@@ -1,7 +1,12 @@
 """Five-stage cleaning of ``documents``; every stage calls one operator of ``tabloom.llm``.
 
 A stage gets a session, the documents its predecessor kept and the folder of the tables.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, whatever other columns these have.
+
+Rows of one id are one document: where a stage drops a document by its id, all of its rows go.
+NULL texts are judged like empty ones; equal rows stay equal rows but in the third stage,
+which keeps one of them; of tied copies the smallest id stays, and a NULL id is never the
+smallest. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -17,20 +22,35 @@ from tabloom.llm.queries import tokenizer
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with names that no operator uses for all columns but id and text, and the way back."""
+    names = {c: c if c in ("doc_id", "text") else f"__given_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    renamed, back = _apart(docs)
+    scored = toxicity.score(renamed, toxicity.train(docs, labels), keep=tuple(renamed.columns))
+    return scored.filter("predicted = 0").select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; a document that consists of nothing else goes too."""
-    cleaned = line_dedup.remove(docs)
+    renamed, back = _apart(docs)
+    cleaned = line_dedup.remove(renamed)
     emptied = (F.col("n_dropped") > 0) & (F.col("text") == "")
-    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn(
-        "n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    kept = cleaned.filter(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" not in docs.columns:
+        return kept.select(*back)
+    # A text that lost lines has a new length.
+    given = f"__given_{docs.columns.index('n_chars')}"
+    kind = docs.schema["n_chars"].dataType
+    return kept.withColumn(
+        given, F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col(given))
+    ).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
