@@ -508,3 +508,20 @@ def test_local_outlier_factor_by_projections(spark, folder):
     assert np.mean([abs(scores["near"][i] / scores["exact"][i] - 1) for i in ids]) < 0.05
     with pytest.raises(ValueError, match="search"):
         LocalOutlierFactor(search="guess")
+
+
+def test_line_search_evaluates_all_steps_at_once():
+    """One call an iteration, and the minimum of a badly scaled quadratic."""
+    from tabloom.operators.models.one_class_svm import STEPS, _lbfgs
+
+    scales = np.array([1.0, 30.0, 0.02, 5.0])
+    target = np.array([3.0, -1.0, 10.0, 0.5])
+    calls = []
+
+    def evaluate(points):
+        calls.append(len(points))
+        return [(0.5 * float(scales @ (p - target) ** 2), scales * (p - target)) for p in points]
+
+    found = _lbfgs(evaluate, np.zeros(4), 60, tol=1e-6)
+    assert np.abs(found - target).max() < 0.05
+    assert calls[0] == 1 and set(calls[1:]) == {len(STEPS)} and len(calls) <= 61
