@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,9 +201,11 @@ def train(
         shared = spark.sparkContext.broadcast(model)
 
         def one_shard(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by([("place", "ascending"), ("found", "ascending")])
-            parsed = list(zip(_views(rows["found"]), rows["label"].to_pylist(), strict=True))
-            index, z, n, grown = learn(parsed, shared.value)
+            parsed = _views(rows["found"])
+            ties = [xxhash.xxh64_intdigest(f) for f in parsed]
+            order = sorted(range(len(parsed)), key=list(zip(rows["place"].to_pylist(), ties, strict=True)).__getitem__)
+            known = rows["label"].to_pylist()
+            index, z, n, grown = learn([(parsed[i], known[i]) for i in order], shared.value)
             return pa.table({"feature": index.astype(np.int64), "z": z, "n": n, "grown": grown})
 
         states = by_group(sample, SHARDS, "shard").groupBy("shard").applyInArrow(
