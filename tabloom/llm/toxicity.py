@@ -97,14 +97,12 @@ def weights(z: np.ndarray, n: np.ndarray, intercept: np.ndarray) -> np.ndarray:
     )
 
 
-def counted(found: list[np.ndarray], at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of several arrays, ascending, and their counts; merged a few arrays at a time."""
-    seen, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-    for at in range(0, len(found), at_once):
-        s, c = np.unique(np.concatenate(found[at : at + at_once]), return_counts=True)
-        seen, place = np.unique(np.concatenate([seen, s]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, c]), len(seen)).astype(np.int64)
-    return seen, counts
+def frequent(found: list[np.ndarray], least: int) -> np.ndarray:
+    """Values, ascending, that occur ``least`` times or more in arrays of distinct values."""
+    every = np.concatenate(found)
+    every.sort()
+    apart = least - 1
+    return np.unique(every[apart:][every[apart:] == every[: len(every) - apart]])
 
 
 def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -121,8 +119,7 @@ def learn(rows: list[tuple[np.ndarray, int]], start: Model, passes: int = PASSES
     """Features, z, n and growth of n after ``passes`` over one shard."""
     if not rows:
         return (np.empty(0, np.uint32),) + tuple(np.empty(0) for _ in range(3))
-    seen, counts = counted([r[0] for r in rows])
-    index = np.concatenate([[BIAS], seen[counts >= MIN_ROWS]]).astype(np.uint32)
+    index = np.concatenate([[BIAS], frequent([r[0] for r in rows], MIN_ROWS)]).astype(np.uint32)
     z, n = np.zeros(len(index)), np.zeros(len(index))
     if len(start.index):
         at = np.searchsorted(start.index, index)
