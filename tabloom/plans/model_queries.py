@@ -301,7 +301,7 @@ def coefficient_importance(spark, folder):
 #: The row of rank i by the base order gets the value of the row of rank i by the order of (feature, repeat).
 PERMUTATION_SQL = """WITH d AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey
       AS k, [l_quantity, l_discount, l_tax]::DOUBLE[] AS x, l_quantity * 3 + l_discount * 100 AS y FROM lineitem),
-    base AS (SELECT x, y, row_number() OVER (ORDER BY md5('42:' || k), k) AS i FROM d),
+    base AS (SELECT x, y, row_number() OVER (ORDER BY md5('42:' || k), k, x, y) AS i FROM d),
     vals AS (SELECT f, r, x[f + 1] AS v, row_number() OVER
         (PARTITION BY f, r ORDER BY md5('42:' || f || ':' || r || ':' || k), x[f + 1]) AS i
       FROM d, range(0, 3) AS a(f), range(0, 10) AS b(r)),

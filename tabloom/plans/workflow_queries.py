@@ -212,7 +212,8 @@ TEST_ROWS_SQL = """SELECT '{name}' AS model, ceil(0.2 * count(*))::BIGINT AS tes
     ),
 )
 def classifiers_beat_the_majority(spark, folder):
-    """Test rows of a stratified split; accuracy no worse than that of the commonest class."""
+    """Test rows of a stratified split; accuracy no worse than that of the commonest class,
+    but for the chance of a test set of n rows: 1 / sqrt(n)."""
     rows = []
     settings = {"classification_rf": {"n_estimators": 30, "max_depth": 6},
                 "classification_xgboost": {"n_estimators": 10, "max_depth": 4}, "classification_logreg": {}}
@@ -223,7 +224,7 @@ def classifiers_beat_the_majority(spark, folder):
         )
         counted = done.predictions.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # two classes
         total, most = sum(r["n"] for r in counted), max(r["n"] for r in counted)
-        rows.append((name, total, done.metrics["accuracy"] >= most / total - 0.02))
+        rows.append((name, total, done.metrics["accuracy"] >= most / total - total**-0.5))
     return spark.createDataFrame(rows, "model string, test_rows long, holds boolean")
 
 
