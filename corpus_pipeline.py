@@ -22,6 +22,15 @@ from tabloom.llm.queries import tokenizer
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch: documents are long, and a task holds a batch on both sides.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers; results don't hang on the size of batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
     """``docs`` with names that no operator uses for all columns but id and text, and the way back."""
     names = {c: c if c in ("doc_id", "text") else f"__given_{i}" for i, c in enumerate(docs.columns)}
@@ -31,6 +40,7 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     renamed, back = _apart(docs)
     scored = toxicity.score(renamed, toxicity.train(docs, labels), keep=tuple(renamed.columns))
@@ -39,6 +49,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; a document that consists of nothing else goes too."""
+    _small_batches(spark)
     renamed, back = _apart(docs)
     cleaned = line_dedup.remove(renamed)
     emptied = (F.col("n_dropped") > 0) & (F.col("text") == "")
@@ -59,6 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies share 80 % of their shingles of five words; the contract of the op8 query
     (four words, 85 %) is that query's alone.
     """
+    _small_batches(spark)
     found = jaccard_join.join(docs, width=5, percent=80)
     gone = stage(
         found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id").distinct(),
@@ -71,6 +83,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _small_batches(spark)
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stage(found.select("doc_id").distinct(), "leaks")
     return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -78,6 +91,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, in sequences of 4096 tokens."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer())
 
 
