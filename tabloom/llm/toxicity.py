@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,6 +194,8 @@ def train(
         ),
         "toxic-sample",
     )
+    # Dealt to shards once: the rounds read the kept partitions, a lost one is dealt again.
+    placed = by_group(sample, SHARDS, "shard").persist(StorageLevel.DISK_ONLY)
     model = Model.empty()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
@@ -205,7 +208,7 @@ def train(
             index, z, n, grown = learn([(parsed[i], known[i]) for i in order], shared.value)
             return pa.table({"feature": index.astype(np.int64), "z": z, "n": n, "grown": grown})
 
-        states = by_group(sample, SHARDS, "shard").groupBy("shard").applyInArrow(
+        states = placed.groupBy("shard").applyInArrow(
             one_shard, "feature long, z double, n double, grown double"
         )
         weight = F.col("grown") + F.lit(1e-12)
@@ -220,6 +223,7 @@ def train(
         index = merged["feature"].to_numpy().astype(np.uint32)
         z, n = merged["z"].to_numpy(), merged["n"].to_numpy()
         model = Model(index, weights(z, n, index == BIAS), z, n)
+    placed.unpersist()
     return model
 
 
