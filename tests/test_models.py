@@ -389,6 +389,43 @@ def test_permutation_follows_the_ranks_of_keyed_hashes(spark, monkeypatch):
     }
 
 
+@pytest.mark.parametrize("copies", [1, 3, 200])
+def test_permutation_over_stretches_of_ranks(spark, monkeypatch, copies):
+    """Values sent straight to their stretch of ranks, and ranks numbered first where keys repeat."""
+    import hashlib
+
+    from tabloom.functions import permute
+
+    monkeypatch.setattr(permute, "ROWS_PER_STRETCH", 37)
+    x = np.random.default_rng(13).normal(size=(700, 2)).round(1)
+    keys = [f"k{i // copies}" for i in range(700)]
+    rows = spark.createDataFrame(
+        [(k, v.tolist(), float(v.sum())) for k, v in zip(keys, x)], "key string, x array<double>, label double"
+    )
+
+    def order(prefix, own):
+        return sorted(range(700), key=lambda i: (hashlib.md5(f"{prefix}:{keys[i]}".encode()).hexdigest(), own(i)))
+
+    base = order("5", lambda i: (*x[i], x[i].sum()))
+    want = sorted(
+        (f * 2 + r, *x[b], x[v, f]) for f in range(2) for r in range(2)
+        for b, v in zip(base, order(f"5:{f}:{r}", lambda i: x[i, f]))
+    )
+    found = permute.permuted_columns(rows, 700, 2, 2, 5)
+    assert sorted((r["series"], *r["x"], r["value"]) for r in found.collect()) == want
+
+
+def test_permutation_moves_values_once(spark):
+    """One exchange of values and one of base rows: no value is sorted or moved by its rank again."""
+    from tabloom.functions.permute import permuted_columns
+
+    rows = spark.range(100).selectExpr("string(id) AS key", "array(double(id)) AS x", "double(id) AS label")
+    plan = permuted_columns(rows, 100, 1, 2, 3)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("Exchange hashpartitioning(stretch") == 2
+    assert "Window" not in physical and "Exchange hashpartitioning(rank" not in physical
+
+
 def test_permutation_ships_numbers_and_stays_in_the_jvm(spark):
     """No vector travels per feature and repeat: the exchanges of swaps carry three narrow columns."""
     from pyspark.ml import Transformer
