@@ -4,10 +4,10 @@
 HyperLogLog sketch of the values and a KLL sketch of the numbers. Such rows can be
 written next to the data, one batch per partition that arrives, and merged on demand over any
 choice of parts: a profile of a grown table reads new data only, and no value is shuffled,
-only sketches of a few kilobytes.
+only sketches of 64 kilobytes at most for distinct values and a few for numbers.
 
 Errors, for the default sizes: distinct counts are within ``DISTINCT_ERROR`` of the truth
-(three standard errors of 2^14 registers), and the rank of a quantile is within
+(six standard errors of 2^16 registers, so that none of many columns is beyond it by chance), and the rank of a quantile is within
 ``RANK_ERROR`` of the wanted one (99 % of the cases). Both hold whatever the number of rows and
 however many parts were merged.
 """
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.expressions import col, counting_key, field_types, is_numeric, nan_to_null
 from ..functions.runtime import checkpointed
 
-HLL_BITS = 14
+HLL_BITS = 16
 KLL_SIZE = 2_000
-#: Three standard errors of merged HyperLogLog sketches, 1.04 / sqrt(registers) each.
-DISTINCT_ERROR = 3 * 1.04 / math.sqrt(2**HLL_BITS)
+#: Six standard errors of merged HyperLogLog sketches, 1.04 / sqrt(registers) each.
+DISTINCT_ERROR = 6 * 1.04 / math.sqrt(2**HLL_BITS)
 #: Rank error of a KLL sketch of this size, from its published fit for one quantile, doubled for safety.
 RANK_ERROR = 2 * 2.296 / KLL_SIZE**0.9021
 

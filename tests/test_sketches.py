@@ -97,3 +97,14 @@ def test_approximate_profile_follows_the_exact_rules(table, monkeypatch):
     kept = sketch_columns(table, part=F.col("id") % 5)
     again = profile_table(table, duplicates=False, sketches=kept)
     assert [c.is_potential_id for c in again.columns] == [c.is_potential_id for c in exact.columns]
+
+
+def test_bound_of_distinct_counts_is_far_from_chance(spark):
+    """Merged sketches of 48 columns: their errors' spread is less than a ninth of the bound."""
+    from tabloom.operators.sketches import distinct_estimate
+
+    n = 80_000
+    df = spark.range(n).select(*[(F.col("id") * 48 + i).alias(f"c{i}") for i in range(48)])
+    merged = merge_sketches(sketch_columns(df, part=F.spark_partition_id()))
+    errors = [r["d"] / n - 1 for r in merged.select(distinct_estimate(merged).alias("d")).collect()]
+    assert len(errors) == 48 and np.sqrt(np.mean(np.square(errors))) <= DISTINCT_ERROR / 9
