@@ -5,11 +5,14 @@ inequality gives, from one summary row set per cell, a radius beyond which no
 point can be a neighbour of any query in a cell; each point is sent only to the
 cells it can matter for (Lu et al. 2012). Inside a cell queries and points are
 cut into blocks of bounded size, each pair of blocks is one task-sized matrix
-product, and only the k best of a block leave the task.
+product, and only the k best of a block leave the task. A row travels once for each
+block of the other side, so blocks are as large as memory and the number of cores allow.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,6 +22,12 @@ from ...functions.runtime import by_group
 
 QUERY_BLOCK = 1_024
 POINT_BLOCK = 8_192
+#: Rows, numbers and pairs for a core of the blocks that all queries and points are cut into.
+LARGEST_BLOCK = 32_768
+BLOCK_NUMBERS = 1 << 22
+PAIRS_PER_CORE = 4
+#: Distances of a pair of blocks that are held at once.
+CHUNK_DISTANCES = 1 << 22
 POINTS_PER_CELL = 20_000
 MAX_CELLS = 1_024
 # Widens pruning bounds by more than the rounding of a distance.
@@ -31,8 +40,8 @@ def nearest_neighbors(
     k: int,
     same: bool = False,
     points_per_cell: int = POINTS_PER_CELL,
-    query_block: int = QUERY_BLOCK,
-    point_block: int = POINT_BLOCK,
+    query_block: int | None = None,
+    point_block: int | None = None,
 ) -> DataFrame:
     """(qid, pid, dist): the k nearest points of every query, ties by pid.
 
@@ -40,6 +49,8 @@ def nearest_neighbors(
     (array of doubles). With ``same`` a query is not its own neighbour.
     """
     n = points.count()
+    largest = _largest_block(queries, points, n)
+    query_block, point_block = query_block or largest, point_block or largest
     cells = int(min(MAX_CELLS, max(1, n // points_per_cell)))
     if cells > 1:
         routed_q, routed_p = _route(queries, points, k + int(same), n, cells)
@@ -70,6 +81,15 @@ def nearest_neighbors(
     )
 
 
+def _largest_block(queries: DataFrame, points: DataFrame, n: int) -> int:
+    """Rows of a block: few blocks, but some pairs of them for every core."""
+    first = points.select(F.size("x").alias("width")).first()
+    width = max(1, first["width"]) if first else 1
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    spread = math.isqrt(queries.count() * n // (PAIRS_PER_CORE * cores))
+    return max(QUERY_BLOCK, min(LARGEST_BLOCK, BLOCK_NUMBERS // width, spread))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(square, 0.0))
@@ -86,8 +106,18 @@ def _block_neighbors(
         return pd.DataFrame({"qid": [], "pid": [], "dist": []})
     a, b = _stack(left["x"]), _stack(right["x"])
     qid, pid = left["id"].to_numpy(), right["id"].to_numpy()
-    wanted = min(k + int(same), len(b))
     norm_a, norm_b = (a * a).sum(1), (b * b).sum(1)
+    step = max(1, CHUNK_DISTANCES // len(b))
+    found = [
+        _chunk_neighbors(a[at:at + step], b, norm_a[at:at + step], norm_b, qid[at:at + step], pid, k, same)
+        for at in range(0, len(a), step)
+    ]
+    return pd.concat(found, ignore_index=True)
+
+
+def _chunk_neighbors(a, b, norm_a, norm_b, qid, pid, k: int, same: bool) -> pd.DataFrame:
+    """Neighbours of some queries among the points of a block."""
+    wanted = min(k + int(same), len(b))
     rough = norm_a[:, None] + norm_b[None, :] - 2.0 * (a @ b.T)
     # The matrix product proposes; everything within its rounding error of the
     # k-th value is measured again from the differences.

@@ -448,6 +448,30 @@ def test_permutation_without_keys_and_without_rows(spark):
         permutation_importance(model, df.limit(0), "regression", keys=["id"])
 
 
+# --- memory and shuffles of large tables -----------------------------------
+
+def test_blocks_of_neighbours_grow_with_the_table(spark, monkeypatch):
+    """Copies of a row: one for each block of the other side, of which there are few."""
+    from tabloom.operators.models import neighbors
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(9000, 6))
+    points = spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>")
+    made = []
+    blocks = neighbors._block_counts
+    monkeypatch.setattr(neighbors, "_block_counts", lambda *a: made.append(blocks(*a)) or made[-1])
+    monkeypatch.setattr(neighbors, "CHUNK_DISTANCES", 100_000)
+    found = neighbors.nearest_neighbors(points.limit(2000), points, 3, same=True).collect()
+    assert sum(made[0].values()) <= 2 and sum(made[1].values()) <= 9000 / neighbors.QUERY_BLOCK + 1
+    large = neighbors._largest_block(spark.range(600_000), points, 600_000)
+    assert large == neighbors.LARGEST_BLOCK and neighbors._largest_block(points, points, 9000) < large
+    assert len(found) == 3 * 2000
+    for r in found[::97]:
+        q = int(r["qid"])
+        near = np.argsort(np.where(np.arange(9000) == q, np.inf, ((x - x[q]) ** 2).sum(1)))[:3]
+        assert int(r["pid"]) in near
+
+
 # --- neighbours by projections ---------------------------------------------
 
 
