@@ -17,6 +17,8 @@ training scores, so a share ``nu`` of them is flagged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -41,6 +43,8 @@ HISTORY = 20
 #: Step lengths of a line search, all evaluated in one pass.
 STEPS = (1.0, 0.5, 0.25, 0.125, 1 / 16, 1 / 64, 1 / 512, 1e-4, 1e-6)
 SUM_GROUPS = 64
+#: Rows whose random features are held at once, whatever the size of an Arrow batch.
+CHUNK_ROWS = 512
 # Eigenvalues below this share of the greatest one carry no information.
 RANK_TOLERANCE = 1e-10
 
@@ -167,8 +171,8 @@ class OneClassSVMModel(FittedStage):
             if len(v) == 0:
                 return pd.Series([], dtype=float)
             parts, weights = shared.value
-            rows = np.stack(v.to_numpy()).astype(float)
-            return pd.Series(feature_values(rows, parts, kernel, gamma) @ weights)
+            found = [feature_values(x, parts, kernel, gamma) @ weights for x in _chunks(v)]
+            return pd.Series(np.concatenate(found))
 
         return value(x)
 
@@ -180,14 +184,20 @@ class OneClassSVMModel(FittedStage):
         return anomaly_columns(self.score(dataset), -self.state["rho"])
 
 
+def _chunks(vectors: pd.Series) -> Iterator[np.ndarray]:
+    """Rows of a batch as matrices of at most ``CHUNK_ROWS`` rows."""
+    for at in range(0, len(vectors), CHUNK_ROWS):
+        yield np.stack(vectors.iloc[at:at + CHUNK_ROWS].to_numpy()).astype(float)
+
+
 def _summed(rows: DataFrame, size: int, function) -> np.ndarray:
-    """Sum of ``function(x)`` over Arrow batches, added up inside Spark."""
+    """Sum of ``function(x)`` over a few rows at a time, added up inside Spark."""
 
     def partial(batches):
         total = np.zeros(size)
         for pdf in batches:
-            if len(pdf):
-                total += function(np.stack(pdf["x"].to_numpy()).astype(float))
+            for x in _chunks(pdf["x"]):
+                total += function(x)
         yield pd.DataFrame({"v": [total]})
 
     parts = rows.mapInPandas(partial, "v array<double>")

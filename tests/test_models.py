@@ -472,6 +472,26 @@ def test_blocks_of_neighbours_grow_with_the_table(spark, monkeypatch):
         assert int(r["pid"]) in near
 
 
+def test_one_class_svm_holds_features_of_a_few_rows(spark, monkeypatch):
+    """No matrix of random features has more rows than a chunk; sums and scores don't depend on it."""
+    from tabloom.operators.models import one_class_svm
+
+    x = np.random.default_rng(15).normal(size=(1300, 4))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").coalesce(1)
+
+    def total(part):
+        assert len(part) <= 512
+        return part.sum(axis=0)
+
+    assert one_class_svm._summed(rows, 4, total) == pytest.approx(x.sum(axis=0))
+    model = one_class_svm.OneClassSVMModel(
+        {"kernel": "linear", "gamma": 1.0, "rho": 0.0, "width": 4, "n_components": 4, "seed": 1,
+         "weights": [1.0, 2.0, 3.0, 4.0]}, {},
+    )
+    got = [r["m"] for r in rows.select(model.margin(rows, F.col("x")).alias("m")).collect()]
+    assert got == pytest.approx(x @ [1.0, 2.0, 3.0, 4.0])
+
+
 # --- neighbours by projections ---------------------------------------------
 
 
