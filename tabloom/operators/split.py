@@ -3,7 +3,8 @@
 Rows are ordered by a seeded MD5 of their key. The rows below a threshold are
 the test set, so the split itself is a narrow projection. The threshold is the
 k-th smallest key; it is found from counts per key prefix (at most 16^5 rows per
-class and round), never by sorting or collecting the table.
+class and round), never by sorting or collecting the table. As keys are spread evenly,
+one pass over the stretch of keys where the threshold must lie mostly finds it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from ..functions.ordering import dense_index
 from ..functions.runtime import checkpointed
 
 KEY_LENGTH = 32
+# Standard errors around the expected threshold whose keys the first pass counts one by one,
+# and the digits it looks at.
+EXPECTED_ERRORS = 6.0
+EXPECTED_LENGTH = 8
 # Key digits looked at per round. The first round counts every row and stays
 # coarse; later rounds only see the rows of one boundary bucket per class.
 ROUNDS = (3, 8, 13, 18, 23, 28, KEY_LENGTH)
@@ -204,14 +209,62 @@ def _split_many(df, group, key, sizes, test_size, column, labels) -> DataFrame:
     ).drop(*extra)
 
 
+def _expected_cuts(keyed: DataFrame, cuts: dict[str, _Cut]) -> dict[str, _Cut]:
+    """Cuts of the classes whose threshold lies where evenly spread keys put it.
+
+    Keys below and above that stretch are counted together, so the counts are exact; a
+    class whose threshold is outside of it (rows that share few keys) is left out.
+    """
+    if not cuts:
+        return {}
+    top = 16**EXPECTED_LENGTH - 1
+    ends = {}
+    for g, c in cuts.items():
+        share = c.take / c.rows
+        half = EXPECTED_ERRORS * math.sqrt(share * (1 - share) / c.rows) + 1.0 / c.rows
+        ends[g] = tuple(
+            f"{min(top, max(0, math.floor(x * (top + 1)))):0{EXPECTED_LENGTH}x}"
+            for x in (share - half, share + half)
+        )
+
+    def end(i: int) -> Column:
+        if len(ends) == 1:
+            return F.lit(next(iter(ends.values()))[i])
+        return F.element_at(F.create_map(*[F.lit(x) for g, e in ends.items() for x in (g, e[i])]), F.col("g"))
+
+    p = F.substring("k", 1, EXPECTED_LENGTH)
+    place = F.when(p < end(0), F.lit("<")).when(p > end(1), F.lit(">")).otherwise(p)
+    counted = keyed.filter(F.col("g").isin(list(ends))).groupBy("g", place.alias("p")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    # The two ends sort after the digits 0 to 9, so they are ranked apart.
+    rank = F.when(F.col("p") == "<", 0).when(F.col("p") == ">", 2).otherwise(1)
+    running = Window.partitionBy("g").orderBy(rank, "p")
+    take = F.element_at(
+        F.create_map(*[F.lit(x) for g, c in cuts.items() for x in (g, c.take)]), F.col("g")
+    )
+    rows = (
+        counted.withColumn("upto", F.sum("n").over(running))
+        .withColumn("take", take)
+        .filter((F.col("upto") >= F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")))
+        .filter(~F.col("p").isin("<", ">"))
+        .collect()
+    )
+    return {r["g"]: _Cut(r["p"], r["take"] - (r["upto"] - r["n"]), r["n"]) for r in rows}
+
+
 def _find_cuts(
-    keyed: DataFrame, sizes: dict[str, int], quotas: dict[str, int]
+    keyed: DataFrame, sizes: dict[str, int], quotas: dict[str, int], uniform: bool = True
 ) -> dict[str, _Cut]:
+    """Threshold of each class; ``uniform=False`` for keys that are not spread evenly."""
     cuts = {g: _Cut("", quotas[g], sizes[g]) for g in sizes}
+    if uniform:
+        cuts.update(_expected_cuts(keyed, {g: c for g, c in cuts.items() if not c.settled}))
     for length in ROUNDS:
-        open_cuts = {g: c for g, c in cuts.items() if not c.settled}
+        # A class whose threshold is known to more digits waits for its round.
+        open_cuts = {g: c for g, c in cuts.items() if not c.settled and len(c.prefix) < length}
         if not open_cuts:
-            break
+            continue
         # Literal conditions per class: only rows in a boundary bucket survive.
         inside = None
         for g, c in open_cuts.items():
@@ -267,7 +320,7 @@ def _deal_ties(df, group, key, cuts, ties, column, labels) -> DataFrame:
         tied = tied | ((group == F.lit(g)) & (key == F.lit(cuts[g].prefix)))
     positions = df.filter(tied).select(group.alias("g"), position.alias("k"))
     more = _find_cuts(
-        positions, {g: cuts[g].rows for g in ties}, {g: cuts[g].take for g in ties}
+        positions, {g: cuts[g].rows for g in ties}, {g: cuts[g].take for g in ties}, uniform=False
     )
     test = _test_condition(group, key, cuts) | (tied & _test_condition(group, position, more))
     return df.withColumn(

@@ -120,10 +120,12 @@ class PreparedData:
     keys: list[str]
     seed: int
     original: DataFrame
+    parts: DataFrame
 
     def release(self) -> None:
         self.train.unpersist()
         self.test.unpersist()
+        self.parts.unpersist()
 
 
 def prepare(
@@ -167,7 +169,10 @@ def prepare(
             label = F.when(text == F.lit(value), F.lit(float(i))).otherwise(label)
 
     stratify = target if task != "regression" and validation_strategy == "stratified" else None
-    parts = split_rows(base, test_size, random_state, keys, stratify)
+    # Fitting takes many passes: the split is computed once, for the columns that are used.
+    needed = list(dict.fromkeys([*features, target, *keys]))
+    parts = split_rows(base.select(*[col(c) for c in needed]), test_size, random_state, keys, stratify)
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
     train_rows, test_rows = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     estimator = TabularPreprocessor(
         target=target, features=features, keys=keys, task=task,
@@ -188,7 +193,8 @@ def prepare(
     # Scored once per model; kept when the first model reads it.
     test = test.withColumn("label", label).persist(StorageLevel.MEMORY_AND_DISK)
     return PreparedData(
-        train, test, fitted, task, target, dtype, labels, counts, keys, random_state, df
+        train, test, fitted, task, target, dtype, labels, counts, keys, random_state, df,
+        parts,
     )
 
 
@@ -255,9 +261,12 @@ def train_tabular(
     try:
         train = prepared.train.filter("label = 0.0") if normal_only else prepared.train
         model = fit_model(train, model_type, prepared.keys, **(model_params or {}))
+        # Test rows are read once, from the kept split.
+        prepared.train.unpersist()
+        prepared.test.unpersist()
+        predictions, metrics = evaluate_model(prepared, model)
     finally:
         prepared.release()
-    predictions, metrics = evaluate_model(prepared, model)
     return TrainResult(
         make_bundle(prepared, model, model_type, metrics), metrics, predictions, prepared
     )
@@ -397,9 +406,9 @@ def tune(
         )
         if shared:
             found.refit(fit, lambda model: model_bytes(spark, model))
+        predictions, metrics = evaluate_model(prepared, found.best.model)
     finally:
         prepared.release()
-    predictions, metrics = evaluate_model(prepared, found.best.model)
     bundle = make_bundle(prepared, found.best.model, model_type, metrics)
     return TrainResult(bundle, metrics, predictions, prepared), found
 

@@ -252,3 +252,14 @@ def test_no_exchange_carries_long_texts(spark):
     assert fitted.sizes == {"t": 0} and fitted.other == {"t": 50} and fitted.table.count() == 0
     listed = allowed_values(df, ["t"], 3).orderBy("rank").collect()
     assert [r["value"][3000:] for r in listed] == ["0", "1", "10"]
+
+
+@pytest.mark.parametrize("stratify", [None, "y"])
+def test_threshold_is_found_in_one_pass(spark, monkeypatch, stratify):
+    from tabloom.operators import split
+
+    df = spark.range(20_000).select("id", (F.col("id") % 3).cast("string").alias("y"))
+    whole = split_rows(df, 0.3, keys=["id"], stratify=stratify).collect()
+    monkeypatch.setattr(split, "ROUNDS", ())
+    assert sorted(split_rows(df, 0.3, keys=["id"], stratify=stratify).collect()) == sorted(whole)
+    assert sum(r["split"] == "test" for r in whole) == 6_000

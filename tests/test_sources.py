@@ -388,3 +388,20 @@ def test_anomaly_model_of_normal_rows(spark):
     assert done.metrics["recall"] == 1.0
     with pytest.raises(ValueError, match="normal_only"):
         jobs.train_tabular(df, "bad", "classification_rf", normal_only=True, keys=["id"], features=["x"])
+
+
+def test_a_model_reads_its_source_a_few_times_only(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    n = 400
+    df = spark.range(n).select(
+        "id", F.concat(F.lit("c"), F.col("id") % 3).alias("kind"),
+        (F.col("id") % 17).cast("double").alias("a"), (F.col("id") * 0.5).alias("y"),
+    ).withColumn("a", counted("a"))
+    jobs.train_tabular(df, "y", "regression_rf", {"n_estimators": 2, "max_depth": 3}, features=["a", "kind"], keys=["id"])
+    assert read.value <= 2 * n
