@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.expressions import canonical_text, field_types, split_key
+from ..functions.expressions import canonical_text, col, field_types, split_key
 from ..functions.identity import with_row_identity
 from ..functions.lookup import lookup_join
 from ..functions.ordering import dense_index
@@ -29,8 +30,10 @@ EXPECTED_LENGTH = 8
 # Key digits looked at per round. The first round counts every row and stays
 # coarse; later rounds only see the rows of one boundary bucket per class.
 ROUNDS = (3, 8, 13, 18, 23, 28, KEY_LENGTH)
-# Up to so many classes, thresholds are literals of one projection; beyond, a table joined by class.
+# Up to so many classes, thresholds are literals of one projection; beyond, rows meet their class.
 LITERAL_CLASSES = 1_000
+# Beyond LITERAL_CLASSES, classes of at most so many rows are each ranked in one task.
+CLASS_ROWS = 100_000
 
 
 @dataclass
@@ -78,9 +81,11 @@ def split_rows(
 
     keyed = df.select(group.alias("g"), key.alias("k"))
     by_class = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+    if stratify:
+        by_class = checkpointed(by_class)
     few = by_class.limit(LITERAL_CLASSES + 1).collect()
     if len(few) > LITERAL_CLASSES:
-        return _split_many(df, group, key, checkpointed(by_class), test_size, column, labels)
+        return _split_many(df, group, key, by_class, test_size, column, labels)
     sizes = {r["g"]: r["rows"] for r in few}
     quotas = test_quotas(sizes, test_size)
     cuts = _find_cuts(keyed, sizes, quotas)
@@ -167,8 +172,50 @@ def _cut_table(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _split_many(df, group, key, sizes, test_size, column, labels) -> DataFrame:
-    """Stratified split by joined thresholds; exact for any number and any sizes of classes."""
+    """Stratified split; exact for any number and any sizes of classes.
+
+    Rows of small classes are shuffled once, as they are, and ranked by key inside their
+    class. The few large classes are cut at thresholds, so none of them lands in one task.
+    """
     wanted = checkpointed(class_quotas(sizes, test_size))
+    if not all(_sortable(t) for t in field_types(df).values()):
+        return _split_by_cuts(df, group, key, sizes, wanted, column, labels)
+    large = F.col("rows") > F.lit(CLASS_ROWS)
+    if wanted.filter(large).limit(1).count() == 0:
+        return _split_by_ranks(df, group, key, wanted, column, labels)
+    # At most one class per CLASS_ROWS rows of the table.
+    names = F.broadcast(wanted.filter(large).select(F.col("g").alias("__lg")))
+    rest = df.join(names, group == F.col("__lg"), "left_anti")
+    kept = df.join(names, group == F.col("__lg"), "left_semi")
+    return _split_by_ranks(rest, group, key, wanted.filter(~large), column, labels).unionByName(
+        _split_by_cuts(kept, group, key, sizes.filter(large), wanted.filter(large), column, labels)
+    )
+
+
+def _sortable(dtype: T.DataType) -> bool:
+    return not any(word in dtype.json() for word in ('"map"', "variant", "interval"))
+
+
+def _split_by_ranks(df, group, key, wanted, column, labels) -> DataFrame:
+    """The first ``take`` rows of each class in the order of keys.
+
+    Rows of equal keys are ordered by all their columns: the same whenever a task is run again.
+    """
+    columns = [col(c) for c in df.columns]
+    # The key is computed where its class is, so it isn't shuffled.
+    placed = df.withColumn("__g", group).repartition("__g").withColumn("__order", F.unhex(key))
+    ranks = Window.partitionBy("__g").orderBy("__order", *columns)
+    ranked = placed.withColumn("__rank", F.row_number().over(ranks)).drop("__order")
+    quotas = wanted.select(F.col("g").alias("__cg"), F.col("take").alias("__take"))
+    joined = ranked.join(quotas, F.col("__g") == F.col("__cg"))
+    test = F.col("__rank") <= F.col("__take")
+    return joined.select(
+        *columns, F.when(test, F.lit(labels[1])).otherwise(F.lit(labels[0])).alias(column)
+    )
+
+
+def _split_by_cuts(df, group, key, sizes, wanted, column, labels) -> DataFrame:
+    """Stratified split by joined thresholds, which are found from counts per key prefix."""
     keyed = df.select(group.alias("g"), key.alias("k"))
     cuts = _cut_table(keyed, wanted)
     tied = cuts.filter(

@@ -263,3 +263,22 @@ def test_threshold_is_found_in_one_pass(spark, monkeypatch, stratify):
     monkeypatch.setattr(split, "ROUNDS", ())
     assert sorted(split_rows(df, 0.3, keys=["id"], stratify=stratify).collect()) == sorted(whole)
     assert sum(r["split"] == "test" for r in whole) == 6_000
+
+
+def test_rows_of_many_classes_are_shuffled_once(spark, monkeypatch):
+    """Small classes by ranks, large ones by thresholds: the same split as by thresholds only."""
+    from tabloom.operators import split
+
+    df = spark.range(12_000).select("id", (F.col("id") * 7 % 3_001).alias("y"), F.lit("x").alias("note"))
+    df = df.unionAll(spark.range(20_000, 25_000).select("id", F.lit(5_000).alias("y"), F.lit("x")))
+
+    def rows():
+        parts = split_rows(df, 0.3, keys=["id"], stratify="y")
+        return parts, sorted(parts.collect())
+
+    by_ranks, found = rows()
+    assert by_ranks._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    monkeypatch.setattr(split, "CLASS_ROWS", 1_000)
+    assert rows()[1] == found
+    monkeypatch.setattr(split, "CLASS_ROWS", 0)
+    assert rows()[1] == found
