@@ -12,19 +12,22 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.expressions import col
 from ...functions.quantiles import exact_quantiles
-from ...functions.runtime import by_group, cached_for_iteration
+from ...functions.runtime import by_group, cached_for_iteration, staged
 from ..persistence import FittedStage
 from .common import anomaly_columns
 
 SAMPLE_ROWS = 256
-WALK_ROWS = 512
+WALK_ROWS = 256
 TREE_SCHEMA = (
     "tree int, feature array<int>, threshold array<double>, "
     "left array<int>, right array<int>, depth array<double>"
@@ -73,38 +76,53 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str,
     return nodes
 
 
-def flatten_trees(trees: list) -> dict[str, np.ndarray]:
-    """All trees in one set of arrays; a leaf is its own child, so walks may overrun."""
-    parts = {"feature": [], "threshold": [], "children": [], "depth": []}
-    roots, start = [], 0
-    for t in trees:
-        feature = np.array(t["feature"], dtype=np.intp)
-        own = np.arange(len(feature))
-        leaf = feature < 0
-        roots.append(start)
-        parts["feature"].append(np.where(leaf, 0, feature))
-        parts["threshold"].append(np.array(t["threshold"]))
-        left, right = np.where(leaf, own, t["left"]), np.where(leaf, own, t["right"])
-        parts["children"].append(np.stack([left, right], axis=1).ravel() + start)
-        parts["depth"].append(np.array(t["depth"]))
-        start += len(feature)
-    flat = {k: np.concatenate(v) for k, v in parts.items()}
-    flat["roots"] = np.array(roots, dtype=np.intp)
-    return flat
-
-
-def path_lengths(x: np.ndarray, forest: dict[str, np.ndarray], steps: int) -> np.ndarray:
-    """Mean depth over all trees, one value per row; ``steps`` is the depth limit."""
+def flatten_trees(trees: list, steps: int) -> dict[str, list[np.ndarray]]:
+    """All trees, level by level, as full binary trees of ``steps`` levels.
+
+    Place ``j`` of a level has its children at ``2 j`` and ``2 j + 1`` of the next one. Below
+    a leaf all places are its own, so every walk takes the same number of steps.
+    """
+    feature, threshold = [], []
+    node = np.zeros((len(trees), 1), dtype=np.intp)
+    parts = [{k: np.array(t[k]) for k in ("feature", "threshold", "left", "right", "depth")} for t in trees]
+    for _ in range(steps):
+        f = np.stack([p["feature"][at] for p, at in zip(parts, node)])
+        leaf = f < 0
+        feature.append(np.where(leaf, 0, f).astype(np.intp).ravel())
+        threshold.append(np.stack([p["threshold"][at] for p, at in zip(parts, node)]).ravel())
+        below = [
+            np.where(leaf, node, np.stack([p[side][at] for p, at in zip(parts, node)]))
+            for side in ("left", "right")
+        ]
+        node = np.stack(below, axis=2).reshape(len(trees), -1)
+    depth = np.stack([p["depth"][at] for p, at in zip(parts, node)]).ravel()
+    return {"feature": feature, "threshold": threshold, "depth": [depth]}
+
+
+def path_lengths(x: np.ndarray, forest: dict[str, list[np.ndarray]]) -> np.ndarray:
+    """Mean depth over all trees, one value per row."""
     out = np.empty(len(x))
+    trees = len(forest["feature"][0])
+    roots = np.arange(trees)[None, :]
     for start in range(0, len(x), WALK_ROWS):
         part = np.ascontiguousarray(x[start:start + WALK_ROWS])
         flat = part.ravel()
         base = (np.arange(len(part)) * part.shape[1])[:, None]
-        node = np.broadcast_to(forest["roots"], (len(part), len(forest["roots"])))
-        for _ in range(steps):
-            right = flat.take(base + forest["feature"].take(node)) > forest["threshold"].take(node)
-            node = forest["children"].take(2 * node + right)
-        out[start:start + WALK_ROWS] = forest["depth"].take(node).mean(axis=1)
+        # Tree t starts at place t of the first level, so places are those of all trees.
+        right = part.take(forest["feature"][0], axis=1) > forest["threshold"][0]
+        place = 2 * roots + right
+        cell, cut = np.empty_like(place), np.empty(place.shape)
+        value = np.empty(place.shape)
+        # Indexes are in range; "clip" lets numpy write to the buffers as it goes.
+        for feature, threshold in zip(forest["feature"][1:], forest["threshold"][1:]):
+            feature.take(place, out=cell, mode="clip")
+            cell += base
+            flat.take(cell, out=value, mode="clip")
+            threshold.take(place, out=cut, mode="clip")
+            np.greater(value, cut, out=right)
+            place += place
+            place += right
+        out[start:start + WALK_ROWS] = forest["depth"][0].take(place, out=value, mode="clip").mean(axis=1)
     return out
 
 
@@ -132,7 +150,36 @@ class IsolationForest(Estimator):
         finally:
             rows.unpersist()
 
+    def fit_scored(self, dataset: DataFrame, keep: list[str]) -> tuple["IsolationForestModel", DataFrame]:
+        """The model, and the columns ``keep`` of ``dataset`` with the columns of ``transform``.
+
+        The threshold needs the score of every row; here each is computed once and
+        written, with ``keep``, to the checkpoint folder. ``dataset`` is read three times (to
+        count, draw and score); only one with fewer partitions than cores is kept and spread.
+        """
+        columns = list(dict.fromkeys(["features", *(self.keys or []), *keep]))
+        rows = dataset.select(*[col(c) for c in columns])
+        if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+            rows = cached_for_iteration(rows)
+        try:
+            model, n = self._grown(rows)
+            scored = staged(model.score(rows).select(*[col(c) for c in keep], "raw_score"))
+            if self.contamination != "auto":
+                model.set_share(scored, float(self.contamination), n)
+        finally:
+            rows.unpersist()
+        return model, anomaly_columns(scored, -model.state["offset"])
+
     def _fit_cached(self, dataset: DataFrame) -> "IsolationForestModel":
+        model, n = self._grown(dataset)
+        if self.contamination != "auto":
+            scores = model.score(dataset).select("raw_score").persist(StorageLevel.MEMORY_AND_DISK)
+            model.set_share(scores, float(self.contamination), n)
+            scores.unpersist()
+        return model
+
+    def _grown(self, dataset: DataFrame) -> tuple["IsolationForestModel", int]:
+        """A model with its trees and no threshold yet, and the number of rows."""
         n = dataset.count()
         if n < 2:
             raise ValueError("an isolation forest needs at least 2 rows")
@@ -144,15 +191,7 @@ class IsolationForest(Estimator):
             "trees": len(trees),
         }
         table = dataset.sparkSession.createDataFrame(trees, TREE_SCHEMA)
-        model = IsolationForestModel(state, {"trees": table})
-        if self.contamination != "auto":
-            scores = model.score(dataset).select(F.col("raw_score").alias("s"))
-            scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
-            share = 1.0 - float(self.contamination)
-            cut = exact_quantiles(scores, ["s"], [share], counts={"s": n})["s"][0]
-            scores.unpersist()
-            model.state["offset"] = -cut
-        return model
+        return IsolationForestModel(state, {"trees": table}), n
 
     def _grow(self, dataset: DataFrame, n: int, psi: int) -> DataFrame:
         seed, limit = self.seed, depth_limit(psi)
@@ -191,20 +230,27 @@ class IsolationForest(Estimator):
 
 
 class IsolationForestModel(FittedStage):
+    def set_share(self, scores: DataFrame, share: float, n: int) -> None:
+        """Let ``share`` of the ``n`` rows with these ``raw_score`` be anomalies."""
+        cut = exact_quantiles(scores.select("raw_score"), ["raw_score"], [1.0 - share], counts={"raw_score": n})
+        self.state["offset"] = -cut["raw_score"][0]
+
     def score(self, dataset: DataFrame) -> DataFrame:
         """Add ``raw_score`` in (0, 1): the greater, the easier a row is isolated."""
         spark = dataset.sparkSession
         trees = self.tables["trees"].orderBy("tree").collect()
-        forest = spark.sparkContext.broadcast(flatten_trees(trees))
+        forest = spark.sparkContext.broadcast(flatten_trees(trees, depth_limit(self.state["psi"])))
         scale = average_path(self.state["psi"])
-        steps = depth_limit(self.state["psi"])
 
-        @F.pandas_udf("double")
-        def isolation(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def isolation(x: pa.Array) -> pa.Array:
             if len(x) == 0:
-                return pd.Series([], dtype=float)
-            depth = path_lengths(np.stack(x.to_numpy()), forest.value, steps)
-            return pd.Series(np.exp2(-depth / scale))
+                return pa.array([], pa.float64())
+            width = pc.min_max(pc.list_value_length(x)).as_py()
+            if x.null_count or width["min"] != width["max"]:
+                raise ValueError("features must be vectors of one length")
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width["min"])
+            return pa.array(np.exp2(-path_lengths(rows, forest.value) / scale))
 
         return dataset.withColumn("raw_score", isolation(vector_to_array("features")))
 

@@ -266,8 +266,8 @@ def lineitem_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def isolation_forest_query(spark, folder):
     df = lineitem_vectors(spark, folder)
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    model = IsolationForest(contamination=0.01, keys=keys).fit(df)
-    return model.transform(df).select(
+    scored = IsolationForest(contamination=0.01, keys=keys).fit_scored(df, keys)[1]
+    return scored.select(
         *keys, F.round("anomaly_score", 6).alias("anomaly_score"), "prediction"
     )
 

@@ -309,7 +309,7 @@ def isolation_forest_planted(spark, folder):
     df = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(
         table(spark, folder, "lineitem").select(*LINE_KEYS, planted.alias("planted"), *far)
     )
-    scored = IsolationForest(contamination=0.05, keys=LINE_KEYS).fit(df).transform(df)
+    scored = IsolationForest(contamination=0.05, keys=LINE_KEYS).fit_scored(df, ["planted"])[1]
     flagged = F.col("prediction") == 1.0
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(flagged & F.col("planted")).alias("planted_found"),

@@ -187,6 +187,45 @@ def test_isolation_forest_deals_rows_to_few_trees(spark):
     assert all(r["id"] >= 3000 for r in top)
 
 
+def test_isolation_forest_scores_a_table_once(spark):
+    """Model and scores in one go: the rows of fit and transform, each scored once."""
+    walked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        walked.add(1)
+        return x
+
+    df = frame(spark, planted(3)).withColumn("note", counted(F.col("id").cast("double")))
+    forest = IsolationForest(contamination=0.1, keys=["id"])
+    model, scored = forest.fit_scored(df, ["id", "note"])
+    assert scored.columns == ["id", "note", "raw_score", "anomaly_score", "prediction"]
+    found = {r["id"]: r for r in scored.collect()}
+    scored.count(), scored.agg(F.sum("note")).collect()
+    assert walked.value == df.count()
+    again = forest.fit(df).transform(df).collect()
+    assert len(found) == len(again)
+    for r in again:
+        assert tuple(found[r["id"]]) == tuple(r[c] for c in scored.columns)
+
+
+def test_walk_over_full_trees_equals_the_walk_node_by_node():
+    from tabloom.operators.models.isolation_forest import flatten_trees, grow_tree, path_lengths
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(700, 3)), 1)
+    trees = [grow_tree(x[rng.choice(700, 64)], np.random.default_rng(i), 6) for i in range(9)]
+
+    def depth(row, t):
+        at = 0
+        while t["feature"][at] >= 0:
+            at = t["right" if row[t["feature"][at]] > t["threshold"][at] else "left"][at]
+        return t["depth"][at]
+
+    expected = np.array([[depth(row, t) for t in trees] for row in x]).mean(axis=1)
+    assert (path_lengths(x, flatten_trees(trees, 6)) == expected).all()
+
+
 def brute_neighbors(q, p, k, same):
     d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(-1))
     if same:
