@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,29 +132,42 @@ def _resolve(values: DataFrame, brackets: list[_Bracket], collect_rows: int) ->
         if not wide:
             break
         _narrow(values, wide)
-    # What is left fits in a bounded, sorted array per bracket.
-    rest = [b for b in brackets if b.value is None]
+    # What is left fits in a bounded, sorted array per interval.
+    rest = _by_interval([b for b in brackets if b.value is None])
     for start in range(0, len(rest), 32):
         part = rest[start:start + 32]
-        row = values.agg(
+        arrays = values.agg(
+            *[
+                F.sort_array(F.collect_list(F.when(same[0].inside(col(same[0].column)), col(same[0].column)))).alias(f"s{i}")
+                for i, same in enumerate(part)
+            ]
+        )
+        row = arrays.select(
             *[
-                F.element_at(
-                    F.sort_array(F.collect_list(F.when(b.inside(col(b.column)), col(b.column)))),
-                    F.lit(b.rank - b.below + 1),
-                ).alias(f"v{i}")
-                for i, b in enumerate(part)
+                F.element_at(F.col(f"s{i}"), F.lit(b.rank - b.below + 1)).alias(f"v{i}_{j}")
+                for i, same in enumerate(part) for j, b in enumerate(same)
             ]
         ).first()
-        for i, b in enumerate(part):
-            b.value = float(row[f"v{i}"])
+        for i, same in enumerate(part):
+            for j, b in enumerate(same):
+                b.value = float(row[f"v{i}_{j}"])
+
+
+def _by_interval(brackets: list[_Bracket]) -> list[list[_Bracket]]:
+    """Brackets that are the same interval of the same column, together."""
+    found: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        found.setdefault((b.column, b.low, b.high), []).append(b)
+    return list(found.values())
 
 
 def _narrow(values: DataFrame, brackets: list[_Bracket]) -> None:
+    intervals = _by_interval(brackets)
     sketches = [
         F.kll_sketch_agg_double(
-            F.when(b.inside(col(b.column)), col(b.column)), F.lit(SKETCH_K)
+            F.when(same[0].inside(col(same[0].column)), col(same[0].column)), F.lit(SKETCH_K)
         ).alias(f"s{i}")
-        for i, b in enumerate(brackets)
+        for i, same in enumerate(intervals)
     ]
     # Two levels, so that the last task merges a few dozen sketches and not one
     # for every input partition.
@@ -162,37 +176,34 @@ def _narrow(values: DataFrame, brackets: list[_Bracket]) -> None:
         .agg(*sketches)
     )
     merged = partial.agg(
-        *[F.kll_merge_agg_double(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(brackets))]
+        *[F.kll_merge_agg_double(F.col(f"s{i}")).alias(f"s{i}") for i in range(len(intervals))]
     )
     pivots = []
-    for i, b in enumerate(brackets):
-        p = (b.rank - b.below + 0.5) / b.rows
-        for side, q in (("a", p - SKETCH_MARGIN), ("b", p + SKETCH_MARGIN)):
-            pivots.append(
-                F.kll_sketch_get_quantile_double(
-                    F.col(f"s{i}"), F.lit(min(1.0, max(0.0, q)))
-                ).alias(f"{side}{i}")
-            )
+    for i, same in enumerate(intervals):
+        for j, b in enumerate(same):
+            p = (b.rank - b.below + 0.5) / b.rows
+            for side, q in (("a", p - SKETCH_MARGIN), ("b", p + SKETCH_MARGIN)):
+                pivots.append(
+                    F.kll_sketch_get_quantile_double(
+                        F.col(f"s{i}"), F.lit(min(1.0, max(0.0, q)))
+                    ).alias(f"{side}{i}_{j}")
+                )
     row = merged.select(*pivots).first()
+    ends = {
+        id(b): (float(row[f"a{i}_{j}"]) + 0.0, float(row[f"b{i}_{j}"]) + 0.0)
+        for i, same in enumerate(intervals) for j, b in enumerate(same)
+    }
+    wanted: dict[str, set[float]] = {}
+    for b in brackets:
+        wanted.setdefault(b.column, set()).update(ends[id(b)])
+    counts = _counts_around(values, wanted)
 
-    tallies = []
-    for i, b in enumerate(brackets):
-        x, a, z = col(b.column), F.lit(row[f"a{i}"]), F.lit(row[f"b{i}"])
-        inside = b.inside(x)
-        for name, cond in (
-            ("lt", x < a), ("ea", x == a), ("in", (x > a) & (x < z)), ("eb", (x == z) & (x > a)),
-        ):
-            tallies.append(F.count_if(inside & cond).alias(f"{name}{i}"))
-    tally = values.agg(*tallies).first()
-
-    for i, b in enumerate(brackets):
-        a, z = float(row[f"a{i}"]), float(row[f"b{i}"])
-        steps = [
-            ("range", tally[f"lt{i}"], b.low, a),
-            ("point", tally[f"ea{i}"], a, a),
-            ("range", tally[f"in{i}"], a, z),
-            ("point", tally[f"eb{i}"], z, z),
-        ]
+    for b in brackets:
+        a, z = ends[id(b)]
+        (lower, at), (upper, at_end) = counts[b.column, a], counts[b.column, z]
+        steps = [("range", lower - b.below, b.low, a), ("point", at, a, a)]
+        if z > a:
+            steps += [("range", upper - lower - at, a, z), ("point", at_end, z, z)]
         above = b.rows - sum(s[1] for s in steps)
         steps.append(("range", above, z, b.high))
         seen = b.below
@@ -204,3 +215,46 @@ def _narrow(values: DataFrame, brackets: list[_Bracket]) -> None:
                     b.low, b.high, b.below, b.rows = low, high, seen, size
                 break
             seen += size
+
+
+def _counts_around(
+    values: DataFrame, pivots: dict[str, set[float]]
+) -> dict[tuple[str, float], tuple[int, int]]:
+    """(values below, values equal) for every pivot of every column, in one pass.
+
+    Values are put into buckets between neighbouring pivots and counted by column and
+    bucket: the code of the pass doesn't grow with pivots, as one count for each would.
+    """
+    columns = list(pivots)
+    splits = []
+    for c in columns:
+        finite = {0.0, *(p for p in pivots[c] if p != math.inf)}
+        # A pivot has a bucket of its own, up to the next greater number.
+        edges = finite | {math.nextafter(p, math.inf) for p in finite} | {-math.inf, math.inf}
+        splits.append(sorted(edges))
+    names = [f"x{i}" for i in range(len(columns))]
+    places = [f"p{i}" for i in range(len(columns))]
+    # Adding zero turns -0.0 into 0.0.
+    plain = values.select(*[(col(c) + F.lit(0.0)).alias(x) for c, x in zip(columns, names)])
+    placed = Bucketizer(
+        splitsArray=splits, inputCols=names, outputCols=places, handleInvalid="keep"
+    ).transform(plain)
+    stacked = placed.select(
+        *[F.when(F.col(x) == math.inf, F.lit(-1.0)).otherwise(F.col(p)).alias(p) for x, p in zip(names, places)]
+    ).unpivot([], places, "column", "place")
+    rows = (
+        stacked.filter(F.col("place").isNotNull())
+        .groupBy("column", "place").agg(F.count(F.lit(1)).alias("n")).collect()
+    )
+    # One row per column and bucket; infinity is -1, and NaN lies behind the last bucket.
+    found = {(r["column"], int(r["place"])): r["n"] for r in rows}
+    counts = {}
+    for c, place, edges in zip(columns, places, splits):
+        sizes = [found.get((place, i), 0) for i in range(len(edges) - 1)]
+        for p in pivots[c]:
+            if p == math.inf:
+                counts[c, p] = (sum(sizes), found.get((place, -1), 0))
+            else:
+                i = edges.index(p)
+                counts[c, p] = (sum(sizes[:i]), sizes[i])
+    return counts

@@ -47,6 +47,34 @@ def test_quantiles_of_several_columns_and_empty_ones(spark):
     assert direct == narrowed == {"a": [500.0], "b": [None], "id": [500.0]}
 
 
+def test_values_are_counted_around_many_pivots_in_one_aggregation(spark):
+    """Infinities, both zeros, gaps and any names; the pass has one count, however many pivots."""
+    from tabloom.functions.quantiles import _counts_around
+
+    rng = random.Random(9)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), 1.7976931348623157e308, 5e-324, None, 2.0, 2.0]
+    rows = [tuple(rng.choice(odd + [rng.gauss(0, 3)]) for _ in range(3)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "`a.b` double, `c d` double, e double")
+    pivots = {
+        c: {0.0, 2.0, 5e-324, float("inf"), float("-inf"), 1.7976931348623157e308, *(
+            r[i] for r in rows[:20] if r[i] is not None and abs(r[i]) < 100 and r[i] != 0.0
+        )}
+        for i, c in enumerate(df.columns)
+    }
+    for (c, p), got in _counts_around(df, pivots).items():
+        x = [r[df.columns.index(c)] for r in rows if r[df.columns.index(c)] is not None]
+        assert got == (sum(v < p for v in x), sum(v == p for v in x)), (c, p)
+    values = [v for v in (r[0] for r in rows) if v is not None and abs(v) < 1e300]
+    ends = values + [float("-inf")] * 3 + [float("inf")] * 400
+    tails = spark.createDataFrame([(v,) for v in ends], "x double")
+    found = exact_quantiles(tails, ["x"], [0.0, 0.2, 0.9, 1.0], direct_cells=5, collect_rows=3)["x"]
+    order = sorted(ends)
+    assert found[0] == float("-inf") and found[2:] == [float("inf")] * 2
+    place = (len(order) - 1) * 0.2
+    low = int(place)
+    assert found[1] == pytest.approx(order[low] + (place - low) * (order[low + 1] - order[low]))
+
+
 def test_value_counts_and_modes(spark):
     df = spark.createDataFrame([("a", 1), ("b", 1), ("b", None)], "s string, n long")
     rows = {(r["column"], r["value"]): r["n"] for r in value_counts(df, ["s", "n"]).collect()}
