@@ -580,6 +580,36 @@ def test_recall_of_the_latent_gate_with_thousands_of_items(spark):
     assert len(want) >= 50 and len(want & got) >= 0.99 * len(want)
 
 
+def test_latent_basis_of_all_passages(spark, monkeypatch):
+    """Whitened by all 45,000 passages and the items: no sample of them makes the basis."""
+    made = []
+    make = decontaminate.Basis.__init__
+    monkeypatch.setattr(decontaminate.Basis, "__init__", lambda self, *a: made.append(a) or make(self, *a))
+    rng = np.random.default_rng(19)
+    known = np.array([f"term{i}" for i in range(300)] + ["other"] * 100)
+    chance = np.r_[1 / (1.0 + np.arange(300)), np.full(100, 0.02)]
+    texts = [rng.choice(known, 15_000 * 64 - 20 * i, p=chance / chance.sum()) for i in range(3)]
+    items = [known[i : i + 30] for i in range(0, 300, 30)]
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id long, text string")
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9, ""), (10, None)]
+    decontaminate.leaks(documents(spark, rows), bench)
+    idf, found = made[0]
+    terms = {w: i for i, w in enumerate(sorted(set(known) - {"other"}))}
+    rows = [t[at : at + 64] for t in texts for at in range(0, len(t), 64)] + items
+    gram = np.zeros((300, 300))
+    for at in range(0, len(rows), 5000):
+        part = rows[at : at + 5000]
+        counts = np.zeros((len(part), 300))
+        for n, row in enumerate(part):
+            own = [terms[w] for w in row.tolist() if w != "other"]
+            np.add.at(counts[n], own, 1)
+        weights = counts * idf
+        weights /= np.maximum(np.sqrt((weights**2).sum(1)), 1e-12)[:, None]
+        gram += weights.T @ weights
+    assert len(rows) > 45_000 and found.shape == (300, decontaminate.RANK)
+    assert np.abs(found.T @ gram @ found - np.eye(decontaminate.RANK)).max() < 1e-6
+
+
 def test_lcs():
     rng = random.Random(14)
     for _ in range(300):
