@@ -465,6 +465,42 @@ def test_permutation_moves_values_once(spark):
     assert "Window" not in physical and "Exchange hashpartitioning(rank" not in physical
 
 
+@pytest.mark.parametrize("copies", [1, 200])
+def test_permutation_in_rounds(spark, monkeypatch, folder, copies):
+    """Few permutations at a time: the same scores, base rows moved once, and no shuffle files kept."""
+    from tabloom.functions import permute
+
+    x = np.random.default_rng(16).normal(size=(600, 3))
+    df = frame(spark, x, x[:, 0] + 2 * x[:, 1]).withColumn("key", F.expr(f"floor(monotonically_increasing_id() / {copies})"))
+    df.write.parquet(f"{folder}/rows")
+    df = spark.read.parquet(f"{folder}/rows")
+    monkeypatch.setattr(permute, "ROWS_PER_STRETCH", 47)
+
+    def found():
+        rows = permutation_importance(train_linear(df), df, "regression", keys=["key"], repeats=2).collect()
+        return {r["feature"]: (r["importance"], r["importance_std"]) for r in rows}
+
+    want = found()
+    monkeypatch.setattr(permute, "VALUES_AT_ONCE", 1300)
+    made = []
+    rounds = permute.permutation_rounds
+
+    def watched(*args):
+        for part in rounds(*args):
+            made.append(part)
+            yield part
+
+    monkeypatch.setattr("tabloom.operators.importance.permutation_rounds", watched)
+    got = found()
+    assert len(made) == 3 and got.keys() == want.keys()
+    assert all(got[f] == pytest.approx(want[f], rel=1e-9, abs=1e-9) for f in want)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    if copies == 1:
+        for part in made:
+            plan = part._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(stretch") == 1
+
+
 def test_permutation_ships_numbers_and_stays_in_the_jvm(spark):
     """No vector travels per feature and repeat: the exchanges of swaps carry three narrow columns."""
     from pyspark.ml import Transformer
