@@ -1,6 +1,7 @@
 """Models against closed forms, brute force and planted outliers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -547,6 +548,54 @@ def test_blocks_of_neighbours_grow_with_the_table(spark, monkeypatch):
         assert int(r["pid"]) in near
 
 
+@pytest.mark.parametrize("cells", [10_000, 60])
+def test_neighbours_in_rounds(spark, monkeypatch, cells):
+    """Few copies at a time: every query is searched once, and no task gives many copies together."""
+    from tabloom.operators.models import neighbors
+
+    rng = np.random.default_rng(17)
+    p, q = rng.normal(size=(400, 24)), rng.normal(size=(150, 24))
+    monkeypatch.setattr(neighbors, "NUMBERS_AT_ONCE", 10_000)
+    monkeypatch.setattr(neighbors, "COPIES_AT_ONCE", 50)
+    rounds = neighbors._rounds
+    made = []
+    monkeypatch.setattr(neighbors, "_rounds", lambda *a: made.append(rounds(*a)) or made[-1])
+    sizes = spark.sparkContext.accumulator(0)
+    measure = neighbors._block_neighbors
+
+    def watched(left, right, *rest):
+        sizes.add(len(left) + len(right))
+        return measure(left, right, *rest)
+
+    monkeypatch.setattr(neighbors, "_block_neighbors", watched)
+    found = neighbors.nearest_neighbors(
+        points_of(spark, q, "q"), points_of(spark, p), 5, points_per_cell=cells, query_block=40, point_block=100
+    ).toPandas()
+    assert len(made[0]) > 1 and sizes.value > 0
+    blocks = [(cell, b) for asked in made[0] for cell, (first, last) in asked.items() for b in range(first, last + 1)]
+    assert len(blocks) == len(set(blocks))
+    want = brute_neighbors(q, p, 5, False)
+    for i, near in found.groupby("qid")["dist"]:
+        assert sorted(near) == pytest.approx(want[int(i[1:])], rel=1e-9)
+    assert len(found) == 750 and found["qid"].nunique() == 150
+
+
+def test_bounds_of_many_points(spark, monkeypatch):
+    """Minima of groups give the same neighbours as a sort, with ties and equal points."""
+    from tabloom.operators.models import neighbors
+
+    rng = np.random.default_rng(18)
+    x = np.round(rng.normal(size=(2500, 2)), 1)
+    rows = pd.DataFrame({"id": [f"{i:04}" for i in range(2500)], "x": list(x)})
+    monkeypatch.setattr(neighbors, "GROUP", 16)
+    monkeypatch.setattr(neighbors, "CANDIDATES", 300)
+    found = neighbors._block_neighbors(rows, rows, 4, True)
+    for i, near in found.groupby("qid"):
+        d = np.sqrt(((x - x[int(i)]) ** 2).sum(1))
+        d[int(i)] = np.inf
+        assert near["pid"].astype(int).tolist() == np.lexsort((np.arange(2500), d))[:4].tolist()
+
+
 def test_one_class_svm_holds_features_of_a_few_rows(spark, monkeypatch):
     """No matrix of random features has more rows than a chunk; sums and scores don't depend on it."""
     from tabloom.operators.models import one_class_svm
